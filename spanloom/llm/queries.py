@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialise, table
-from . import grouped_splits, proportions
+from . import cross_split, grouped_splits, proportions
 from .records import problem_type_name, split_name, valid_rows, video_ids
 
 
@@ -27,6 +27,31 @@ def p1_found(spark, d):
     return _p1(spark, d)[1].where("short").select("plan_id", "category")
 
 
+def _p2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = materialise(valid_rows(
+        table(spark, d, "records"), split=split_name(F.col("split")), source=F.col("source"), problem=F.col("problem"),
+        entities=video_ids(F.col("videos")),
+    ), "p2-records")
+    return rows, cross_split.overlaps(rows)
+
+
+def p2_found(spark, d):
+    pair = (F.col("evaluation_id"), F.col("training_id"))
+    return _p2(spark, d)[1].select(F.least(*pair).alias("record_id_a"), F.greatest(*pair).alias("record_id_b"))
+
+
+def p2_report(spark, d):
+    """Per evaluation split and source: evaluation records, those with an overlap, pairs."""
+    rows, pairs = _p2(spark, d)
+    per = pairs.groupBy(F.col("evaluation_id").alias("record_id")).agg(F.count("*").alias("pairs"))
+    return (
+        rows.where("split IN ('val', 'test')").select("record_id", "split", "source").join(per, "record_id", "left")
+        .groupBy("split", "source").agg(
+            F.count("*").alias("evaluation_records"), F.count("pairs").alias("overlapping_records"),
+            F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    )
+
+
 def _p3(spark: SparkSession, d: str) -> DataFrame:
     rows = valid_rows(
         table(spark, d, "records"), problem_type=problem_type_name(F.col("problem_type")), entities=video_ids(F.col("videos"))
@@ -54,6 +79,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_sample": p1_sample,
     "p1_report": p1_report,
+    "p2_found": p2_found,
+    "p2_report": p2_report,
     "p3_found": p3_found,
     "p3_splits": p3_splits,
     "p3_shares": p3_shares,
