@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialise, table
-from . import cross_split, grouped_splits, proportions
+from . import cross_split, defects, grouped_splits, proportions
 from .records import problem_type_name, split_name, valid_rows, video_ids
 
 
@@ -75,7 +75,19 @@ def p3_shares(spark, d):
     return counts.join(F.broadcast(whole), "problem_type").select("problem_type", "split", "records", F.round(F.col("records") / F.col("of"), 4).alias("share"))
 
 
+def p4_found(spark, d):
+    return defects.defective_fields(table(spark, d, "reward_inputs"), table(spark, d, "runs"), problem_type_name(F.col("problem_type")))
+
+
+def p4_by_run(spark, d):
+    """Cases per run, field and defect."""
+    runs = table(spark, d, "reward_inputs").groupBy("rollout_id").agg(F.min("run_tag").alias("run_tag"))
+    return p4_found(spark, d).join(runs, "rollout_id").groupBy("run_tag", "field", "defect").agg(F.count("*").alias("cases"))
+
+
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_by_run": p4_by_run,
     "p1_found": p1_found,
     "p1_sample": p1_sample,
     "p1_report": p1_report,
