@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialise, table
-from . import cross_split, defects, grouped_splits, proportions
+from . import cross_split, defects, grouped_splits, packing, proportions, tokens
 from .records import problem_type_name, split_name, valid_rows, video_ids
 
 
@@ -85,7 +85,40 @@ def p4_by_run(spark, d):
     return p4_found(spark, d).join(runs, "rollout_id").groupBy("run_tag", "field", "defect").agg(F.count("*").alias("cases"))
 
 
+def p5_ids(spark, d):
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p5_roundtrip(spark, d):
+    """Documents by whether decoding gives their text back."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    back = tokens.decode(tokens.encode(docs)).withColumnRenamed("text", "back")
+    same = F.coalesce("text", F.lit("")) == F.col("back")
+    return docs.join(back, "doc_id").groupBy(same.alias("same")).agg(F.count("*").alias("documents"))
+
+
+def _p6(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokens.sizes(table(spark, d, "documents")), table(spark, d, "pack_plans"))
+
+
+def p6_containers(spark, d):
+    return _p6(spark, d)
+
+
+def p6_found(spark, d):
+    return _p6(spark, d).where("pieces > 1").select("plan_id", "doc_id").distinct()
+
+
+def p6_report(spark, d):
+    return packing.report(_p6(spark, d), table(spark, d, "pack_plans"))
+
+
 QUERIES = {
+    "p5_ids": p5_ids,
+    "p5_roundtrip": p5_roundtrip,
+    "p6_found": p6_found,
+    "p6_containers": p6_containers,
+    "p6_report": p6_report,
     "p4_found": p4_found,
     "p4_by_run": p4_by_run,
     "p1_found": p1_found,
@@ -97,3 +130,5 @@ QUERIES = {
     "p3_splits": p3_splits,
     "p3_shares": p3_shares,
 }
+
+ORACLE_SQL: dict[str, str] = {}
