@@ -54,14 +54,13 @@ def _categories(targets: list) -> Column:
 def proportional_sample(
     rows: DataFrame, plans: DataFrame, targets: DataFrame, id_col: str = "record_id", seed: int = 17
 ) -> tuple[DataFrame, DataFrame]:
-    """The sample (plan_id, category, id) and the report per plan and category.
+    """The sample (plan_id, category, id) and the cells it was drawn from, for :func:`sampling_report`.
 
     ``rows`` holds one row per id with ``difficulty`` and ``duration``; rows that are not eligible are
     ignored, others that fit no category count for the sample size alone. The size of a plan is
     ``sample_per_mille``/1000 of the eligible rows and the target of a category its part by weight, neither
     rounded. A NULL bound is open, a NULL weight or ``min_keep`` counts as 0, a plan without a row in
-    ``plans`` or whose weights add up to 0 has targets of 0. Report: ``available``, ``target``, ``kept``,
-    and ``short`` where ``available`` is below the target or below ``min_keep``. Shortfalls are reported,
+    ``plans`` or whose weights add up to 0 has targets of 0. Shortfalls are reported,
     not made up elsewhere, so the other categories keep their targets. An empty input gives an empty
     sample and a report of all categories. The same seed gives the same sample.
     """
@@ -117,8 +116,13 @@ def proportional_sample(
     missing = F.least("min_keep", "available") - (last - first)
     rest = F.col("rank") - (upto - first)  # the place among the rows not taken
     sample = rows_.where(full | (upto > under) | (rest <= missing)).select("plan_id", "category", id_col)
-    kept = sample.groupBy("plan_id", "category").agg(F.count("*").alias("kept"))
-    report = cell.join(F.broadcast(kept), ["plan_id", "category"], "left").select(
+    return sample, cell
+
+
+def sampling_report(sample: DataFrame, cells: DataFrame) -> DataFrame:
+    """Per plan and category: ``available``, ``target``, ``min_keep``, ``kept`` (rows of the sample), and ``short``
+    where ``available`` is below the target or below ``min_keep``, so that the sample could not meet them."""
+    kept = materialise(sample.groupBy("plan_id", "category").agg(F.count("*").alias("kept")), "p1-kept")
+    return cells.join(F.broadcast(kept), ["plan_id", "category"], "left").select(
         "plan_id", "category", "available", "target", "min_keep", F.coalesce("kept", F.lit(0)).alias("kept"), "short"
     )
-    return sample, report

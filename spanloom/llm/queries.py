@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialise, table
-from . import cross_split, defects, grouped_splits, packing, proportions, tokens
+from . import cross_split, defects, grouped_splits, packing, proportions, subjects, tokens
 from .records import problem_type_name, split_name, valid_rows, video_ids
 
 
 def _p1(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The sample, and the cells that it was drawn from."""
     rows = valid_rows(table(spark, d, "records"), difficulty=F.col("difficulty"), duration=F.col("duration"))
     return proportions.proportional_sample(rows, table(spark, d, "sample_plans"), table(spark, d, "sample_targets"))
 
@@ -20,11 +21,11 @@ def p1_sample(spark, d):
 
 
 def p1_report(spark, d):
-    return _p1(spark, d)[1]
+    return proportions.sampling_report(*_p1(spark, d))
 
 
 def p1_found(spark, d):
-    return _p1(spark, d)[1].where("short").select("plan_id", "category")
+    return p1_report(spark, d).where("short").select("plan_id", "category")
 
 
 def _p2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -113,7 +114,25 @@ def p6_report(spark, d):
     return packing.report(_p6(spark, d), table(spark, d, "pack_plans"))
 
 
+def _p7(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_areas(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
+def p7_found(spark, d):
+    return _p7(spark, d).select("doc_id", "subject")
+
+
+def p7_makeup(spark, d):
+    """Documents, and sentences about the subject, by source and subject."""
+    return (
+        _p7(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source", "subject")
+        .agg(F.count("*").alias("documents"), F.round(F.sum("sentences"), 0).cast("long").alias("sentences"))
+    )
+
+
 QUERIES = {
+    "p7_found": p7_found,
+    "p7_makeup": p7_makeup,
     "p5_ids": p5_ids,
     "p5_roundtrip": p5_roundtrip,
     "p6_found": p6_found,
