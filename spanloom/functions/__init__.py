@@ -1 +1 @@
-
+"""Column functions: parsing, geometry and sequences."""
