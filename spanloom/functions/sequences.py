@@ -153,3 +153,41 @@ def position_ids(mask: Column) -> Column:
 def unpadded(items: Column, mask: Column) -> Column:
     """The items whose mask is 1."""
     return F.transform(F.filter(F.arrays_zip(items.alias("i"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: x["i"])
+
+
+def chosen_log_probs(tokens: Column, tables: Column) -> Column:
+    """For each token its log-prob in the table of its position; where it is missing the table's first entry, flagged."""
+    both = F.arrays_zip(tokens.alias("t"), tables.alias("m"))
+
+    def one(x: Column) -> Column:
+        own = F.try_element_at(x["m"], x["t"])
+        return F.struct(F.coalesce(own, F.get(F.map_values(x["m"]), F.lit(0)), F.lit(0.0)).alias("log_prob"), own.isNull().alias("missing"))
+
+    return F.transform(both, one)
+
+
+def media_positions(tokens, grids, image: int, video: int, merge: int):
+    """Positions of tokens on three axes (time, height, width) as three lists.
+
+    Text counts up on all axes together. A media token starts a grid of (t, h / merge, w / merge) cells, in whose tokens the
+    axes count apart; the text after it goes on behind the largest position. Videos are grids of one time step each.
+    """
+    import numpy as np
+
+    left = {image: [g for g in grids if not g[3]], video: [(1, g[1], g[2], 1) for g in grids if g[3] for _ in range(g[0])]}
+    out, at, n = [], 0, len(tokens)
+    base = 0
+    while at < n:
+        kind = tokens[at]
+        if left.get(kind):
+            t, h, w, _ = left[kind].pop(0)
+            cells = np.indices((t, h // merge, w // merge)).reshape(3, -1)[:, : n - at] + base
+        else:
+            end = at + 1
+            while end < n and not left.get(tokens[end]):
+                end += 1
+            cells = np.tile(np.arange(end - at), (3, 1)) + base
+        out.append(cells)
+        at += cells.shape[1]
+        base = int(cells.max()) + 1
+    return np.concatenate(out, axis=1) if out else np.zeros((3, 0), int)

@@ -244,11 +244,12 @@ def q8_pad_and_slice(spark, d):
     return s.select("uid", "x.rank", F.aggregate("x.part", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query(f"WITH {SEQ} SELECT uid, slot, CASE WHEN token % 5 <> 4 THEN round(pn, 4) END AS log_prob FROM tok")
-def q9_token_log_prob(spark, d):
-    table_ = F.map_from_arrays(F.array(F.lit("kept")), F.array(F.lit(1)))
-    s = sequences(spark, d).select("uid", F.posexplode(F.arrays_zip("tokens", "new")).alias("slot", "x"))
-    return s.select("uid", F.col("slot").cast("long").alias("slot"), F.when(F.col("x.tokens") % 5 != 4, F.round(F.try_element_at(F.create_map(F.col("x.tokens"), F.col("x.new")), F.col("x.tokens")), 4)).alias("log_prob"))
+@query(f"WITH {SEQ} SELECT uid, slot, CASE WHEN token % 5 <> 4 THEN round(pn, 4) ELSE round(po, 4) END AS log_prob, token % 5 = 4 AS missing FROM tok")
+def q9_chosen_log_probs(spark, d):
+    rows = F.arrays_zip(F.col("tokens").alias("t"), F.col("new").alias("n"), F.col("old").alias("o"))
+    tables = F.transform(rows, lambda x: F.when(x["t"] % 5 != 4, F.create_map(x["t"], x["n"])).otherwise(F.create_map(F.lit(-1).cast("long"), x["o"])))
+    s = sequences(spark, d).select("uid", F.posexplode(S.chosen_log_probs(F.col("tokens"), tables)).alias("slot", "x"))
+    return s.select("uid", F.col("slot").cast("long").alias("slot"), F.round("x.log_prob", 4).alias("log_prob"), "x.missing")
 
 
 @query(f"WITH {SEQ} SELECT round(sum(r * m) / (sum(m) + 1e-8), 6) AS mean, round((sum(r * r * m) / sum(m) - power(sum(r * m) / sum(m), 2)) * sum(m) / (sum(m) - 1), 4) AS var FROM tok")

@@ -188,7 +188,7 @@ def m5_reference_control(spark, d):
 @query("SELECT DISTINCT rollout_id, CAST(response_length AS BIGINT) AS n, round(overall, 6) AS last, CAST(0 AS DOUBLE) AS first FROM reward_inputs WHERE response_length > 1 AND isfinite(overall)")
 def m6_score_vector(spark, d):
     v = R.at_last_token(F.col("overall"), F.col("response_length"))
-    return table(spark, d, "reward_inputs").where("response_length > 1 AND isfinite(overall)").select("rollout_id", F.size(v).cast("long").alias("n"), F.round(F.element_at(v, -1), 6).alias("last"), v[0].alias("first")).distinct()
+    return table(spark, d, "reward_inputs").where("response_length > 1 AND abs(overall) < 'Infinity'").select("rollout_id", F.size(v).cast("long").alias("n"), F.round(F.element_at(v, -1), 6).alias("last"), v[0].alias("first")).distinct()
 
 
 @query(f"WITH {SQL}, {EVAL_SQL} SELECT event_id, CASE WHEN e_s IS NULL THEN duration + 10 ELSE round_even(e_s, 0) END AS s, CASE WHEN e_s IS NULL THEN duration + 20 ELSE round_even(e_e, 0) END AS e FROM evals")
@@ -216,11 +216,11 @@ def proj_p4_answer(spark, d):
     return grounding(spark, d).select("event_id", tagged.alias("tagged"), F.to_json(F.struct(F.array(a, b).alias("time"))).alias("json"))
 
 
-@query("""WITH t AS (SELECT row_id, trim(replace(problem, '<video>', ''), ' ' || chr(10) || chr(9)) AS x FROM records WHERE NOT regexp_matches(problem, '[^\\x00-\\x7F]')),
+@query("""WITH t AS (SELECT row_id, trim(replace(problem, '<video>', ''), ' ' || chr(10) || chr(9)) AS x FROM records),
 u AS (SELECT row_id, x, regexp_extract(x, '(?i)(?:pinpoint|locate|find)\\s+(?:the\\s+)?(?:event|clip|moment)\\s+"([^"]+)"', 1) AS q, trim(regexp_replace(x, '(?is)\\s*(?:Provide the start|Please provide|Determine the precise).*$', ''), ' ' || chr(10) || chr(9)) AS c FROM t)
 SELECT row_id, '<video>' || CASE WHEN q <> '' THEN q WHEN c <> '' THEN c ELSE x END AS question FROM u""")
 def proj_p5_question(spark, d):
-    return table(spark, d, "records").where(~F.col("problem").rlike(r"[^\x00-\x7F]")).select("row_id", P.question(F.col("problem")).alias("question"))
+    return table(spark, d, "records").select("row_id", P.question(F.col("problem")).alias("question"))
 
 
 @query("SELECT result_id, trim(regexp_replace(trim(regexp_replace(query, '\\s+', ' ', 'g')), '^\\.+|\\.+$', '', 'g')) AS query, count(*) AS copies FROM eval_results GROUP BY 1, 2")
@@ -228,9 +228,9 @@ def proj_p6_query(spark, d):
     return table(spark, d, "eval_results").select("result_id", P.levelled_query(F.col("query")).alias("query")).groupBy("result_id", "query").agg(F.count("*").alias("copies"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE left(text, 20) || chr(10) || '... [truncated ' || (length(text) - 40) || ' chars] ...' || chr(10) || right(text, 20) END AS shown FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE left(text, 20) || chr(10) || '... [truncated ' || (length(text) - 40) || ' chars] ...' || chr(10) || right(text, 20) END AS shown FROM documents")
 def proj_p21_clipped(spark, d):
-    return table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", P.clipped(F.col("text"), 40).alias("shown"))
+    return table(spark, d, "documents").select("doc_id", P.clipped(F.col("text"), 40).alias("shown"))
 
 
 @query("SELECT event_id, regexp_extract('runs/exp' || (user_id % 7) || '/global_step_' || (event_id % 90) || '/actor', 'runs/([^/]+)/global_step_(\\d+)', 1) || '@' || (event_id % 90) AS tag FROM events")
