@@ -25,6 +25,11 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def once(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once per row, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def last(items: Column) -> Column:
     return F.try_element_at(items, F.lit(-1))
 
@@ -63,8 +68,10 @@ def seconds(clock: Column) -> Column:
 
 def evaluated_spans(text: Column) -> Column:
     """All spans an evaluated answer names: clock times, else ``a - b``, else ``a to b``, else numbers in pairs."""
-    body = answer_body(F.lower(text), BLOCK_ONE_LINE)
+    return once(answer_body(F.lower(text), BLOCK_ONE_LINE), _spans_of_body)
 
+
+def _spans_of_body(body: Column) -> Column:
     def pairs(items: Column) -> Column:
         upto = F.floor(F.size(items) / 2).cast("int")
         return F.when(upto > 0, F.transform(F.sequence(F.lit(0), upto - 1), lambda i: F.struct(
@@ -73,11 +80,11 @@ def evaluated_spans(text: Column) -> Column:
     def linked(link: str) -> Column:
         pattern = rf"({NUMBER}){link}({NUMBER})"
         a, b = found(body, pattern, 1), found(body, pattern, 2)
-        return F.when(F.size(a) > 0, F.zip_with(a, b, lambda x, y: F.struct(number(x).alias("start"), number(y).alias("end"))))
+        return once(a, lambda x: F.when(F.size(x) > 0, F.zip_with(x, b, lambda x, y: F.struct(number(x).alias("start"), number(y).alias("end")))))
 
-    clocks = F.transform(found(body, CLOCK), seconds)
-    plain = F.transform(found(body, r"\b(?:\d+\.\d+|\d+)\b"), number)
-    return F.coalesce(pairs(clocks), linked(r"\s*-\s*"), linked(r"\s+to\s+"), pairs(plain))
+    clocks = once(found(body, CLOCK), lambda x: pairs(F.transform(x, seconds)))
+    plain = once(found(body, r"\b(?:\d+\.\d+|\d+)\b"), lambda x: pairs(F.transform(x, number)))
+    return F.coalesce(clocks, linked(r"\s*-\s*"), linked(r"\s+to\s+"), plain)
 
 
 def evaluated_span(text: Column) -> Column:
@@ -87,23 +94,25 @@ def evaluated_span(text: Column) -> Column:
 
 def rewarded_span(text: Column) -> Column:
     """The span a reward reads: the last ``a to b`` or ``a and b``, else the last ``a - b``, else the first two numbers."""
-    body = answer_body(text)
+    return once(answer_body(text), _rewarded_of_body)
+
 
+def _rewarded_of_body(body: Column) -> Column:
     def linked(link: str) -> Column:
-        pattern = rf"({NUMBER})\s*(?:{link})\s*({NUMBER})"
-        return span(number(last(found(body, pattern, 1))), number(last(found(body, pattern, 2))))
+        pair = last(found(body, rf"{NUMBER}\s*(?:{link})\s*{NUMBER}"))
+        ends = rf"^({NUMBER})\s*(?:{link})\s*({NUMBER})$"
+        return once(pair, lambda p: span(number(F.regexp_extract(p, ends, 1)), number(F.regexp_extract(p, ends, 2))))
 
-    bounded = found(body, rf"\b({NUMBER})\b", 1)
-    return F.coalesce(linked("to|and"), linked("-"), span(number(F.get(bounded, F.lit(0))), number(F.get(bounded, F.lit(1)))))
+    bounded = once(found(body, rf"\b({NUMBER})\b", 1), lambda n: span(number(F.get(n, F.lit(0))), number(F.get(n, F.lit(1)))))
+    return F.coalesce(linked("to|and"), linked("-"), bounded)
 
 
 def box(text: Column) -> Column:
     """A box as four doubles: ``(a,b),(c,d)``, else the first four numbers, else NULL."""
     n = r"(\d+(?:\.\d+)?)"
     corners = rf"\({n}\s*,\s*{n}\)\s*,?\s*\({n}\s*,\s*{n}\)"
-    numbers = found(text, r"\d+(?:\.\d+)?")
-    return F.when(text.rlike(corners), F.array(*[number(F.regexp_extract(text, corners, i)) for i in (1, 2, 3, 4)])).when(
-        F.size(numbers) >= 4, F.transform(F.slice(numbers, 1, 4), number))
+    first = once(found(text, r"\d+(?:\.\d+)?"), lambda x: F.when(F.size(x) >= 4, F.transform(F.slice(x, 1, 4), number)))
+    return F.when(text.rlike(corners), F.array(*[number(F.regexp_extract(text, corners, i)) for i in (1, 2, 3, 4)])).otherwise(first)
 
 
 def segments(text: Column) -> Column:

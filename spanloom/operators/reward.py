@@ -43,13 +43,18 @@ def scored(df: DataFrame, response: str = "response", truth: str = "ground_truth
     """Adds ``task``, ``iou_raw``, ``iou``, ``format``, ``overall``: a box where the truth has four numbers, else a span,
     else all zeros. NULL texts read as empty."""
     r, t = F.coalesce(response, F.lit("")), F.coalesce(truth, F.lit(""))
-    task = F.when(P.box(t).isNotNull(), "box").when(P.rewarded_span(t).isNotNull(), "span").otherwise("unknown")
-    df = df.withColumn("task", task)
-    pick = lambda b, s: F.when(F.col("task") == "box", b).when(F.col("task") == "span", s).otherwise(F.lit(0.0))
-    df = df.withColumn("iou_raw", pick(box_reward(r, t), span_reward(r, t))).withColumn("format", pick(box_format(r), span_format(r)))
-    shaped = F.when(F.col("task") != "unknown", G.shaped(F.col("iou_raw"))).otherwise(F.lit(0.0))
-    df = df.withColumn("iou", shaped if shaping else F.col("iou_raw"))
-    return df.withColumn("overall", F.col("iou") + format_weight * F.col("format"))
+    made = df.withColumn("_t", F.struct(P.box(t).alias("box"), P.rewarded_span(t).alias("span")))
+    made = made.withColumn("task", F.when(F.col("_t.box").isNotNull(), "box").when(F.col("_t.span").isNotNull(), "span").otherwise("unknown"))
+    is_box, is_span = F.col("task") == "box", F.col("task") == "span"
+    made = made.withColumn("_r", F.struct(F.when(is_box, P.box(P.last_answer(r))).alias("box"), F.when(is_span, P.rewarded_span(r)).alias("span")))
+    pred, gt = F.col("_r.span"), F.col("_t.span")
+    spans = F.coalesce(G.span_iou(pred["start"], pred["end"], gt["start"], gt["end"]), F.lit(0.0))
+    boxes = F.coalesce(G.box_iou(F.col("_r.box"), F.col("_t.box")), F.lit(0.0))
+    made = made.withColumn("iou_raw", F.when(is_box, boxes).when(is_span, spans).otherwise(F.lit(0.0)))
+    made = made.withColumn("format", F.when(is_box, F.col("_r.box").isNotNull().cast("double")).when(is_span, span_format(r)).otherwise(F.lit(0.0)))
+    shaped = F.when(is_box | is_span, G.shaped(F.col("iou_raw"))).otherwise(F.lit(0.0))
+    made = made.withColumn("iou", shaped if shaping else F.col("iou_raw"))
+    return made.withColumn("overall", F.col("iou") + format_weight * F.col("format")).drop("_t", "_r")
 
 
 def controlled(df: DataFrame, score: str, flag: str, scale: float = 1.0, cap: float | None = None) -> DataFrame:
