@@ -237,13 +237,13 @@ def defect(problem: str | None, text: str | None, length: float | None, limit: f
             return "copied_question"
         if not open_ and refuses(core):
             return "refusal"
-        if phrase_wanted and not open_ and (blocks or _one_phrase(outside)):
+        if not open_ and (_names_thing(final) or phrase_wanted if blocks else phrase_wanted and _names_thing(outside)):
             answered = not _blank(core)
         if not answered and blocks and not open_ and language(final) not in (None, asked):
             return "other_language"
         if not answered:
             at_limit = length is not None and limit is not None and length >= limit
-            ended = not open_ and (bool(blocks) or outside.endswith(_ENDS) or _one_phrase(outside) and bool(_CJK.search(outside)))
+            ended = not open_ and (bool(blocks) or outside.endswith(_ENDS))
             last = re.split(r"(?<=[.!?。])\s+", outside)[-1]
             return "refusal" if ended and not at_limit and not re.search(r"\d", last) else "truncated"
     spoken = free if by_kind == "phrase" else _ANSWER.sub(" ", text)
@@ -260,8 +260,24 @@ def _tag_of_prompt(text: str, problem: str) -> bool:
     return len(tail) > len("<answer>") + 3 and tail in problem.lower()
 
 
+# How a phrase that names a thing begins, and words of place in it.
+_ARTICLE = re.compile(r"(?:an?|one|un|una|une|ein|eine|einen|some)\s", re.I)
+_DEFINITE = re.compile(r"(?:the|el|la|los|las|le|les|der|die|das)\s", re.I)
+_PLACE = re.compile(r"\b(?:in|on|at|under|beside|behind|below|near|opposite|past|front|above|next|auf|neben|hinter|unter|vor|bei|am|sur|sous|devant|derrière|près|junto|detrás|delante|frente|sobre)\b", re.I)
+
+
+def _names_thing(text: str) -> bool:
+    """Whether a short text is one phrase that names a thing, as an answer in words does."""
+    text = text.strip()
+    if not _one_phrase(text):
+        return False
+    if _CJK.search(text):
+        return True
+    return bool(_ARTICLE.match(text) or (_DEFINITE.match(text) and _PLACE.search(text)))
+
+
 def _one_phrase(text: str) -> bool:
-    """A line without a sentence end inside: what a short answer in words looks like."""
+    """A line without a sentence end inside."""
     text = text.strip().rstrip("".join(_ENDS))
     return bool(text) and "\n" not in text and not re.search(r"[.!?。]\s", text) and len(_WORD.findall(text)) <= 16
 
@@ -312,15 +328,15 @@ def defective_fields(pairs: DataFrame, runs: DataFrame, problem_type: Column) ->
     """``rollout_id``, ``field`` (``response`` or ``ground_truth``), ``defect``: one row per defective field.
 
     ``pairs`` is RewardInput rows with ``rollout_id`` and ``run_tag``; ``problem_type`` the type with its spelling
-    levelled. Repeated rows give one case. A NULL field is ``empty``, a NULL prompt is read as an empty one (nothing
+    levelled. Repeated rows give one case, rows without an id one of NULL. A NULL field is ``empty``, a NULL prompt is read as an empty one (nothing
     can be copied from it, no language differs from it), a NULL length or a run that is not listed is no evidence. Texts
     of any length are read whole. A field has one defect, the first that holds in the order of :func:`defect`.
     """
     limits = F.broadcast(runs.where("run_tag IS NOT NULL").groupBy("run_tag").agg(F.max("max_response_length").alias("limit")))
     rows = pairs.select(
-        "rollout_id", "problem", "response", "ground_truth", F.col("response_length").cast("double"), "run_tag",
+        F.col("rollout_id").cast("string").alias("rollout_id"), "problem", "response", "ground_truth", F.col("response_length").cast("double"), "run_tag",
         answer_kind(problem_type, F.coalesce("problem", F.lit(""))).alias("kind"),
         (~_plainly_answered(F.col("response"))).alias("check_response"), (~_plainly_answered(F.col("ground_truth"))).alias("check_truth"),
     ).where("check_response OR check_truth")
-    found = rows.join(limits, "run_tag", "left").drop("run_tag").mapInPandas(_judge, "rollout_id long, field string, defect string")
-    return found.distinct()
+    found = rows.join(limits, "run_tag", "left").drop("run_tag").mapInPandas(_judge, "rollout_id string, field string, defect string")
+    return found.select(F.col("rollout_id").cast("long").alias("rollout_id"), "field", "defect").distinct()

@@ -30,15 +30,16 @@ def grouped(records: DataFrame, id_col: str, entities: str) -> DataFrame:
     """Adds ``group_key``: the smallest entity of the component; NULL for records without an entity.
 
     ``records`` holds one row per id; ``entities`` is an array of strings. NULL and empty arrays, and NULL
-    elements, link nothing. Other columns are kept.
+    elements, link nothing. Other columns are kept, one named ``group_key`` is replaced.
     """
+    records = records.drop("group_key", "_first", "_component")
     ids = F.array_sort(F.array_distinct(F.filter(F.col(entities), lambda x: x.isNotNull())))
     rows = records.withColumn("_first", F.when(F.size(ids) > 0, ids[0]))
     several = rows.where(F.size(ids) > 1)
-    edges = several.select(F.col("_first").alias("a"), F.explode(F.slice(ids, 2, 1_000_000)).alias("b"))
-    found = components(edges).select(F.col("node").alias("_first"), F.col("component"))
+    edges = several.select(F.col("_first").alias("a"), F.explode(F.slice(ids, F.lit(2), F.size(ids))).alias("b"))
+    found = components(edges).select(F.col("node").alias("_first"), F.col("component").alias("_component"))
     # A popular entity may hold a third of the rows: AQE splits its side of this join; the other has one row per entity.
-    return rows.join(found, "_first", "left").withColumn("group_key", F.coalesce("component", "_first")).drop("_first", "component")
+    return rows.join(found, "_first", "left").withColumn("group_key", F.coalesce("_component", "_first")).drop("_first", "_component")
 
 
 def group_sizes(rows: DataFrame) -> DataFrame:

@@ -136,7 +136,7 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["plan_id", "capacity", "container", "free", "doc_id", "piece", "pieces", "size"])
 
 
-_PACKED = "plan_id int, capacity int, container long, free int, doc_id long, piece int, pieces int, size int"
+_PACKED = "plan_id int, capacity int, container long, free int, doc_id string, piece int, pieces int, size int"
 
 
 def pack(sizes: DataFrame, plans: DataFrame, seed: int = 5) -> DataFrame:
@@ -144,14 +144,14 @@ def pack(sizes: DataFrame, plans: DataFrame, seed: int = 5) -> DataFrame:
 
     ``sizes``: ``doc_id``, ``tokens``, one row per document; NULL counts as 0. A document over the capacity is cut into
     pieces of the capacity, each a container of its own, and a rest that is packed like others; no other is cut.
-    Documents of 0 tokens take no room in some container. Plans whose capacity is NULL or not positive hold nothing.
+    Documents of 0 tokens take no room in some container, documents without an id are packed like others. Plans whose capacity is NULL or not positive hold nothing.
     Equal input gives equal containers. Empty input gives none.
     """
     spark = sizes.sparkSession
     wanted = plans.where("capacity_tokens > 0 AND plan_id IS NOT NULL").select("plan_id", F.col("capacity_tokens").alias("capacity")).distinct().collect()
     size = F.coalesce("tokens", F.lit(0)).cast("int")
     done = []
-    docs = materialise(sizes.select("doc_id", size.alias("size")), "sizes")
+    docs = materialise(sizes.select(F.col("doc_id").cast("string").alias("doc_id"), size.alias("size")), "sizes")  # as text, so that NULL ids survive pandas
     total = docs.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
     for plan in wanted:
         cap = plan["capacity"]
@@ -184,7 +184,7 @@ def pack(sizes: DataFrame, plans: DataFrame, seed: int = 5) -> DataFrame:
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select("plan_id", "container_id", "doc_id", "piece", "pieces", "tokens")
+    return out.select("plan_id", "container_id", F.col("doc_id").cast("long").alias("doc_id"), "piece", "pieces", "tokens")
 
 
 def report(packed: DataFrame, plans: DataFrame) -> DataFrame:

@@ -238,8 +238,8 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame)
     """``doc_id``, ``subject``, ``sentences``, ``share``: the subjects that make up the matter of each document.
 
     NULL, empty and blank texts, and texts no sentence of which is about a subject, have no row. Repeated labels count
-    once, labels of unknown subjects or documents not at all; without labels nothing is found. Texts are read whole.
-    ``share`` is that of the sentences about any subject.
+    once, labels of unknown subjects or documents not at all; without labels nothing is found. Texts are read whole,
+    documents without an id come out with a NULL one. ``share`` is that of the sentences about any subject.
     """
     known = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, subjects))
 
@@ -255,4 +255,6 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame)
                         out.append((doc, names[i], float(n[i]), float(n[i] / n.sum())))
             yield pd.DataFrame(out, columns=["doc_id", "subject", "sentences", "share"])
 
-    return documents.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(judge, "doc_id long, subject string, sentences double, share double")
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text").where("text IS NOT NULL")
+    found = rows.mapInPandas(judge, "doc_id string, subject string, sentences double, share double")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))

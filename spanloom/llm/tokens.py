@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import base64
 import math
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -59,20 +61,34 @@ def _word_encoder(spark: SparkSession, path: str, name: str):
     return encode
 
 
-def _look_up(docs: pd.DataFrame, dictionary: pd.DataFrame) -> pd.DataFrame:
-    ids = dict(zip(dictionary["word"], (list(x) for x in dictionary["ids"])))
-    out = [[i for w in doc for i in ids[w]] for doc in docs["words"]]
-    return pd.DataFrame({"doc_id": docs["doc_id"], "ids": out})
+def _per_word(docs: pa.Table, dictionary: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """What the dictionary has for each word of the block, and the words' boundaries by document."""
+    words = docs["words"].combine_chunks()
+    ends = np.concatenate(([0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))))
+    place = pc.index_in(words.flatten(), value_set=dictionary["word"].combine_chunks())
+    return dictionary["ids"].combine_chunks().take(place), ends
 
 
-def _add_up(docs: pd.DataFrame, dictionary: pd.DataFrame) -> pd.DataFrame:
-    sizes = dict(zip(dictionary["word"], dictionary["ids"]))
-    return pd.DataFrame({"doc_id": docs["doc_id"], "tokens": [int(sum(sizes[w] for w in doc)) for doc in docs["words"]]})
+def _look_up(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
+    if not docs.num_rows:
+        return pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
+    ids, ends = _per_word(docs, dictionary)
+    upto = np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64))))
+    lists = pa.ListArray.from_arrays(pa.array(upto[ends].astype(np.int32)), ids.flatten().cast(pa.int32()))
+    return pa.table({"doc_id": docs["doc_id"].combine_chunks(), "ids": lists})
+
+
+def _add_up(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
+    if not docs.num_rows:
+        return pa.table({"doc_id": pa.array([], pa.int64()), "tokens": pa.array([], pa.int32())})
+    sizes, ends = _per_word(docs, dictionary)
+    upto = np.concatenate(([0], np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))))
+    return pa.table({"doc_id": docs["doc_id"].combine_chunks(), "tokens": pa.array(np.diff(upto[ends]).astype(np.int32))})
 
 
 def _by_words(documents: DataFrame, id_col: str, text_col: str, path: str, name: str, counts_only: bool) -> DataFrame:
     spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
@@ -84,10 +100,10 @@ def _by_words(documents: DataFrame, id_col: str, text_col: str, path: str, name:
         table = table.withColumn("ids", F.size("ids"))
     dictionary = used.join(table, "word").select("block", "word", "ids")
     if counts_only:
-        found = split.groupBy("block").cogroup(dictionary.groupBy("block")).applyInPandas(_add_up, "doc_id long, tokens int")
+        found = split.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(_add_up, "doc_id long, tokens int")
         rest = docs.where("text IS NULL OR text = ''").select("doc_id", F.lit(0).alias("tokens"))
     else:
-        found = split.groupBy("block").cogroup(dictionary.groupBy("block")).applyInPandas(_look_up, "doc_id long, ids array<int>")
+        found = split.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(_look_up, "doc_id long, ids array<int>")
         rest = docs.where("text IS NULL OR text = ''").select("doc_id", F.array().cast("array<int>").alias("ids"))
     return found.unionByName(rest)
 
@@ -96,8 +112,8 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id`` and ``ids`` of each row of ``documents``, without special tokens.
 
     Empty and NULL texts have the empty list. Strings that look like special tokens are ordinary text. Texts of any
-    length are read whole. Rows that repeat come out repeated, an empty table gives an empty one, other columns are
-    ignored whatever their names.
+    length are read whole. Rows that repeat, and rows without an id, come out as they came in, an empty table gives
+    an empty one, other columns are ignored whatever their names.
     """
     return _by_words(documents, id_col, text_col, path, name, False)
 
