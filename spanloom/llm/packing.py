@@ -1,8 +1,8 @@
 """Problem 6: filling containers of fixed capacity.
 
 Items are spread over groups by hash, each of about ``GROUP_CONTAINERS`` containers, and each group is packed by
-best fit, largest first, then improved by local search: the emptiest container gives items to the others, one by one,
-one against one or one against two, wherever the sum of squared fills grows, until it is empty. The containers that
+best fit, largest first, then improved by local search: underfull containers, fullest first, take items of others no
+fuller, alone, for one or for two of their own, wherever the sum of squared fills grows, until containers are empty. The containers that
 stay open are taken up again, with their items, by groups of the next round, until one group holds them all.
 """
 
@@ -19,6 +19,8 @@ from ..storage import materialise
 
 #: Containers of a group, on average.
 GROUP_CONTAINERS = 256
+#: Passes over a group's containers at most.
+ROUNDS = 40
 #: Share of the capacity that may be free in a container that is not taken up again.
 CLOSED_FREE = 0.004
 
@@ -33,11 +35,6 @@ class _Bin:
         insort(self.items, item)
         self.free -= item[0]
 
-    def give(self, k: int):
-        item = self.items.pop(k)
-        self.free += item[0]
-        return item
-
 
 def _best_fit(items: list[tuple], capacity: int) -> list[_Bin]:
     bins: list[_Bin] = []
@@ -55,51 +52,62 @@ def _best_fit(items: list[tuple], capacity: int) -> list[_Bin]:
     return bins
 
 
-def _largest_upto(items: list[tuple], low: int, high: int) -> int | None:
-    """The index of the smallest item with low <= size <= high, the one that makes the most of an exchange."""
-    k = bisect_left(items, (low,))
-    return k if k < len(items) and items[k][0] <= high else None
-
-
-def _unload(giver: _Bin, others: list[_Bin]) -> bool:
-    """One exchange that moves load from ``giver`` to a fuller container; whether there was one."""
-    for k in range(len(giver.items) - 1, -1, -1):
-        size = giver.items[k][0]
-        best = None
-        for o in others:
-            if o.free >= size and (best is None or o.free < best.free):
-                best = o
-        if best is not None:  # move
-            best.take(giver.give(k))
-            return True
-    choice = None  # (gain, item, other, what comes back)
-    for k, (size, _) in enumerate(giver.items):
-        for o in others:
-            if not o.free:
-                continue
-            j = _largest_upto(o.items, size - o.free, size - 1)
-            if j is not None:  # one for one
-                gain = size - o.items[j][0]
-                if choice is None or gain > choice[0]:
-                    choice = (gain, k, o, (j,))
-                continue
-            for a in range(min(len(o.items), 24)):  # two for one, the first with each partner of fitting size
-                need = size - o.free - o.items[a][0]
-                b = _largest_upto(o.items[a + 1 :], max(need, 1), size - 1 - o.items[a][0])
-                if b is not None:
-                    gain = size - o.items[a][0] - o.items[a + 1 + b][0]
-                    if choice is None or gain > choice[0]:
-                        choice = (gain, k, o, (a, a + 1 + b))
+class _Search:
+    """Exchanges between underfull containers; every one makes a container fuller at the cost of one no fuller, so that
+    the sum of squared fills grows."""
+
+    def __init__(self, bins: list[_Bin], capacity: int):
+        self.bins, self.capacity = bins, capacity
+        self.pool = sorted((size, n, key) for n, b in enumerate(bins) if b.free for size, key in b.items)  # of underfull ones
+
+    def _offer(self, low: int, high: int, n: int) -> tuple | None:
+        """The largest item of low < size <= high in another container with no less room than ``n`` has."""
+        k = bisect_right(self.pool, (high, len(self.bins) + 1)) - 1
+        while k >= 0 and self.pool[k][0] > low:
+            other = self.pool[k][1]
+            if other != n and self.bins[other].free >= self.bins[n].free:
+                return self.pool[k]
+            k -= 1
+        return None
+
+    def _shift(self, item: tuple, source: int, target: int) -> None:
+        self.bins[source].items.remove(item)
+        self.bins[source].free += item[0]
+        self.pool.pop(bisect_left(self.pool, (item[0], source, item[1])))
+        self.bins[target].take(item)
+        insort(self.pool, (item[0], target, item[1]))
+
+    def fill(self, n: int) -> bool:
+        """The best exchange that makes container ``n`` fuller: a move, one for one, or one for two of its own."""
+        own, room = self.bins[n].items, self.bins[n].free
+        best: tuple = (0,)
+        give: list[tuple[int, tuple]] = [(0, ())] + [(x[0], (x,)) for x in own]
+        give += [(own[i][0] + own[j][0], (own[i], own[j])) for j in range(len(own)) for i in range(j)]
+        for size, items in give:
+            offer = self._offer(size, size + room, n)
+            if offer is not None and offer[0] - size > best[0]:
+                best = (offer[0] - size, items, offer)
+                if best[0] == room:
                     break
-    if choice is None:
-        return False
-    _, k, o, back = choice
-    item = giver.give(k)
-    returned = [o.give(j) for j in sorted(back, reverse=True)]
-    o.take(item)
-    for x in returned:
-        giver.take(x)
-    return True
+        if not best[0]:
+            return False
+        _, items, (size, other, key) = best
+        self._shift((size, key), other, n)
+        for x in items:
+            self._shift(x, n, other)
+        if not self.bins[n].free:  # full: out of the search
+            self.pool = [x for x in self.pool if x[1] != n]
+        return True
+
+    def run(self, least: int) -> None:
+        """Until the containers are as few as can be, or no exchange is left."""
+        for _ in range(ROUNDS):
+            changed = False
+            for n in sorted(range(len(self.bins)), key=lambda n: (self.bins[n].free, n)):
+                while 0 < self.bins[n].free < self.capacity and self.fill(n):
+                    changed = True
+            if not changed or sum(bool(b.items) for b in self.bins) <= least:
+                return
 
 
 def pack_group(items: list[tuple], capacity: int) -> list[list[tuple]]:
@@ -107,18 +115,9 @@ def pack_group(items: list[tuple], capacity: int) -> list[list[tuple]]:
     zero = [x for x in items if x[0] == 0]
     bins = _best_fit([x for x in items if x[0] > 0], capacity)
     least = math.ceil(sum(x[0] for x in items) / capacity)
-    while len(bins) > least:
-        bins.sort(key=lambda b: b.free)
-        giver, others = bins[-1], [b for b in bins[:-1] if b.free]
-        if sum(b.free for b in others) < capacity - giver.free:
-            break
-        steps = 0
-        while giver.items and steps < 400 and _unload(giver, others):
-            steps += 1
-        if giver.items:
-            break
-        bins.pop()
-    out = [b.items for b in bins]
+    if len(bins) > least:
+        _Search(bins, capacity).run(least)
+    out = [b.items for b in bins if b.items]
     if zero:
         if not out:
             out.append([])
@@ -130,9 +129,10 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     capacity, group = int(pdf["capacity"].iloc[0]), int(pdf["group"].iloc[0])
     keys = list(zip(pdf["doc_id"], pdf["piece"], pdf["pieces"]))
     rows = []
-    for n, items in enumerate(pack_group(list(zip(pdf["size"].astype(int), keys)), capacity)):
+    order = sorted(range(len(keys)), key=lambda i: (keys[i][0] is not None, keys[i]) if keys[i][0] is not None else (False, ("", *keys[i][1:])))
+    for n, items in enumerate(pack_group([(int(pdf["size"].iloc[i]), place) for place, i in enumerate(order)], capacity)):
         free = capacity - sum(x[0] for x in items)
-        rows += [(int(pdf["plan_id"].iloc[0]), capacity, group << 24 | n, free, *k, s) for s, k in items]
+        rows += [(int(pdf["plan_id"].iloc[0]), capacity, group << 24 | n, free, *keys[order[k]], s) for s, k in items]
     return pd.DataFrame(rows, columns=["plan_id", "capacity", "container", "free", "doc_id", "piece", "pieces", "size"])
 
 

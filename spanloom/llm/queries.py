@@ -150,4 +150,11 @@ QUERIES = {
     "p3_shares": p3_shares,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Where SQL can state a result over whole tables; the rest is tested against brute force, round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "p1_found": """WITH last AS (SELECT r.record_id, any_value(r.difficulty) AS d, any_value(r.duration) AS t FROM records r JOIN (SELECT record_id, max(ingested_at) AS m FROM records GROUP BY 1) x ON r.record_id = x.record_id AND r.ingested_at = x.m GROUP BY 1),
+pool AS (SELECT * FROM last WHERE isfinite(d) AND isfinite(t) AND d BETWEEN 0 AND 1 AND t > 0),
+cells AS (SELECT g.plan_id, g.category, g.weight, g.min_keep, count(p.record_id) AS n FROM sample_targets g LEFT JOIN pool p ON (difficulty_lo IS NULL OR d >= difficulty_lo) AND (difficulty_hi IS NULL OR d < difficulty_hi) AND (duration_lo IS NULL OR t >= duration_lo) AND (duration_hi IS NULL OR t < duration_hi) GROUP BY ALL),
+sums AS (SELECT plan_id, sum(weight) AS w FROM sample_targets GROUP BY 1)
+SELECT c.plan_id, c.category FROM cells c JOIN sums s ON c.plan_id = s.plan_id JOIN sample_plans p ON p.plan_id = c.plan_id WHERE c.n * 1000 * s.w < p.sample_per_mille * (SELECT count(*) FROM pool) * c.weight OR c.n < c.min_keep""",
+}
