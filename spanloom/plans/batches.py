@@ -65,7 +65,7 @@ def u5_reorder(spark, d):
 @query("SELECT CAST(event_id // ((SELECT count(*) FROM events) // 1000) AS INTEGER) AS chunk, round(list(value ORDER BY event_id)[2], 4) AS second, count(*) AS n FROM events GROUP BY 1")
 def u6_fold(spark, d):
     e = events(spark, d)
-    return B.folded(e, 1000, e.count(), "value").select("chunk", F.round(F.col("value")[1], 4).alias("second"), F.size("value").cast("long").alias("n"))
+    return B.folded(e, 1000, e.count(), "value").select("chunk", F.round(F.get("value", F.lit(1)), 4).alias("second"), F.size("value").cast("long").alias("n"))
 
 
 @query("SELECT user_id, count(DISTINCT k) AS keys, count(v) AS filled, count(*) AS n FROM (SELECT user_id, event_type AS k, CASE WHEN event_type IN ('click', 'view') THEN value END AS v FROM events) q GROUP BY 1")

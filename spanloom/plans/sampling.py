@@ -106,7 +106,7 @@ def o4_quotas(spark, d):
     return spark.createDataFrame(list(enumerate(S.quotas(S.LENGTH_SHARES, 997))), "bucket int, quota long")
 
 
-@query(f"WITH {SQL}, {BUCKETS}, {QUOTA}, k AS (SELECT event_id, lb, row_number() OVER (PARTITION BY lb ORDER BY md5('11:' || event_id)) AS n FROM bk) SELECT event_id, CAST(lb AS INTEGER) AS lb FROM k JOIN quota ON lb = b WHERE n <= want")
+@query(f"WITH {SQL}, {BUCKETS}, {QUOTA}, k AS (SELECT event_id, lb, row_number() OVER (PARTITION BY lb ORDER BY md5('11:' || event_id)) AS n, count(*) OVER (PARTITION BY lb) AS pool FROM bk) SELECT event_id, CAST(lb AS INTEGER) AS lb FROM (SELECT event_id, lb, unnest(range(0, CAST((want - n) // pool + 1 AS BIGINT))) AS copy FROM k JOIN quota ON lb = b WHERE n <= want)")
 def o6_stratified(spark, d):
     return S.stratified(bucketed(spark, d), "lb", S.LENGTH_SHARES, 997, 11, "event_id").select("event_id", "lb")
 
