@@ -301,6 +301,9 @@ def answer_kind(problem_type: Column, problem: Column) -> Column:
     )
 
 
+#: Runs up to which their limits are sent along with every task.
+MAX_RUNS = 100_000
+
 _N = r"\d+(?:\.\d+)?"
 _PLAIN = rf"(?:{_N} (?:to|-) {_N}|{_N} and {_N}|from \d+:\d\d to \d+:\d\d|[A-H]|\{{\"(?:time|boxes)\": \[{_N}(?:, {_N})+\]\}})"
 
@@ -332,7 +335,9 @@ def defective_fields(pairs: DataFrame, runs: DataFrame, problem_type: Column) ->
     can be copied from it, no language differs from it), a NULL length or a run that is not listed is no evidence. Texts
     of any length are read whole. A field has one defect, the first that holds in the order of :func:`defect`.
     """
-    limits = F.broadcast(runs.where("run_tag IS NOT NULL").groupBy("run_tag").agg(F.max("max_response_length").alias("limit")))
+    limits = runs.where("run_tag IS NOT NULL").groupBy("run_tag").agg(F.max("max_response_length").alias("limit"))
+    if limits.limit(MAX_RUNS + 1).count() <= MAX_RUNS:
+        limits = F.broadcast(limits)  # else the join is left to the optimizer
     rows = pairs.select(
         F.col("rollout_id").cast("string").alias("rollout_id"), "problem", "response", "ground_truth", F.col("response_length").cast("double"), "run_tag",
         answer_kind(problem_type, F.coalesce("problem", F.lit(""))).alias("kind"),

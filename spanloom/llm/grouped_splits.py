@@ -20,6 +20,8 @@ from ..storage import materialise
 from .components import components
 from .ranks import unit_hash
 
+#: Strata are kinds of records; their list is held by the driver and sent with every task.
+MAX_STRATA = 10_000
 #: Share of all records from which a component is placed by itself.
 LARGE = 0.004
 #: Records that one bucket of components in hash order is meant to hold.
@@ -59,7 +61,7 @@ def assign_splits(rows: DataFrame, targets: DataFrame, id_col: str = "record_id"
     ``targets``: ``split``, ``share`` (shares are scaled to add up to 1; NULL or negative ones count as 0).
     Records without an entity are a group of their own, ``group_key`` NULL. NULL strata are a stratum.
     The result does not depend on the order or partitioning of the input. An empty input gives an empty
-    result; without a positive share it raises ValueError.
+    result; without a positive share, or with more than ``MAX_STRATA`` strata, it raises ValueError.
     """
     shares = [(r["split"], max(0.0, r["share"] or 0.0)) for r in targets.select("split", "share").orderBy("split").collect()]
     total_share = sum(s for _, s in shares)
@@ -72,7 +74,9 @@ def assign_splits(rows: DataFrame, targets: DataFrame, id_col: str = "record_id"
     comp = materialise(
         per.groupBy("_u").agg(F.sum("_n").alias("_n"), F.max_by("_s", F.struct("_n", "_s")).alias("_s")), "components"
     )
-    strata = {r["_s"]: r["n"] for r in comp.groupBy("_s").agg(F.sum("_n").alias("n")).collect()}
+    strata = {r["_s"]: r["n"] for r in comp.groupBy("_s").agg(F.sum("_n").alias("n")).limit(MAX_STRATA + 1).collect()}
+    if len(strata) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata")
     total = sum(strata.values())
     large = comp.where(F.col("_n") > LARGE * total).collect() if total else []  # fewer than 1 / LARGE rows
     room = {(s, n): strata[s] * share for s in strata for n, share in shares}

@@ -73,7 +73,7 @@ def p3_shares(spark, d):
     made = grouped_splits.assign_splits(rows, table(spark, d, "split_targets")).select("record_id", "split")
     counts = made.join(rows.select("record_id", "problem_type"), "record_id").groupBy("problem_type", "split").agg(F.count("*").alias("records"))
     whole = counts.groupBy("problem_type").agg(F.sum("records").alias("of"))
-    return counts.join(F.broadcast(whole), "problem_type").select("problem_type", "split", "records", F.round(F.col("records") / F.col("of"), 4).alias("share"))
+    return counts.join(whole, "problem_type").select("problem_type", "split", "records", F.round(F.col("records") / F.col("of"), 4).alias("share"))
 
 
 def p4_found(spark, d):
