@@ -43,3 +43,14 @@ def prepared_source(rows: DataFrame, listing: DataFrame, path: str, root: str, m
 def resolved_media(frames: Column, metadata: Column, images: Column) -> Column:
     """What a sample's media come out as: images before videos; raises where frames and metadata differ in number."""
     return F.when(images > 0, "image").when(frames == metadata, "video").when(frames.isNull(), "none").otherwise(F.raise_error(F.lit("metadata differ in number")).cast("string"))
+
+
+def joint_targets(spark, given: dict[str, float]) -> DataFrame:
+    """``row``, ``col``, ``share`` from weights keyed ``row|col`` or ``row,col``, scaled to one. Raises without weight."""
+    import re
+
+    total = sum(given.values())
+    if total <= 0:
+        raise ValueError("targets must add up to more than 0")
+    rows = [(*map(int, re.split(r"[|,]", k)), v / total) for k, v in given.items()]
+    return spark.createDataFrame(rows, "row long, col long, share double")

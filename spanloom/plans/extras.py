@@ -100,3 +100,44 @@ def c5_scoped_override(spark, d):
 def x11_function_spec(spark, d):
     spec = F.when(F.col("row_id") % 2 == 0, F.concat(F.lit("pkg.mod:run"), F.col("row_id").cast("string"))).otherwise(F.lit("plain.py"))
     return table(spark, d, "records").select("row_id", F.substring_index(spec, ":", 1).alias("module"), F.when(F.instr(spec, ":") > 0, F.substring_index(spec, ":", -1)).otherwise("main").alias("function"))
+
+
+@query("SELECT DISTINCT user_id, event_id % 400 AS frame FROM events WHERE event_id % 400 IN (SELECT i * 7 FROM range(0, 58) t(i))")
+def s11_frames(spark, d):
+    """The frames of a video that are asked for; decoding is not part of the engine."""
+    wanted = spark.range(58).select((F.col("id") * 7).alias("frame"))
+    return table(spark, d, "events").select("user_id", (F.col("event_id") % 400).alias("frame")).distinct().join(wanted, "frame", "left_semi").select("user_id", "frame")
+
+
+@query("SELECT i AS row, j AS col, CAST((i * 5 + j) AS DOUBLE) / 300 AS share FROM range(0, 5) a(i), range(0, 5) b(j) WHERE i * 5 + j > 0")
+def o5_joint_targets(spark, d):
+    """Joint targets by ``row|col`` or ``row,col`` keys, scaled to one."""
+    given = {f"{i}{'|' if i % 2 else ','}{j}": float(i * 5 + j) for i in range(5) for j in range(5) if i * 5 + j}
+    return D.joint_targets(spark, given)
+
+
+@query("SELECT row_id, CASE WHEN row_id % 3 = 0 THEN '/data/a' || (row_id % 40) END AS path FROM records")
+def c6_existing_path(spark, d):
+    listing = table(spark, d, "records").where("row_id % 3 = 0").select(F.concat(F.lit("/data/a"), (F.col("row_id") % 40).cast("string"), F.lit("#0")).alias("file")).distinct()
+    rows = table(spark, d, "records").select("row_id", F.concat(F.lit("/data/a"), (F.col("row_id") % 40).cast("string"), F.lit("#"), (F.col("row_id") % 3).cast("string")).alias("p"))
+    return D.prepared_source(rows, listing, "p", "/", "optional").select("row_id", F.substring_index("artifact", "#", 1).alias("path"))
+
+
+@query("SELECT run_tag, min(rollout_id) AS rollout_id FROM reward_inputs GROUP BY 1")
+def k9_one_sample(spark, d):
+    return table(spark, d, "reward_inputs").groupBy("run_tag").agg(F.min("rollout_id").alias("rollout_id"))
+
+
+@query("SELECT row_id, '[' || coalesce(source, '') || '] ' || problem || CASE WHEN has_offline_trajectory THEN ' (given)' ELSE '' END AS prompt FROM records")
+def e6_row_template(spark, d):
+    """A template with every field of the row in scope is a column expression."""
+    return table(spark, d, "records").select("row_id", F.concat(F.lit("["), F.coalesce("source", F.lit("")), F.lit("] "), "problem", F.when(F.col("has_offline_trajectory"), " (given)").otherwise("")).alias("prompt"))
+
+
+@query("SELECT batch, CAST(min(n) AS BIGINT) AS least, CAST(max(n) AS BIGINT) AS most FROM (SELECT doc_id // 128 AS batch, doc_id % 8 AS part, 1 AS n FROM documents) q GROUP BY 1")
+def l3_cover(spark, d):
+    """Every item of a batch is in exactly one part."""
+    from ..operators.balance import balanced
+    docs = table(spark, d, "documents").select(F.expr("doc_id div 128").alias("batch"), "doc_id", F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"))
+    per = balanced(docs, "batch", "doc_id", "n_chars", 8).groupBy("batch", "doc_id").agg(F.count("*").alias("n"))
+    return per.groupBy("batch").agg(F.min("n").alias("least"), F.max("n").alias("most"))
