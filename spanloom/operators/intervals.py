@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 
 def merged(df: DataFrame, group: str, start: str = "a", end: str = "b") -> DataFrame:
-    """Segments of a group that overlap or touch (by 1) as one. Ends in either order; NULL ends are left out."""
+    """Segments of a group that overlap or touch (by 1) as one. Ends in either order; NULL ends are left out.
+
+    Of the segments with one start only the longest is sent on, before the shuffle, so a group of very many rows comes to
+    no more than its frames.
+    """
     rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(group, F.least(start, end).alias("a"), F.greatest(start, end).alias("b"))
-    w = Window.partitionBy(group).orderBy("a", "b")
+    rows = rows.groupBy(group, "a").agg(F.max("b").alias("b"))
+    w = Window.partitionBy(group).orderBy("a")
     reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_new", F.when(reach.isNull() | (F.col("a") > reach + 1), 1).otherwise(0))
     rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

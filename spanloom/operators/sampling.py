@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 # Bucket edges and names, and the default shares of each.
 LENGTH_EDGES = [2.0, 5.0, 10.0, 20.0]
 LENGTH_NAMES = ["<2s", "2-5s", "5-10s", "10-20s", ">20s"]
@@ -111,7 +113,8 @@ def gaussian(rows: DataFrame, size: int, mu: float, sigma: float, seed: int, key
 
 def task_batches(rows: DataFrame, task: str, size: int, seed: int, key: str) -> DataFrame:
     """Batches of one task each, by hash order within the task, tails dropped: ``round`` and ``task`` give their order."""
-    name = F.coalesce(F.col(task), F.lit("__default__"))
-    ranked = rows.withColumn("task", name).withColumn("_r", F.row_number().over(Window.partitionBy("task").orderBy(hashed(seed, key))))
-    n = F.count("*").over(Window.partitionBy("task"))
-    return ranked.withColumn("round", F.floor((F.col("_r") - 1) / size).cast("long")).withColumn("_n", n).where(F.col("round") < F.floor(F.col("_n") / size)).drop("_r", "_n")
+    named = rows.withColumn("task", F.coalesce(F.col(task), F.lit("__default__"))).withColumn("_hash", hashed(seed, key))
+    sizes = named.groupBy("task").agg(F.count("*").alias("_n"))
+    keyed = named.join(sizes, "task").withColumn("_unit", unit(F.col("_hash")))
+    placed = ranked(keyed, ["task"], "_n", "_unit", "_hash", "_r").withColumn("round", F.floor((F.col("_r") - 1) / size).cast("long"))
+    return placed.where(F.col("round") < F.floor(F.col("_n") / size)).drop("_r", "_n", "_unit", "_hash")
