@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 from .components import components
-from .ranks import unit_hash
+from ..operators.ranking import unit_hash
 
 #: Strata are kinds of records; their list is held by the driver and sent with every task.
 MAX_STRATA = 10_000

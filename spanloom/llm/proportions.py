@@ -4,7 +4,7 @@ Systematic unequal-probability sampling. Within a plan the categories are sorted
 random order; every row has the inclusion probability ``min(1, target / available)`` of its category; a
 row is taken where the running sum of probabilities, from one random start, crosses an integer. Since
 the probability is one number per category, the running sum follows from the row's rank, and the ranks
-come from bucket counts (:mod:`.ranks`), so no task sees a whole category. Floors are then repaired by
+come from bucket counts (``operators.ranking``), so no task sees a whole category. Floors are then repaired by
 the next rows of the same random order.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise
-from .ranks import ranked, unit_hash
+from ..operators.ranking import ranked, unit_hash
 
 #: Target rows are configuration; they are read by the driver and sent with every task.
 MAX_TARGETS = 10_000

@@ -1,10 +1,11 @@
 import math
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import proportions as P
-from spanloom.llm import ranks
+from spanloom.operators import ranking as ranks
 
 PLANS = "plan_id int, sample_per_mille int"
 TARGETS = "plan_id int, category string, difficulty_lo double, difficulty_hi double, duration_lo double, duration_hi double, weight int, min_keep int"
@@ -67,7 +68,7 @@ def test_nothing(spark):
 
 def test_ranks_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(ranks, "BUCKET_ROWS", 16)
-    df = spark.range(1000).select("id", (F.col("id") % 3).alias("g")).withColumn("n", F.count("*").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("g")))
+    df = spark.range(1000).select("id", (F.col("id") % 3).alias("g")).withColumn("n", F.count("*").over(Window.partitionBy("g")))
     df = df.withColumn("k", ranks.unit_hash(F.lit(3), F.col("id")))
     got = ranks.ranked(df, ["g"], "n", "k", "id").collect()
     for g in range(3):
