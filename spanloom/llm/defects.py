@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -153,17 +154,20 @@ def refuses(text: str) -> bool:
 
 def language(text: str) -> str | None:
     """The language most words vote for; None when the votes are too few or tied."""
-    cjk = len(_CJK.findall(text))
-    words = _WORD.findall(text.lower().replace("’", "'"))
+    return voted(_WORD.findall(text.lower().replace("’", "'")), 0 if text.isascii() else len(_CJK.findall(text)))
+
+
+def voted(words: list[str], cjk: int) -> str | None:
+    """:func:`language` of words in lower case, and the number of Chinese, Japanese and Korean letters among them."""
     if cjk >= 4 and cjk > 2 * sum(not _CJK.search(w) for w in words):
         return "zh"
     votes: dict[str, float] = {}
-    for w in words:
+    for w, n in Counter(words).items():
         for lang in _STOP.get(w, ()):
-            votes[lang] = votes.get(lang, 0) + 1 / len(_STOP[w])
+            votes[lang] = votes.get(lang, 0) + n / len(_STOP[w])
     if not votes:
         return None
-    ranked = sorted(votes.items(), key=lambda kv: -kv[1])
+    ranked = sorted(votes.items(), key=lambda kv: (-kv[1], kv[0]))
     if ranked[0][1] < 1 or (len(ranked) > 1 and ranked[0][1] < 1.2 * ranked[1][1]):
         return None
     return ranked[0][0]

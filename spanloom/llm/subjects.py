@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
-from .defects import language
+from .defects import voted
 
 #: Labelled documents, by hash order, that models are trained and calibrated on, in all and of one value of ``lang``;
 #: everything else covers all documents.
@@ -51,7 +51,9 @@ def sentences(text: str) -> list[list[str]]:
 
 def read(text: str) -> tuple[str, list[list[str]]]:
     """The language of a text ("" where it can't be told) and its sentences."""
-    return language(_TAGS.sub(" ", text)) or "", sentences(text)
+    sents = sentences(text)
+    words = [w for sent in sents for w in sent]
+    return voted(words, 0 if text.isascii() else sum(len(w) == 1 and w > "\u2fff" for w in words)) or "", sents
 
 
 class SubjectModels:
@@ -192,16 +194,18 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[d
     known = spark.sparkContext.broadcast({lang: (set(u), {x for x, c in b.items() if c >= 2}) for lang, (u, b) in seen.items()})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tally: Counter = Counter()
+        tally = {lang: (Counter(), Counter()) for lang in known.value}
         for pdf in batches:
             for text in pdf["text"]:
                 lang, sents = read(text)
                 if lang in known.value:
                     keep_uni, keep_bi = known.value[lang]
                     for sent in sents:
-                        tally.update((lang, None, t) for t in sent if t in keep_uni)
-                        tally.update((lang, *x) for x in zip(sent, sent[1:]) if x in keep_bi)
-        yield pd.DataFrame([(*k, n) for k, n in tally.items()], columns=["lang", "a", "b", "n"])
+                        tally[lang][0].update(filter(keep_uni.__contains__, sent))
+                        tally[lang][1].update(filter(keep_bi.__contains__, zip(sent, sent[1:])))
+        rows = [(lang, None, t, n) for lang, (uni, _) in tally.items() for t, n in uni.items()]
+        rows += [(lang, *x, n) for lang, (_, bi) in tally.items() for x, n in bi.items()]
+        yield pd.DataFrame(rows, columns=["lang", "a", "b", "n"])
 
     # one row per n-gram of the labelled sample at most comes to the driver; the counts are of all documents
     counts = documents.select("text").where("text IS NOT NULL").mapInPandas(count, "lang string, a string, b string, n long").groupBy("lang", "a", "b").agg(F.sum("n").alias("n")).toPandas()
