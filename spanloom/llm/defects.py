@@ -13,7 +13,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -162,7 +162,7 @@ def voted(words: list[str], cjk: int) -> str | None:
     if cjk >= 4 and cjk > 2 * sum(not _CJK.search(w) for w in words):
         return "zh"
     votes: dict[str, float] = {}
-    for w, n in Counter(words).items():
+    for w, n in Counter(words).items() if len(words) > 200 else ((w, 1) for w in words):
         for lang in _STOP.get(w, ()):
             votes[lang] = votes.get(lang, 0) + n / len(_STOP[w])
     if not votes:
@@ -195,12 +195,21 @@ def _blank(text: str) -> bool:
     return not any(unicodedata.category(c)[0] in "LN" for c in _ANY_TAG.sub(" ", text))
 
 
-@lru_cache(maxsize=4096)
-def _prompt(problem: str) -> tuple:
-    text = _ANY_TAG.sub(" ", problem)
-    words = [w.lower() for w in _WORD.findall(text)]
-    options = [o.strip().lower() for o in re.findall(r"(?m)^\s*\(?[A-H][).]\s*(.+)$", text)]
-    return PromptAutomaton(words), language(text), options, len(words)
+class _Prompt:
+    """What is asked of a prompt; its automaton is built when a field without an answer needs it."""
+
+    def __init__(self, problem: str):
+        text = _ANY_TAG.sub(" ", problem)
+        self.words = [w.lower() for w in _WORD.findall(text)]
+        self.language = voted([w.replace("’", "'") for w in self.words], 0 if text.isascii() else len(_CJK.findall(text)))
+        self.options = [o.strip().lower() for o in re.findall(r"(?m)^\s*\(?[A-H][).]\s*(.+)$", text)] if "\n" in text else []
+
+    @cached_property
+    def automaton(self) -> PromptAutomaton:
+        return PromptAutomaton(self.words)
+
+
+_prompt = lru_cache(maxsize=4096)(_Prompt)
 
 
 def _times(body: str) -> bool:
@@ -212,7 +221,8 @@ def defect(problem: str | None, text: str | None, length: float | None, limit: f
     other_language; a copied question or a refusal that breaks off is told by what it is."""
     if text is None or _blank(text):
         return "empty"
-    automaton, asked, options, _ = _prompt(problem or "")
+    prompt = _prompt(problem or "")
+    asked, options = prompt.language, prompt.options
     open_ = unclosed(text) and not _tag_of_prompt(text, problem or "")
     rest = _THINK.sub(" ", text)
     blocks = _ANSWER.findall(rest)
@@ -223,7 +233,7 @@ def defect(problem: str | None, text: str | None, length: float | None, limit: f
         return "empty"
     if blocks and len(final.strip()) > 3 and final.strip().lower() in (problem or "").lower():
         said = [w.lower() for w in _WORD.findall(outside)]
-        if len(said) >= 6 and automaton.covered(said) >= 0.9:  # the example answer of the prompt is copied too
+        if len(said) >= 6 and prompt.automaton.covered(said) >= 0.9:  # the example answer of the prompt is copied too
             return "copied_question"
     # an answer of some form: times, boxes or a letter, whatever was asked for, or a phrase where one was
     phrase_wanted = by_kind in ("phrase", "letter")
@@ -237,7 +247,7 @@ def defect(problem: str | None, text: str | None, length: float | None, limit: f
     if not answered:
         core = final if blocks and not open_ and len(_WORD.findall(final)) > 1 else outside if not open_ else free
         said = [w.lower() for w in _WORD.findall(core)]
-        if not open_ and len(said) >= 6 and automaton.covered(said) >= COPIED:
+        if not open_ and len(said) >= 6 and prompt.automaton.covered(said) >= COPIED:
             return "copied_question"
         if not open_ and refuses(core):
             return "refusal"
