@@ -92,8 +92,10 @@ def _by_words(documents: DataFrame, id_col: str, text_col: str, path: str, name:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
-    split = docs.where("text IS NOT NULL AND text <> ''").select(block, "doc_id", words(F.col("text")).alias("words"))
-    used = materialise(split.select("block", F.explode(F.array_distinct("words")).alias("word")).distinct(), "block-words")
+    base = docs.where("text IS NOT NULL AND text <> ''").select(block, "doc_id", "text")
+    used = materialise(base.select("block", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).distinct(), "block-words")
+    # texts are sent to their blocks and split there: as words they would be several times as large
+    split = base.repartition("block").select("block", "doc_id", words(F.col("text")).alias("words"))
     encode = _word_encoder(spark, path, name)
     table = used.select("word").distinct().withColumn("ids", encode("word"))
     if counts_only:
