@@ -8,17 +8,37 @@ a folder made, once per session.
 from __future__ import annotations
 
 import atexit
+import pathlib
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that their Python workers can import it wherever
+    they run."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = pathlib.Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="spanloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/spanloom.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(f"{folder}/spanloom.zip")
+    _SHIPPED.add(app)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The input table ``name`` of ``folder`` (one Parquet file or a folder of them)."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
