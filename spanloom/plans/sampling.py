@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import parsing as P
 from ..operators import conversion as C
 from ..operators import sampling as S
 from ..operators.ranking import positions
