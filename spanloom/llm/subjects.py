@@ -24,8 +24,8 @@ from ..storage import materialise
 from .defects import voted
 
 #: Labelled documents, by hash order, that models are trained and calibrated on, in all and of one value of ``lang``;
-#: everything else covers all documents.
-MAX_LABELLED, MAX_OF_LANG = 9000, 1500
+#: everything else covers all documents. Those that would bring the sample over MAX_BYTES of text are left out of it.
+MAX_LABELLED, MAX_OF_LANG, MAX_BYTES = 9000, 1500, 64 << 20
 #: Interpolation: weight of the bigram by (count / (count + KAPPA)), and of the subject's unigram against the background.
 KAPPA, MU = 8.0, 0.85
 #: Prior of a sentence that is about no subject, of one about a subject the document is not labelled with, and rounds of training and of a document's mixture.
@@ -177,11 +177,19 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[d
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     place = F.row_number().over(Window.partitionBy("_lang").orderBy(*order))
     chosen = (
-        documents.where("text IS NOT NULL").select("doc_id", named.alias("_lang")).join(votes, "doc_id")
-        .withColumn("_place", place).where(F.col("_place") <= MAX_OF_LANG).orderBy(*order).limit(MAX_LABELLED).select("doc_id", "labels")
+        documents.where("text IS NOT NULL").select("doc_id", named.alias("_lang"), F.octet_length("text").alias("_size")).join(votes, "doc_id")
+        .withColumn("_place", place).where(F.col("_place") <= MAX_OF_LANG).orderBy(*order).limit(MAX_LABELLED)
+        .select("doc_id", "labels", "_size", F.xxhash64("doc_id").alias("_order"))
     )
-    chosen = materialise(chosen, "labelled")  # at most MAX_LABELLED rows
-    rows = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").collect()
+    picked: dict[int, tuple] = {}
+    held = 0
+    for r in sorted(materialise(chosen, "labelled").collect(), key=lambda r: (r["_order"], r["doc_id"])):  # at most MAX_LABELLED rows
+        if r["doc_id"] not in picked and held + r["_size"] <= MAX_BYTES:
+            picked[r["doc_id"]] = (r["doc_id"], list(r["labels"]))
+            held += r["_size"]
+    spark = documents.sparkSession
+    sample = spark.createDataFrame(list(picked.values()), "doc_id long, labels array<string>")
+    rows = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").collect()
     docs = [(*read(r["text"]), set(r["labels"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
     docs = [d for d in docs if d[1]]
     seen: dict[str, tuple[Counter, Counter]] = {}
@@ -190,7 +198,6 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[d
         for sent in sents:
             uni.update(sent)
             bi.update(zip(sent, sent[1:]))
-    spark = documents.sparkSession
     known = spark.sparkContext.broadcast({lang: (set(u), {x for x, c in b.items() if c >= 2}) for lang, (u, b) in seen.items()})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
