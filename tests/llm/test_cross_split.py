@@ -63,3 +63,26 @@ def test_odd_rows(spark):
 def test_other_events_of_one_video(spark):
     rows = [(1, "train", AROUND[0].format(events()[0]), ["v"], 0, "", 0), (2, "val", AROUND[0].format(events()[1]), ["v"], 0, "", 0), (3, "test", AROUND[1].format(events()[40]), ["v"], 0, "", 0)]
     assert X.overlaps(spark.createDataFrame(rows, SCHEMA)).count() == 0
+
+
+FRENCH = "<video>À quel moment voit-on ceci : {} ? Indique le début et la fin en secondes."
+
+
+def test_events_shorter_than_their_instruction(spark):
+    who, does = ["la vendeuse", "un cycliste", "le gardien", "une peintre", "deux élèves"], ["jette l'éponge", "pose le seau", "ouvre la caisse", "attache la corde", "roule le tapis"]
+    short = [f"{a} {b} devant le garage" for a in who for b in does]
+    rows = [(i, "train" if i % 2 else "val", FRENCH.format(e), ["v"]) for i, e in enumerate(short)]
+    rows += [(100, "test", f"<video>Combien de temps dure ce moment de la vidéo que tu viens de voir : {short[1]} ?", ["v"]), (101, "val", FRENCH.format(short[3]), ["v"]), (102, "test", FRENCH.replace("secondes", "secnodes").format(short[4]), ["v"])]
+    # two events in one text: each of them is compared
+    rows += [(103, "train", FRENCH.format(f"{short[6]}. Puis {events()[0]}"), ["w"]), (104, "val", AROUND[1].format(events()[0]), ["w"]), (105, "test", f"<video>{events()[5]}; {events()[0]}", ["w"])]
+    got = {(r.evaluation_id, r.training_id) for r in X.overlaps(spark.createDataFrame([(*r, 0, "x", 1) for r in rows], SCHEMA)).collect()}
+    assert got == {(100, 1), (101, 3), (104, 103), (105, 103)}
+
+
+def test_instructions_stand_beside_many_events(spark):
+    rows = [(FRENCH.format(f"{a} {b}"),) for a in WHO for b in DOES * 2 for b in (b, b + " again")] + [(AROUND[1].format(WHO[0]),)] * 50
+    found = X.instructions(spark.createDataFrame(rows, "problem string"))
+    assert "indique le début et la fin en secondes" in found and "indique le début et la fin en secnodes" in found
+    assert "locate the clip" not in found and "a cook with grey gloves" not in found
+    text = FRENCH.format("elle dort") + "\nA. the tiny plank\nB. the rusty blanket"
+    assert X.asked_for(text, found) == ["elle dort"] and X.asked_for("<video>Indique le début et la fin en secondes.", found)
