@@ -100,6 +100,15 @@ def j3_rollout_join(spark, d):
     return prompts.join(outs, ["record_id", "slot"], "left").select((F.col("record_id") * 4 + F.col("slot")).alias("row"), "record_id", "slot", "n")
 
 
+@query("SELECT uid, slot, p.problem_id, o.rollout_id, CAST(o.response_length AS BIGINT) AS n FROM (SELECT uid, problem_id, CAST(unnest(range(0, rollout_n)) AS BIGINT) AS slot FROM (SELECT DISTINCT uid, problem_id, run_tag FROM reward_inputs) q JOIN runs USING (run_tag)) p FULL JOIN (SELECT uid, CAST(slot AS BIGINT) AS slot, rollout_id, response_length FROM reward_inputs) o USING (uid, slot)")
+def j3_rollout_groups(spark, d):
+    rows = table(spark, d, "reward_inputs")
+    outs = rows.select("uid", F.col("slot").cast("long").alias("slot"), "rollout_id", F.col("response_length").cast("long").alias("n"))
+    prompts = rows.select("uid", "problem_id", "run_tag").distinct().join(table(spark, d, "runs").where("rollout_n > 0").select("run_tag", "rollout_n"), "run_tag")
+    repeats = prompts.select("uid", "problem_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rollout_n").cast("long") - 1)).alias("slot"))
+    return repeats.join(outs, ["uid", "slot"], "full").select("uid", "slot", "problem_id", "rollout_id", "n")
+
+
 @query("SELECT 'missing' AS kind, count(*) AS n FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM subject_labels) a UNION ALL SELECT 'kept', count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM subject_labels) b")
 def j5_key_sets(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "subject_labels")
