@@ -86,3 +86,11 @@ def test_instructions_stand_beside_many_events(spark):
     assert "locate the clip" not in found and "a cook with grey gloves" not in found
     text = FRENCH.format("elle dort") + "\nA. the tiny plank\nB. the rusty blanket"
     assert X.asked_for(text, found) == ["elle dort"] and X.asked_for("<video>Indique le début et la fin en secondes.", found)
+
+
+def test_a_misspelt_word_in_the_middle_of_a_short_event(spark):
+    words = "nine girls quietly paint their wooden bench near home"
+    rows = [(1, "train", "<video>" + words, ["v"]), (2, "val", "<video>" + words.replace("their", "thier"), ["v"]), (3, "val", "<video>" + words.replace("their", "seven"), ["v"])]
+    rows += [(4, "train", f"<video>{words} before the old clock on the tower strikes midnight again", ["v"]), (5, "test", "<video>" + words.replace("their", "theirr"), ["w"])]
+    got = {(r.evaluation_id, r.training_id) for r in X.overlaps(spark.createDataFrame([(*r, 0, "x", 1) for r in rows], SCHEMA)).collect()}
+    assert got == {(2, 1), (2, 4)}
