@@ -94,3 +94,18 @@ def test_a_misspelt_word_in_the_middle_of_a_short_event(spark):
     rows += [(4, "train", f"<video>{words} before the old clock on the tower strikes midnight again", ["v"]), (5, "test", "<video>" + words.replace("their", "theirr"), ["w"])]
     got = {(r.evaluation_id, r.training_id) for r in X.overlaps(spark.createDataFrame([(*r, 0, "x", 1) for r in rows], SCHEMA)).collect()}
     assert got == {(2, 1), (2, 4)}
+
+
+def test_three_misspelt_words_of_eight(spark):
+    words, wrong = "nine girls quietly paint wooden benches near home", "nine grils quietly piant wooden bencehs near home"
+    rows = [(1, "train", "<video>" + words, ["v"]), (2, "val", "<video>" + wrong, ["v"]), (3, "val", "<video>nine birds quickly carry golden beads near home", ["v"])]
+    got = {(r.evaluation_id, r.training_id) for r in X.overlaps(spark.createDataFrame([(*r, 0, "x", 1) for r in rows], SCHEMA)).collect()}
+    assert got == {(2, 1)}
+
+
+def test_misspellings_share_a_group():
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(400)]
+    numbers = {w: n for n, w in enumerate(dict.fromkeys(words))}
+    group = X._spellings(numbers)
+    assert all(group[numbers[a]] == group[numbers[b]] for a in numbers for b in numbers if X._typo(a, b))
