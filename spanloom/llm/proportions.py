@@ -87,7 +87,10 @@ def proportional_sample(
     for r in counts:
         eligible[r["plan_id"]] = eligible.get(r["plan_id"], 0) + r["available"]
         have[(r["plan_id"], r["category"])] = r["available"]
-    mille = {r["plan_id"]: r["sample_per_mille"] or 0 for r in plans.select("plan_id", "sample_per_mille").limit(MAX_TARGETS).collect()}
+    sizes = plans.select("plan_id", "sample_per_mille").limit(MAX_TARGETS + 1).collect()
+    if len(sizes) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} plans")
+    mille = {r["plan_id"]: r["sample_per_mille"] or 0 for r in sizes}
     made, base = [], {}
     weights: dict[int, float] = {}
     for t in listed:

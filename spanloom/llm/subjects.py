@@ -26,6 +26,8 @@ from .defects import voted
 #: Labelled documents, by hash order, that models are trained and calibrated on, in all and of one value of ``lang``;
 #: everything else covers all documents. Those that would bring the sample over MAX_BYTES of text are left out of it.
 MAX_LABELLED, MAX_OF_LANG, MAX_BYTES = 9000, 1500, 64 << 20
+#: More subjects than these are an error.
+MAX_SUBJECTS = 1000
 #: Interpolation: weight of the bigram by (count / (count + KAPPA)), and of the subject's unigram against the background.
 KAPPA, MU = 8.0, 0.85
 #: Prior of a sentence that is about no subject, of one about a subject the document is not labelled with, and rounds of training and of a document's mixture.
@@ -171,7 +173,9 @@ def _accepted(n: np.ndarray, least: float, share: float) -> np.ndarray:
 
 def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[dict[str, SubjectModels], list[str], float, float]:
     """The models by language, the subjects, and the thresholds (sentences, share)."""
-    names = sorted(r["subject"] for r in subjects.select("subject").where("subject IS NOT NULL").distinct().limit(1000).collect())
+    names = sorted(r["subject"] for r in subjects.select("subject").where("subject IS NOT NULL").distinct().limit(MAX_SUBJECTS + 1).collect())
+    if len(names) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     votes = labels.where(F.col("subject").isin(names) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
     named = F.lower(F.substring(F.coalesce("lang", F.lit("")), 1, 2))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -74,3 +75,10 @@ def test_ranks_over_buckets(spark, monkeypatch):
     for g in range(3):
         own = sorted((r for r in got if r.g == g), key=lambda r: (r.k, r.id))
         assert [r["rank"] for r in own] == list(range(1, len(own) + 1))
+
+
+def test_too_many_plans_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(P, "MAX_TARGETS", 4)
+    with pytest.raises(ValueError, match="plans"):
+        draw(spark, rows(50), [(i, 500) for i in range(5)], TWO)
+    assert draw(spark, rows(50), [(i, 500) for i in range(4)], TWO)[1][1, "easy"].target > 0

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from spanloom.llm import subjects as S
 
 NOUNS = {
@@ -38,3 +40,11 @@ def test_held_out(spark):
     assert not set(got) & {5000, 5001, 5002, 5003, 5004}
     assert S.subject_areas(documents.where("false"), *args).count() == 0
     assert S.subject_areas(documents, args[0].where("false"), args[1]).count() == 0
+
+
+def test_too_many_subjects_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(S, "MAX_SUBJECTS", 2)
+    docs = spark.createDataFrame([(1, "a text", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, "law")], "doc_id long, subject string")
+    with pytest.raises(ValueError, match="subjects"):
+        S.fit(docs, labels, spark.createDataFrame([("law",), ("sport",), ("music",)], "subject string"))
