@@ -3,7 +3,8 @@
 Items are spread over groups by hash, each of about ``GROUP_CONTAINERS`` containers, and each group is packed by
 best fit, largest first, then improved by local search: underfull containers, fullest first, take items of others no
 fuller, alone, for one or for two of their own, wherever the sum of squared fills grows, until containers are empty. The containers that
-stay open are taken up again, with their items, by groups of the next round, until one group holds them all.
+stay open are taken up again, with their items, by groups of the next round, until one group holds them all or a round
+leaves them no fewer.
 """
 
 from __future__ import annotations
@@ -165,18 +166,21 @@ def pack(sizes: DataFrame, plans: DataFrame, seed: int = 5) -> DataFrame:
         items = cut.where((F.col("size") < cap) | (rest > 0)).select(
             F.lit(plan["plan_id"]).cast("int").alias("plan_id"), F.lit(cap).cast("int").alias("capacity"), "doc_id",
             F.when(F.col("size") < cap, F.lit(1)).otherwise(F.col("pieces")).alias("piece"), "pieces", rest.alias("size"))
-        held, level = total, 0
+        held, level, before = total, 0, None  # before: how many containers were open, and where their documents were
         while True:
             groups = max(1, math.ceil(held / cap / GROUP_CONTAINERS))
             keyed = items.withColumn("group", F.pmod(F.xxhash64(F.lit(seed + level), "doc_id"), F.lit(groups)).cast("int"))
             packed = materialise(keyed.groupBy("group").applyInPandas(_pack, _PACKED), "packed")
             named = packed.withColumn("container_id", F.concat_ws("-", F.lit("r"), F.lit(level), "plan_id", "container"))
+            place = ["plan_id", "piece", "pieces", "doc_id", F.col("size").alias("tokens"), "container_id"]
             open_ = packed.where(F.col("free") > CLOSED_FREE * cap)
             again = open_.agg(F.sum(F.col("size").cast("long")), F.countDistinct("container")).first()
-            if groups == 1 or (again[1] or 0) <= 1 or level >= 6 or (again[0] or 0) > 0.7 * held:
-                done.append(named.select("plan_id", "piece", "pieces", "doc_id", F.col("size").alias("tokens"), "container_id"))
+            fewer = before is None or packed.select("container").distinct().count() < before[0]
+            if not fewer or groups == 1 or (again[1] or 0) <= 1:
+                done.append(named.select(*place) if fewer else before[1])
                 break
-            done.append(named.where(F.col("free") <= CLOSED_FREE * cap).select("plan_id", "piece", "pieces", "doc_id", F.col("size").alias("tokens"), "container_id"))
+            done.append(named.where(F.col("free") <= CLOSED_FREE * cap).select(*place))
+            before = (again[1], named.where(F.col("free") > CLOSED_FREE * cap).select(*place))
             items = open_.select("plan_id", "capacity", "doc_id", "piece", "pieces", "size")
             held, level = again[0] or 0, level + 1
     if not done:

@@ -47,3 +47,13 @@ def test_operator(spark, monkeypatch):
     assert P.report(packed, plans.where("plan_name <> 'again'")).count() == 2
     assert P.pack(spark.createDataFrame([], "doc_id long, tokens int"), plans).count() == 0
     assert P.pack(spark.createDataFrame([(1, 5)], "doc_id long, tokens int"), plans.where("false")).count() == 0
+
+
+def test_open_containers_meet_other_groups(spark, monkeypatch):
+    monkeypatch.setattr(P, "GROUP_CONTAINERS", 4)
+    rng = random.Random(9)
+    docs = [(i, rng.randint(30, 60)) for i in range(400)]  # most containers stay open at first
+    packed = P.pack(spark.createDataFrame(docs, "doc_id long, tokens int"), spark.createDataFrame([(1, 100)], "plan_id int, capacity_tokens int"))
+    rows = packed.collect()
+    assert sorted((r.doc_id, r.tokens) for r in rows) == docs
+    assert len({r.container_id.split("-")[1] for r in rows}) > 1
