@@ -41,7 +41,7 @@ def records(seed=1, n=260):
 
 
 def test_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(X, "BLOCK", 20)  # cuts the hot entity into many blocks
+    monkeypatch.setattr(X, "BLOCK", 20)  # the hot entity is partitioned by shingles, and its frequent shingles by blocks
     data = records()
     want = {(a[0], b[0]) for a in data for b in data if a[1] in ("val", "test") and b[1] == "train" and a[2] == b[2] and set(a[4]) & set(b[4])}
     df = spark.createDataFrame([(i, s, p, v, 0, "x", 1) for i, s, _, p, v in data], SCHEMA)
@@ -56,7 +56,7 @@ def test_odd_rows(spark):
         (8, None, text, ["v"]), (9, "val", "<video>", ["v"]), (10, "val", text + " word" * 20000, ["v"]), (None, "val", text, ["v"]), (11, "train", "short one", ["v"]), (12, "val", "short one", ["v"]),
     ]
     df = spark.createDataFrame([(*r, 0, "x", 1) for r in rows], SCHEMA)
-    assert {(r.evaluation_id, r.training_id) for r in X.overlaps(df).collect()} == {(2, 1), (12, 11)} | {(10, 1)} - {(10, 1)}
+    assert {(r.evaluation_id, r.training_id) for r in X.overlaps(df).collect()} == {(2, 1), (10, 1), (12, 11)}  # 10 asks for the same, with more words after it
     assert X.overlaps(df.where("false")).count() == 0
 
 
@@ -73,10 +73,10 @@ def test_events_shorter_than_their_instruction(spark):
     short = [f"{a} {b} devant le garage" for a in who for b in does]
     rows = [(i, "train" if i % 2 else "val", FRENCH.format(e), ["v"]) for i, e in enumerate(short)]
     rows += [(100, "test", f"<video>Combien de temps dure ce moment de la vidéo que tu viens de voir : {short[1]} ?", ["v"]), (101, "val", FRENCH.format(short[3]), ["v"]), (102, "test", FRENCH.replace("secondes", "secnodes").format(short[4]), ["v"])]
-    # two events in one text: each of them is compared
+    # two events in one text: all of them are compared, an event beside another one in each text is no case
     rows += [(103, "train", FRENCH.format(f"{short[6]}. Puis {events()[0]}"), ["w"]), (104, "val", AROUND[1].format(events()[0]), ["w"]), (105, "test", f"<video>{events()[5]}; {events()[0]}", ["w"])]
     got = {(r.evaluation_id, r.training_id) for r in X.overlaps(spark.createDataFrame([(*r, 0, "x", 1) for r in rows], SCHEMA)).collect()}
-    assert got == {(100, 1), (101, 3), (104, 103), (105, 103)}
+    assert got == {(100, 1), (101, 3), (104, 103)}
 
 
 def test_instructions_stand_beside_many_events(spark):
@@ -85,7 +85,7 @@ def test_instructions_stand_beside_many_events(spark):
     assert "indique le début et la fin en secondes" in found and "indique le début et la fin en secnodes" in found
     assert "locate the clip" not in found and "a cook with grey gloves" not in found
     text = FRENCH.format("elle dort") + "\nA. the tiny plank\nB. the rusty blanket"
-    assert X.asked_for(text, found) == ["elle dort"] and X.asked_for("<video>Indique le début et la fin en secondes.", found)
+    assert X.asked_for(text, found) == "elle dort" and X.asked_for("<video>Indique le début et la fin en secondes.", found)
 
 
 def test_a_misspelt_word_in_the_middle_of_a_short_event(spark):
@@ -109,3 +109,29 @@ def test_misspellings_share_a_group():
     numbers = {w: n for n, w in enumerate(dict.fromkeys(words))}
     group = X._spellings(numbers)
     assert all(group[numbers[a]] == group[numbers[b]] for a in numbers for b in numbers if X._typo(a, b))
+
+
+def pairs_of(spark, rows):
+    return {(r.evaluation_id, r.training_id) for r in X.overlaps(spark.createDataFrame([(*r, ["v"], 0, "x", 1) for r in rows], SCHEMA)).collect()}
+
+
+def test_events_beside_the_same_long_passage(spark):
+    """No table is large enough here to tell which passages are instructions."""
+    ask = "<video>Please watch the whole recording carefully and find the start and end of the following event in seconds: "
+    first = "A cook with grey gloves carefully folds the rusty rope behind the desk and finally bows. "
+    rows = [(1, "train", ask + "a dog runs"), (2, "val", ask + "two men shake hands"), (3, "train", first + "Then an old man waves."), (4, "val", first + "Then the lamp breaks down.")]
+    side = "a dancer in a striped coat twice drops the blue pillow near the gate and bows to the {} side of the stage"
+    rows += [(5, "train", side.format("left")), (6, "test", side.format("right")), (7, "test", side.format("lefft"))]
+    assert pairs_of(spark, rows) == {(7, 5)}
+
+
+def test_what_is_sent_of_a_hot_entity_grows_with_its_records(spark):
+    rng = random.Random(5)
+    made = [f"{a} number{rng.randrange(400)} {b} tool{rng.randrange(400)} {c} at{rng.randrange(400)}" for a in WHO for b in DOES for c in ENDS for _ in range(20)]
+    rng.shuffle(made)
+    hot = spark.createDataFrame([("v",)], "entity string")
+    sent = []
+    for n in (300, 900):
+        rows = spark.createDataFrame([(i, i % 3 == 0, "v", t) for i, t in enumerate(made[:n])], "id long, evaluation boolean, entity string, text string")
+        sent.append(X._sent(X._different(rows.join(hot, "entity"))).count())
+    assert 2.7 * sent[0] < sent[1] < 3.3 * sent[0]
