@@ -28,23 +28,22 @@ def p1_found(spark, d):
     return p1_report(spark, d).where("short").select("plan_id", "category")
 
 
-def _p2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = materialise(valid_rows(
+def _p2(spark: SparkSession, d: str) -> DataFrame:
+    return valid_rows(
         table(spark, d, "records"), split=split_name(F.col("split")), source=F.col("source"), problem=F.col("problem"),
         entities=video_ids(F.col("videos")),
-    ), "p2-records")
-    return rows, cross_split.overlaps(rows)
+    )
 
 
 def p2_found(spark, d):
     pair = (F.col("evaluation_id"), F.col("training_id"))
-    return _p2(spark, d)[1].select(F.least(*pair).alias("record_id_a"), F.greatest(*pair).alias("record_id_b"))
+    return cross_split.overlaps(_p2(spark, d)).select(F.least(*pair).alias("record_id_a"), F.greatest(*pair).alias("record_id_b"))
 
 
 def p2_report(spark, d):
     """Per evaluation split and source: evaluation records, those with an overlap, pairs."""
-    rows, pairs = _p2(spark, d)
-    per = pairs.groupBy(F.col("evaluation_id").alias("record_id")).agg(F.count("*").alias("pairs"))
+    rows = materialise(_p2(spark, d), "p2-records")
+    per = cross_split.overlaps(rows).groupBy(F.col("evaluation_id").alias("record_id")).agg(F.count("*").alias("pairs"))
     return (
         rows.where("split IN ('val', 'test')").select("record_id", "split", "source").join(per, "record_id", "left")
         .groupBy("split", "source").agg(
