@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cross_split import _typo
+
 # Phrases by which an answer is declined, in lower case, apostrophes as '.
 REFUSALS = """
 i can't help | i cannot help | can't help with | help with that | i'm sorry, but | i am sorry, but | sorry, but i can't | sorry, no answer | no answer can be
@@ -37,8 +39,23 @@ je ne peux pas | ne peux pas | ne puis | pas accès | accès à la vidéo | je n
 no puedo | no tengo acceso | acceso al vídeo | lo siento | no me es posible | no estoy en condiciones | puedo responder | me niego | prefiero no | debo rechazar | no voy a responder
 non posso | mi dispiace | non ho accesso
 无法回答 | 无法观看 | 不能回答 | 抱歉 | 对不起 | 无法访问 | 我不能 | 无法
+não posso | não consigo | não vou responder | não quero responder | não me é possível | prefiro não | recuso-me | me recuso | sem acesso ao vídeo
+kan ik niet | ik kan niet | ik kan deze | mag ik niet | wil ik niet | ik weiger | geen toegang | ik geef hier geen | niet beantwoorden | liever niet
+nie mogę | nie jestem w stanie | nie odpowiem | odmawiam | nie mam dostępu | wolę nie
+не могу | не буду отвечать | отказываюсь | нет доступа | не имею доступа | предпочитаю не
+お答えできません | 答えられません | できません | お断りします | 申し訳ありません | 申し訳ございません | 답변할 수 없습니다 | 죄송합니다 | 할 수 없습니다
 """.replace("\n", "|")
 
+# Words of regret or inability, and, by language, those that deny and those by which speakers mean themselves.
+REGRET = """sorry apologies apologise apologize unfortunately regret afraid refuse refusing decline declining unable leider verweigere ablehnen désolé désolée regrette malheureusement
+lamento lamentablemente desafortunadamente desculpe desculpa infelizmente helaas spijt weiger spiacente purtroppo rifiuto przykro przepraszam niestety odmawiam извините простите сожалению отказываюсь"""
+DENIAL = {
+    "en": "not no never nothing cannot can't won't don't couldn't wouldn't shouldn't isn't i'd | i me my we us our",
+    "de": "nicht kein keine keinen nichts | ich mir mich mein wir uns", "fr": "ne pas n'ai aucun aucune rien | je j'ai me moi mon nous", "es": "no nada ningún ninguna | yo me mi puedo quiero debo voy tengo",
+    "it": "non nessun nessuna niente | io mi posso voglio ho devo", "pt": "não nada nenhum nenhuma | eu me meu posso quero vou tenho", "nl": "niet geen niets | ik mij me mijn wij",
+    "pl": "nie nic | ja mi mogę chcę mam", "ru": "не нет ничего | я мне могу хочу мы",
+}
+
 # Frequent words by language.
 STOPWORDS = {
     "en": "the a an of and to in is it that with as at by from for on this be not no which but only so one somebody nothing again there first last then i my me can are was has before after near beside behind below front left right between seconds does any",
@@ -48,7 +65,14 @@ STOPWORDS = {
     "it": "il lo la gli le un una di del della e è non nei nel si in che da con per sul alla questo quindi soltanto verso dopo primi secondi qualcuno ma sempre niente altro davanti dietro vicino fino",
     "pt": "o os as um uma de do da e é não no na em que se por com ao mais mas depois até alguém segundo segundos apenas",
     "nl": "de het een en is niet van op te met voor bij na aan er ik dat die uit naar maar alleen iemand seconden",
+    "pl": "jest się nie że od przez który która które oraz sekundy sekund sekundach po przed między ale tylko jak tam ktoś początek koniec zdarzenie trwa już potem jego jej przy pod nad",
+    "ru": "и в не на что от до с это по как он она но из за у к секунды секунд секунде начало конец потом кто-то затем событие там только длится между",
 }
+# Number words up to twelve by language, those that mean something else in another left out.
+NUMBERS = """zero one two three four five six seven eight nine ten eleven twelve | null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf
+zéro _ deux trois quatre cinq _ sept huit neuf dix onze douze | cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce"""
+_NUMBER = {w: str(n) for row in NUMBERS.replace("\n", "|").split("|") for n, w in enumerate(row.split()) if w != "_"}
+_NUMBER_WORD = re.compile(r"\b(?:" + "|".join(_NUMBER) + r")\b", re.I)
 _STOP: dict[str, list[str]] = {}
 for _l, _ws in STOPWORDS.items():
     for _w in _ws.split():
@@ -56,13 +80,13 @@ for _l, _ws in STOPWORDS.items():
 
 NUM = r"[+-]?\d+(?:[.,]\d+)?"
 TIME = rf"(?:\d+(?::\d\d){{1,2}}(?:\.\d+)?|{NUM})"
-_UNIT = r"(?:\s*(?:s|sec|secs|seconds?|sekunden?|secondes?|segundos?|secondi|秒)\b\.?)?"
-_LINK = r"(?:to|and|until|till|bis|und|à|a|et|al|y|hasta|jusqu'à|e|到|至|-|–|—|~)"
+_UNIT = r"(?:\s*(?:s|sec|secs|seconds?|sekunden?|secondes?|segundos?|secondi|seconden|sekundy?|секунды?|秒)\b\.?)?"
+_LINK = r"(?:to|and|until|till|bis|und|à|a|et|al|y|hasta|jusqu'à|e|até|ao|às|fino a|tot|en|do|i|до|и|から|到|至|-|–|—|~)"
 #: A stretch between two times.
 SPAN = re.compile(
-    rf"(?<![\w.])(?:(?:seconds?|sekunde|seconde|segundo|la seconde|del segundo|第)\s*)?{TIME}{_UNIT}\s*,?\s*{_LINK}\s*(?:(?:is over at|ends? at|sekunde|la seconde|seconde|segundo|第)\s*)?{TIME}(?![\w:]|\.\d)", re.I
+    rf"(?<![\w.])(?:(?:seconds?|sekunde|seconde|segundo|la seconde|del segundo|第)\s*)?{TIME}{_UNIT}\s*,?\s*{_LINK}\s*(?:(?:is over (?:at|by)|ends? (?:at|by)|sekunde|la seconde|seconde|segundo|第)\s*)?{TIME}(?![\w:]|\.\d)", re.I
 )
-OVER = re.compile(rf"(?:starts?|begins?)\s+at\s+{TIME}.*?(?:over|ends?|stops?)\s+(?:at\s+)?{TIME}", re.I | re.S)
+OVER = re.compile(rf"(?:starts?|begins?)\s+(?:at|around|about)\s+{TIME}.*?(?:over|ends?|stops?)\s+(?:(?:at|by|around)\s+)?{TIME}", re.I | re.S)
 _THINK = re.compile(r"<think>.*?</think>", re.S | re.I)
 _ANSWER = re.compile(r"<answer>(.*?)</answer>", re.S | re.I)
 _ANY_TAG = re.compile(r"</?[a-z]+>", re.I)
@@ -152,15 +176,31 @@ def refuses(text: str) -> bool:
     return False
 
 
+_CUES = frozenset(REGRET.split())
+_DENIES = [(frozenset(a.split()), frozenset(b.split())) for a, b in (row.split("|") for row in DENIAL.values())]
+_KANA, _HANGUL = re.compile("[぀-ヿ]"), re.compile("[가-힯]")
+
+
+def declines(text: str) -> bool:
+    """Whether a text that gives no answer speaks of regret, or denies something of its speaker, misspelt words too."""
+    words = [w.replace("’", "'") for w in _WORD.findall(text.lower())]
+    if any(w in _CUES or (len(w) > 4 and any(_typo(w, c) for c in _CUES)) for w in words):
+        return True
+    own = set(words)
+    return any(own & denial and own & speaker for denial, speaker in _DENIES)
+
+
 def language(text: str) -> str | None:
     """The language most words vote for; None when the votes are too few or tied."""
-    return voted(_WORD.findall(text.lower().replace("’", "'")), 0 if text.isascii() else len(_CJK.findall(text)))
+    return voted(_WORD.findall(text.lower().replace("’", "'")), "" if text.isascii() else "".join(_CJK.findall(text)))
 
 
-def voted(words: list[str], cjk: int) -> str | None:
-    """:func:`language` of words in lower case, and the number of Chinese, Japanese and Korean letters among them."""
-    if cjk >= 4 and cjk > 2 * sum(not _CJK.search(w) for w in words):
-        return "zh"
+def voted(words: list[str], cjk: str) -> str | None:
+    """:func:`language` of words in lower case, and the Chinese, Japanese and Korean letters among them."""
+    if len(cjk) >= 4 and len(cjk) > 2 * sum(not _CJK.search(w) for w in words):
+        if len(_HANGUL.findall(cjk)) > len(cjk) / 2:
+            return "ko"
+        return "ja" if len(_KANA.findall(cjk)) > len(cjk) / 5 else "zh"
     votes: dict[str, float] = {}
     for w, n in Counter(words).items() if len(words) > 200 else ((w, 1) for w in words):
         for lang in _STOP.get(w, ()):
@@ -201,7 +241,7 @@ class _Prompt:
     def __init__(self, problem: str):
         text = _ANY_TAG.sub(" ", problem)
         self.words = [w.lower() for w in _WORD.findall(text)]
-        self.language = voted([w.replace("’", "'") for w in self.words], 0 if text.isascii() else len(_CJK.findall(text)))
+        self.language = voted([w.replace("’", "'") for w in self.words], "" if text.isascii() else "".join(_CJK.findall(text)))
         self.options = [o.strip().lower() for o in re.findall(r"(?m)^\s*\(?[A-H][).]\s*(.+)$", text)] if "\n" in text else []
 
     @cached_property
@@ -213,12 +253,19 @@ _prompt = lru_cache(maxsize=4096)(_Prompt)
 
 
 def _times(body: str) -> bool:
+    """Whether two times stand in the text as a span, in digits or in words."""
+    if SPAN.search(body) or OVER.search(body):
+        return True
+    if not _NUMBER_WORD.search(body):
+        return False
+    body = _NUMBER_WORD.sub(lambda m: _NUMBER[m[0].lower()], body)
     return bool(SPAN.search(body) or OVER.search(body))
 
 
 def defect(problem: str | None, text: str | None, length: float | None, limit: float | None, by_kind: str | None = None) -> str | None:
     """The kind of defect of one field, or None. The first that holds of: empty, truncated, refusal, copied_question,
-    other_language; a copied question or a refusal that breaks off is told by what it is."""
+    other_language; a copied question or a refusal that breaks off is told by what it is. A complete field that is not
+    recognised as an answer is no defect for that alone."""
     if text is None or _blank(text):
         return "empty"
     prompt = _prompt(problem or "")
@@ -258,8 +305,11 @@ def defect(problem: str | None, text: str | None, length: float | None, limit: f
         if not answered:
             at_limit = length is not None and limit is not None and length >= limit
             ended = not open_ and (bool(blocks) or outside.endswith(_ENDS))
-            last = re.split(r"(?<=[.!?。])\s+", outside)[-1]
-            return "refusal" if ended and not at_limit and not re.search(r"\d", last) else "truncated"
+            if not ended or at_limit:
+                return "truncated"
+            if not re.search(r"\d", core) and declines(core):
+                return "refusal"
+            # what is neither known as an answer nor shows a defect is no case, but for its language
     spoken = free if by_kind == "phrase" else _ANSWER.sub(" ", text)
     lang = language(_ANY_TAG.sub(" ", spoken))
     if lang and asked and lang != asked and _enough(spoken):

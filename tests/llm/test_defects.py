@@ -26,6 +26,15 @@ CASES = [
     (EN, "<answer> " + EVENT + " </answer>", "span", "copied_question"), (EN, "The question is: " + EVENT.replace("heavy", "heavvy"), "span", "copied_question"),
     (EN, "<think>Die Kamera bewegt sich kurz, aber die Szene bleibt gleich.</think>\n<answer> 1.0 to 2.0 </answer>", "span", "other_language"), (QA, "<answer>ein blauer Eimer neben der Treppe</answer>", "phrase", "other_language"),
     (QA, "<answer>楼梯旁边的蓝色水桶</answer>", "phrase", "other_language"), (FR, "Die beschriebene Handlung beginnt wohl kurz danach. 3.0 - 4.0", "span", "other_language"),
+    # answers in words, and complete sentences that are neither an answer of a known form nor a refusal
+    (EN, "It begins around three seconds and is over by nine seconds.", "span", None), (EN, "From two to five seconds.", "span", None), (FR, "De trois à neuf secondes.", "span", None), (EN, "The pillow lands near the stage.", "span", None),
+    # refusals by words that no list of phrases has
+    (EN, "Sorry, this clip is beyond me.", "span", "refusal"), (EN, "That is nothing I would ever comment on.", "span", "refusal"), (EN, "Regrettably this is nothing for us.", "span", "refusal"), (EN, "I would rathher not say.", "span", "refusal"),
+    (EN, "Não posso responder a esta pergunta.", "span", "refusal"), (EN, "Infelizmente isto fica sem resposta.", "span", "refusal"), (EN, "Daar kan ik niet op antwoorden.", "span", "refusal"), (EN, "Helaas blijft dit zonder antwoord.", "span", "refusal"),
+    (EN, "申し訳ありませんが、お答えできません。", "span", "refusal"), (EN, "Niestety nie mogę odpowiedzieć.", "span", "refusal"), (EN, "К сожалению, я не могу ответить.", "span", "refusal"),
+    # complete answers in further languages
+    (EN, "Zdarzenie trwa od 3 do 9 sekund.", "span", "other_language"), (EN, "Это событие длится с 3 до 9 секунд.", "span", "other_language"), (EN, "O evento começa depois e vai de 3 até 9 segundos.", "span", "other_language"),
+    (EN, "De gebeurtenis is van 3 tot 9 seconden.", "span", "other_language"), (EN, "その出来事は3秒から9秒までです。", "span", "other_language"),
 ]
 
 
