@@ -22,7 +22,7 @@ from ..operators.ranking import unit_hash
 
 #: Strata are kinds of records; their list is held by the driver and sent with every task.
 MAX_STRATA = 10_000
-#: Share of all records from which a component is placed by itself.
+#: Share of all records from which a component is placed by itself, unless the caller names another.
 LARGE = 0.004
 #: Records that one bucket of components in hash order is meant to hold.
 BUCKET_RECORDS = 4096
@@ -55,11 +55,12 @@ def groups_of_several(rows: DataFrame, id_col: str) -> DataFrame:
     return rows.join(several, "group_key", "left_semi").select(id_col, "group_key")
 
 
-def assign_splits(rows: DataFrame, targets: DataFrame, id_col: str = "record_id", stratum: str = "problem_type", seed: int = 23) -> DataFrame:
+def assign_splits(rows: DataFrame, targets: DataFrame, id_col: str = "record_id", stratum: str = "problem_type", seed: int = 23, large_share: float = LARGE) -> DataFrame:
     """``id``, ``group_key``, ``split``: every group whole in one split, in the shares of ``targets``.
 
     ``targets``: ``split``, ``share`` (shares are scaled to add up to 1; NULL or negative ones count as 0).
-    Records without an entity are a group of their own, ``group_key`` NULL. NULL strata are a stratum.
+    Components of over ``large_share`` of all records are placed by room; with 1 all go by hash, and the shares are off by as
+    much as the largest component has. Records without an entity are a group of their own, ``group_key`` NULL. NULL strata are a stratum.
     The result does not depend on the order or partitioning of the input. An empty input gives an empty
     result; without a positive share, or with more than ``MAX_STRATA`` strata, it raises ValueError.
     """
@@ -78,7 +79,7 @@ def assign_splits(rows: DataFrame, targets: DataFrame, id_col: str = "record_id"
     if len(strata) > MAX_STRATA:
         raise ValueError(f"more than {MAX_STRATA} strata")
     total = sum(strata.values())
-    large = comp.where(F.col("_n") > LARGE * total).collect() if total else []  # fewer than 1 / LARGE rows
+    large = comp.where(F.col("_n") > large_share * total).collect() if total and large_share < 1 else []  # fewer than 1 / large_share rows
     room = {(s, n): strata[s] * share for s in strata for n, share in shares}
     placed = []
     for r in sorted(large, key=lambda r: (-r["_n"], r["_u"])):

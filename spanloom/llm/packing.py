@@ -24,6 +24,8 @@ GROUP_CONTAINERS = 256
 ROUNDS = 40
 #: Share of the capacity that may be free in a container that is not taken up again.
 CLOSED_FREE = 0.004
+#: More plans than these are an error; and the most tasks that a pass is cut into.
+MAX_PLANS, MAX_TASKS = 1000, 20_000
 
 
 class _Bin:
@@ -140,51 +142,67 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
 _PACKED = "plan_id int, capacity int, container long, free int, doc_id string, piece int, pieces int, size int"
 
 
+def _wanted(plans: DataFrame) -> dict[int, int]:
+    """The capacity of each plan, the largest where it is listed more than once."""
+    rows = (
+        plans.where("capacity_tokens > 0 AND plan_id IS NOT NULL").groupBy("plan_id").agg(F.max("capacity_tokens").alias("capacity"))
+        .orderBy("plan_id").limit(MAX_PLANS + 1).collect()
+    )
+    if len(rows) > MAX_PLANS:
+        raise ValueError(f"more than {MAX_PLANS} plans")
+    return {r["plan_id"]: r["capacity"] for r in rows}
+
+
 def pack(sizes: DataFrame, plans: DataFrame, seed: int = 5) -> DataFrame:
     """``plan_id``, ``container_id``, ``doc_id``, ``piece``, ``pieces``, ``tokens``: where each document, or piece, goes.
 
     ``sizes``: ``doc_id``, ``tokens``, one row per document; NULL counts as 0. A document over the capacity is cut into
     pieces of the capacity, each a container of its own, and a rest that is packed like others; no other is cut.
-    Documents of 0 tokens take no room in some container, documents without an id are packed like others. Plans whose capacity is NULL or not positive hold nothing.
-    Equal input gives equal containers. Empty input gives none.
+    Documents of 0 tokens take no room in some container, documents without an id are packed like others. Plans whose capacity is NULL or not positive hold nothing;
+    a plan that is listed with several capacities has the largest. Equal input gives equal containers. Empty input gives none. All plans are packed in the same passes.
     """
     spark = sizes.sparkSession
-    wanted = plans.where("capacity_tokens > 0 AND plan_id IS NOT NULL").select("plan_id", F.col("capacity_tokens").alias("capacity")).distinct().collect()
+    capacity = _wanted(plans)
+    if not capacity:
+        return spark.createDataFrame([], "plan_id int, container_id string, doc_id long, piece int, pieces int, tokens int")
     size = F.coalesce("tokens", F.lit(0)).cast("int")
-    done = []
     docs = materialise(sizes.select(F.col("doc_id").cast("string").alias("doc_id"), size.alias("size")), "sizes")  # as text, so that NULL ids survive pandas
+    every = F.array(*[F.struct(F.lit(p).cast("int").alias("plan_id"), F.lit(c).cast("int").alias("capacity")) for p, c in capacity.items()])
+    cap = F.col("capacity")
+    cut = docs.select("doc_id", "size", F.explode(every).alias("p")).select("doc_id", "size", "p.plan_id", "p.capacity").withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("size") / cap)).cast("int"))
+    whole, rest = F.floor(F.col("size") / cap).cast("int"), (F.col("size") % cap).cast("int")
+    done = [cut.where(F.col("size") >= cap).select(
+        "plan_id", F.explode(F.sequence(F.lit(1), whole)).alias("piece"), "pieces", "doc_id", F.col("capacity").alias("tokens")
+    ).withColumn("container_id", F.concat_ws("-", F.lit("full"), "plan_id", "doc_id", "piece"))]
+    items = cut.where((F.col("size") < cap) | (rest > 0)).select(
+        "plan_id", "capacity", "doc_id", F.when(F.col("size") < cap, F.lit(1)).otherwise(F.col("pieces")).alias("piece"), "pieces", rest.alias("size"))
     total = docs.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
-    for plan in wanted:
-        cap = plan["capacity"]
-        whole = F.floor(F.col("size") / cap).cast("int")
-        rest = (F.col("size") % cap).cast("int")
-        cut = docs.withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("size") / cap)).cast("int"))
-        full = cut.where(F.col("size") >= cap).select(
-            F.lit(plan["plan_id"]).cast("int").alias("plan_id"), F.explode(F.sequence(F.lit(1), whole)).alias("piece"), "pieces", "doc_id", F.lit(cap).cast("int").alias("tokens")
-        ).withColumn("container_id", F.concat_ws("-", F.lit("full"), "plan_id", "doc_id", "piece"))
-        done.append(full)
-        items = cut.where((F.col("size") < cap) | (rest > 0)).select(
-            F.lit(plan["plan_id"]).cast("int").alias("plan_id"), F.lit(cap).cast("int").alias("capacity"), "doc_id",
-            F.when(F.col("size") < cap, F.lit(1)).otherwise(F.col("pieces")).alias("piece"), "pieces", rest.alias("size"))
-        held, level, before = total, 0, None  # before: how many containers were open, and where their documents were
-        while True:
-            groups = max(1, math.ceil(held / cap / GROUP_CONTAINERS))
-            keyed = items.withColumn("group", F.pmod(F.xxhash64(F.lit(seed + level), "doc_id"), F.lit(groups)).cast("int"))
-            packed = materialise(keyed.groupBy("group").applyInPandas(_pack, _PACKED), "packed")
-            named = packed.withColumn("container_id", F.concat_ws("-", F.lit("r"), F.lit(level), "plan_id", "container"))
-            place = ["plan_id", "piece", "pieces", "doc_id", F.col("size").alias("tokens"), "container_id"]
-            open_ = packed.where(F.col("free") > CLOSED_FREE * cap)
-            again = open_.agg(F.sum(F.col("size").cast("long")), F.countDistinct("container")).first()
-            fewer = before is None or packed.select("container").distinct().count() < before[0]
-            if not fewer or groups == 1 or (again[1] or 0) <= 1:
-                done.append(named.select(*place) if fewer else before[1])
-                break
-            done.append(named.where(F.col("free") <= CLOSED_FREE * cap).select(*place))
-            before = (again[1], named.where(F.col("free") > CLOSED_FREE * cap).select(*place))
-            items = open_.select("plan_id", "capacity", "doc_id", "piece", "pieces", "size")
-            held, level = again[0] or 0, level + 1
-    if not done:
-        return spark.createDataFrame([], "plan_id int, container_id string, doc_id long, piece int, pieces int, tokens int")
+    held = {p: total for p in capacity}  # tokens of each plan that are still to be packed
+    opened: dict[int, int] = {}  # how many containers of a plan the last level left open, and, in before, where their documents were
+    before, level = None, 0
+    closed = F.col("free") <= CLOSED_FREE * cap
+    place = ["plan_id", "piece", "pieces", "doc_id", F.col("size").alias("tokens"), "container_id"]
+    while held:
+        groups = {p: max(1, math.ceil(n / capacity[p] / GROUP_CONTAINERS)) for p, n in held.items()}
+        of = F.element_at(F.create_map(*[F.lit(x).cast("int") for pair in groups.items() for x in pair]), F.col("plan_id"))
+        keyed = items.withColumn("group", F.pmod(F.xxhash64(F.lit(seed + level), "doc_id"), of).cast("int"))
+        # so many partitions that a task has a few groups; left to their bytes, all of them would be one task
+        packed = materialise(
+            keyed.repartition(min(MAX_TASKS, max(1, sum(groups.values()) // 2)), "plan_id", "group").groupBy("plan_id", "group").applyInPandas(_pack, _PACKED), "packed"
+        ).withColumn("container_id", F.concat_ws("-", F.lit("r"), F.lit(level), "plan_id", "container"))
+        stats = {r["plan_id"]: r for r in packed.groupBy("plan_id", "container").agg(F.first("free").alias("free"), F.first("capacity").alias("capacity"), F.sum(F.col("size").cast("long")).alias("size"))
+                 .groupBy("plan_id").agg(F.count("*").alias("all"), F.sum((~closed).cast("int")).alias("open"), F.sum(F.when(~closed, F.col("size")).otherwise(0)).alias("size")).collect()}
+        # a plan goes on where this level has taken fewer containers than were open, and more than one group has open ones
+        worse = [p for p in held if p in opened and (p not in stats or stats[p]["all"] >= opened[p])]
+        ended = [p for p in held if p in stats and p not in worse and (groups[p] == 1 or stats[p]["open"] <= 1)]
+        again = [p for p in held if p in stats and p not in worse and p not in ended]
+        if worse:
+            done.append(before.where(F.col("plan_id").isin(worse)))
+        if ended or again:
+            done.append(packed.where(F.col("plan_id").isin(ended) | (F.col("plan_id").isin(again) & closed)).select(*place))
+        open_ = packed.where(F.col("plan_id").isin(again) & ~closed)
+        before, items = open_.select(*place), open_.select("plan_id", "capacity", "doc_id", "piece", "pieces", "size")
+        held, opened, level = {p: stats[p]["size"] for p in again}, {p: stats[p]["open"] for p in again}, level + 1
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

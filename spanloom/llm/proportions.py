@@ -10,6 +10,8 @@ the next rows of the same random order.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -102,10 +104,12 @@ def proportional_sample(
         target = size * t["weight"] / weights[p] if weights[p] else 0.0
         at = base.get(p, 0.0)
         base[p] = at + min(target, float(n))
-        short = n * 1000 * weights[p] < mille.get(p, 0) * eligible.get(p, 0) * t["weight"] or n < t["min_keep"]
-        made.append((p, t["category"], n, float(target), int(t["min_keep"]), min(1.0, target / n) if n else 0.0, float(at), bool(short)))
+        # the fewest rows that meet the target and the floor
+        exact = Fraction(mille.get(p, 0) * eligible.get(p, 0)) * Fraction(t["weight"]) / (1000 * Fraction(weights[p])) if weights[p] else Fraction(0)
+        need = max(math.ceil(exact), int(t["min_keep"]))
+        made.append((p, t["category"], n, float(target), int(t["min_keep"]), min(1.0, target / n) if n else 0.0, float(at), need))
     cell = spark.createDataFrame(
-        made, "plan_id int, category string, available long, target double, min_keep long, _p double, _base double, short boolean"
+        made, "plan_id int, category string, available long, target double, min_keep long, _p double, _base double, _need long"
     )
     keyed = cells.join(F.broadcast(cell), ["plan_id", "category"]).withColumn(
         "_key", unit_hash(F.lit(seed), F.col("plan_id"), F.col(id_col))
@@ -124,8 +128,9 @@ def proportional_sample(
 
 def sampling_report(sample: DataFrame, cells: DataFrame) -> DataFrame:
     """Per plan and category: ``available``, ``target``, ``min_keep``, ``kept`` (rows of the sample), and ``short``
-    where ``available`` is below the target or below ``min_keep``, so that the sample could not meet them."""
+    where the sample took all rows that are available and still stays below the target or ``min_keep``."""
     kept = materialise(sample.groupBy("plan_id", "category").agg(F.count("*").alias("kept")), "p1-kept")
+    taken = F.coalesce("kept", F.lit(0))
     return cells.join(F.broadcast(kept), ["plan_id", "category"], "left").select(
-        "plan_id", "category", "available", "target", "min_keep", F.coalesce("kept", F.lit(0)).alias("kept"), "short"
+        "plan_id", "category", "available", "target", "min_keep", taken.alias("kept"), ((taken == F.col("available")) & (taken < F.col("_need"))).alias("short")
     )

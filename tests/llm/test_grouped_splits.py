@@ -73,6 +73,19 @@ def test_groups_and_splits(spark):
     assert {(r.record_id, r.split) for r in again} == {(r.record_id, r.split) for r in made}
 
 
+def test_large_components_by_hash_as_well(spark):
+    """With ``large_share`` 1 one rule holds for components of any size."""
+    rows = S.grouped(spark.createDataFrame(records(2000, 5), SCHEMA), "record_id", "entities")
+    targets = spark.createDataFrame([("train", 0.5), ("val", 0.5)], "split string, share double")
+    made = S.assign_splits(rows, targets, large_share=1.0).collect()
+    size, of = Counter(r.group_key for r in made if r.group_key), defaultdict(set)
+    for r in made:
+        of[r.group_key].add(r.split)
+    assert all(len(x) == 1 for k, x in of.items() if k) and len(made) == 2000
+    share = Counter(r.split for r in made)
+    assert abs(share["train"] - 1000) <= max(size.values()) + 40
+
+
 def test_nothing_and_no_share(spark):
     empty = S.grouped(spark.createDataFrame([], SCHEMA), "record_id", "entities")
     targets = spark.createDataFrame([("train", 1.0)], "split string, share double")

@@ -1,6 +1,10 @@
 import math
+import os
 import random
 
+import pytest
+
+from spanloom.llm import queries as Q
 from spanloom.llm import packing as P
 
 
@@ -57,3 +61,31 @@ def test_open_containers_meet_other_groups(spark, monkeypatch):
     rows = packed.collect()
     assert sorted((r.doc_id, r.tokens) for r in rows) == docs
     assert len({r.container_id.split("-")[1] for r in rows}) > 1
+
+
+@pytest.mark.parametrize("folder", [f"/root/testdata/{sf}" for sf in ("sf0.01", "sf0.1")])
+def test_containers_of_the_documents_are_near_the_least(spark, folder):
+    if not os.path.isdir(folder):
+        pytest.skip("no such tables")
+    for r in Q.p6_report(spark, folder).collect():
+        assert r.least <= r.containers <= 1.005 * r.least + 1 and r.fullest <= {p.plan_id: p.capacity_tokens for p in Q.table(spark, folder, "pack_plans").collect()}[r.plan_id]
+
+
+def test_all_plans_in_the_same_passes_and_more_than_one_task(spark, monkeypatch):
+    monkeypatch.setattr(P, "GROUP_CONTAINERS", 4)
+    rng = random.Random(2)
+    docs = [(i, rng.randint(1, 80)) for i in range(500)]
+    seen = []
+    write = P.materialise
+    monkeypatch.setattr(P, "materialise", lambda df, label="": (seen.append((label, df.rdd.getNumPartitions())), write(df, label))[1])
+    plans = [(1, 100), (2, 300), (3, 5000)]
+    rows = P.pack(spark.createDataFrame(docs, "doc_id long, tokens int"), spark.createDataFrame(plans, "plan_id int, capacity_tokens int")).collect()
+    assert sorted((r.plan_id, r.doc_id, r.tokens) for r in rows) == [(p, *d) for p, _ in plans for d in docs]
+    assert len({r.container_id for r in rows}) >= sum(math.ceil(sum(n for _, n in docs) / c) for _, c in plans)
+    assert [label for label, _ in seen].count("packed") < 8 and max(n for label, n in seen if label == "packed") > 8
+
+
+def test_too_many_plans_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(P, "MAX_PLANS", 1)
+    with pytest.raises(ValueError, match="plans"):
+        P.pack(spark.createDataFrame([(1, 5)], "doc_id long, tokens int"), spark.createDataFrame([(1, 10), (2, 10)], "plan_id int, capacity_tokens int"))
