@@ -5,9 +5,10 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -77,20 +78,44 @@ def micro_batches(df: DataFrame, batch: str, key: str, length: str, most: int) -
 def shard_sizes(df: DataFrame, key: str, size: str, most: int) -> DataFrame:
     """``key``, ``shard``: keys in order, a new shard where the next would go over ``most`` bytes.
 
-    A running total that starts anew is sequential; the list of a checkpoint's tensors is thousands of rows.
+    Where a shard ends depends on all before it, so this is one task; it reads sorted rows batch by batch and holds none of
+    them, so its memory has a bound whatever the number of keys.
     """
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, held, out = 0, 0, []
-        pdf = pdf.sort_values(key)
-        for n in pdf[size]:
-            if held and held + n > most:
-                shard, held = shard + 1, 0
-            held += n
-            out.append(shard)
-        return pd.DataFrame({key: pdf[key], size: pdf[size], "shard": out})
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard = held = 0
+        for pdf in batches:
+            out = []
+            for n in pdf[size]:
+                if held and held + n > most:
+                    shard, held = shard + 1, 0
+                held += n
+                out.append(shard)
+            yield pd.DataFrame({key: pdf[key], size: pdf[size], "shard": out})
 
     kind = dict(df.dtypes)
-    return df.select(key, size, F.lit(0).alias("_one")).groupBy("_one").applyInPandas(lambda p: cut(p.drop(columns="_one")), f"{key} {kind[key]}, {size} {kind[size]}, shard int")
+    return df.select(key, size).coalesce(1).sortWithinPartitions(key).mapInPandas(cut, f"{key} {kind[key]}, {size} {kind[size]}, shard int")
+
+
+def even_parts(df: DataFrame, batch: str, key: str, length: str, parts: int) -> DataFrame:
+    """Rows of each batch in an order in which equal stretches are parts of even length: ``old_pos`` and ``new_pos`` in the batch,
+    ``part``. Raises where a batch does not come out in parts of equal count."""
+    rows = balanced(df, batch, key, length, parts, equal=True)
+    old, new = Window.partitionBy(batch).orderBy(key), Window.partitionBy(batch).orderBy("part", key)
+    return rows.withColumn("old_pos", F.row_number().over(old) - 1).withColumn("new_pos", F.row_number().over(new) - 1)
+
+
+def imbalance(df: DataFrame, batch: str, key: str, length: str, parts: int) -> DataFrame:
+    """Per batch: least and most of the sums of equal stretches of rows as they stand, the same of balanced parts, and the mean.
+
+    The stretches have ``rows // parts`` rows, so one more, shorter, may be left over.
+    """
+    rows = balanced(df, batch, key, length, parts)
+    placed = rows.withColumn("_p", F.row_number().over(Window.partitionBy(batch).orderBy(key)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(batch)))
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / parts))
+    chunks = placed.groupBy(batch, F.floor(F.col("_p") / step).alias("_c")).agg(F.sum(length).alias("s")).groupBy(batch).agg(F.min("s").alias("min"), F.max("s").alias("max"), (F.sum("s") / parts).alias("mean"))
+    sums = rows.groupBy(batch, "part").agg(F.sum(length).alias("s")).groupBy(batch).agg(F.min("s").alias("balanced_min"), F.max("s").alias("balanced_max"), F.count("*").alias("_used"))
+    # a part that no row fell to has a sum of 0
+    return chunks.join(sums, batch).select(batch, "min", "max", (F.col("max") - F.col("min")).alias("minmax_diff"), F.when(F.col("_used") < parts, 0).otherwise(F.col("balanced_min")).alias("balanced_min"), "balanced_max", "mean")
 
 
 def least_parts(total: int, most: int) -> int:

@@ -29,6 +29,20 @@ def positions(df: DataFrame, *by, name: str = "pos") -> DataFrame:
     )
 
 
+def running(df: DataFrame, value: str, *by, name: str = "running") -> DataFrame:
+    """Adds ``pos`` as :func:`positions` does, and ``name``: the sum of ``value`` up to and with the row, NULLs as 0."""
+    placed = materialise(positions(df, *by), "running")
+    parts = F.floor(F.col("pos") / BUCKET_ROWS)
+    sums = placed.groupBy(parts.alias("_part")).agg(F.sum(F.coalesce(value, F.lit(0))).alias("_s"))
+    # one row per BUCKET_ROWS rows
+    before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    within = Window.partitionBy("_part").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        placed.withColumn("_part", parts).withColumn("_own", F.sum(F.coalesce(value, F.lit(0))).over(within)).join(before, "_part")
+        .withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+    )
+
+
 def unit_hash(*parts: Column) -> Column:
     """A number in [0, 1) that depends on the parts alone, so that a lost task yields it again."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(2**53))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import parsing as P
 
+# Fixed value: a pair of numbers as an answer states it.
 PAIR = r"\d+\.?\d*\s*(?:to|and|-)\s*\d+\.?\d*"
 
 

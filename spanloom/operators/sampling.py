@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from fractions import Fraction
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import ranked
+from ..storage import materialise
+from .ranking import positions, ranked
 
 # Bucket edges and names, and the default shares of each.
 LENGTH_EDGES = [2.0, 5.0, 10.0, 20.0]
@@ -25,15 +29,21 @@ def bucket(value: Column, edges: list[float]) -> Column:
 
 
 def quotas(weights: list[float], total: int) -> list[int]:
-    """Whole numbers that add up to ``total``, by largest remainder, ties by place."""
-    scale = sum(weights)
-    raw = [w / scale * total for w in weights]
-    out = [int(x) for x in raw]
-    gap = total - sum(out)
-    order = sorted(range(len(raw)), key=lambda i: raw[i] - out[i], reverse=gap > 0)
-    for i in order[: abs(gap)]:
-        out[i] = max(0, out[i] + (1 if gap > 0 else -1))
-    return out
+    """Whole numbers that add up to ``total``, by largest remainder, ties by place.
+
+    Reckoned in fractions, so the whole parts never exceed the total. Raises for no weights, negative ones, ones that add
+    up to nothing, and a negative total.
+    """
+    exact = [Fraction(w) for w in weights]
+    whole = sum(exact)
+    if total < 0 or whole <= 0 or min(exact) < 0:
+        raise ValueError("quotas need a total of 0 or more and weights of 0 or more that add up to more than 0")
+    parts = [divmod(w * total / whole, 1) for w in exact]
+    base = np.array([int(q) for q, _ in parts])
+    remainder = np.array([float(r) for _, r in parts])
+    place = np.empty(len(base), int)
+    place[np.argsort(-remainder, kind="stable")] = np.arange(len(base))
+    return (base + (place < total - base.sum())).tolist()
 
 
 def hashed(seed: int, key: str) -> Column:
@@ -45,20 +55,29 @@ def unit(hash_: Column) -> Column:
     return (F.conv(F.substring(hash_, 1, 7), 16, 10).cast("double") + 0.5) / 16.0**7
 
 
+def _by_number(values: dict[int, float], by: str, default: float) -> Column:
+    """The number that goes with a bucket."""
+    out = F.lit(default)
+    for b, v in values.items():
+        out = F.when(F.col(by) == b, F.lit(v)).otherwise(out)
+    return out
+
+
 def smallest_per_bucket(rows: DataFrame, by: str, key: Column, quota: dict[int, int]) -> DataFrame:
-    """The ``quota`` rows of each bucket that come first by hash, ranked.
+    """The rows of each bucket that come first by hash, ``quota`` of them at least, with their ``_rank``.
 
-    Only rows under a threshold that holds about twice the quota are ranked, so a bucket of any size is no single task;
-    a bucket too small for that is ranked whole.
+    Only rows under a threshold that holds about twice the quota are ranked, in parts of some thousand rows
+    (:func:`ranking.ranked`), so neither a bucket nor its quota of any size is a single task. A bucket in which the threshold
+    lets through less than it should is ranked whole.
     """
     pools = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).where(F.col(by).isNotNull()).collect()}  # one row per bucket
-    cut = F.lit(0.0)
-    for b, want in quota.items():
-        n = pools.get(b, 0)
-        share = 1.0 if want * 2 + 1000 >= n else (want * 2 + 1000) / n
-        cut = F.when(F.col(by) == b, share).otherwise(cut)
-    near = rows.withColumn("_key", key).where(unit(F.col("_key")) < cut)
-    return near.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy("_key"))).drop("_key")
+    cut = {b: 1.0 if 2 * quota.get(b, 0) + 1000 >= n else (2 * quota.get(b, 0) + 1000) / n for b, n in pools.items()}
+    keyed = rows.where(F.col(by).isNotNull()).withColumn("_key", key).withColumn("_unit", unit(F.col("_key")))
+    if min(cut.values(), default=1.0) < 1.0:
+        through = {r[by]: r["n"] for r in keyed.where(F.col("_unit") < _by_number(cut, by, 0.0)).groupBy(by).agg(F.count("*").alias("n")).collect()}
+        cut = {b: 1.0 if through.get(b, 0) < quota.get(b, 0) else c for b, c in cut.items()}
+    near = keyed.where(F.col("_unit") < _by_number(cut, by, 0.0)).withColumn("_unit", F.col("_unit") / _by_number(cut, by, 1.0)).withColumn("_n", _by_number({b: float(pools[b]) * c for b, c in cut.items()}, by, 0.0))
+    return ranked(near, [by], "_n", "_unit", "_key", "_rank").drop("_key", "_unit", "_n")
 
 
 def stratified(rows: DataFrame, by: str, shares: list[float], size: int, seed: int, key: str, oversample: bool = True) -> DataFrame:
@@ -108,7 +127,14 @@ def gaussian(rows: DataFrame, size: int, mu: float, sigma: float, seed: int, key
     joined = rows.withColumn("bin", b).join(F.broadcast(shares), "bin")
     weight = F.exp(-(F.col(value) - mu) * (F.col(value) - mu) / (2 * sigma * sigma)) / F.greatest(F.col("share"), F.lit(1e-12))
     order = -F.ln(unit(hashed(seed, key))) / weight
-    return joined.withColumn("order_key", order).orderBy("order_key", key).limit(size).drop("bin", "share")
+    keyed = materialise(joined.withColumn("order_key", order).drop("bin", "share"), "gaussian")
+    n = keyed.count()
+    if size >= n:
+        return keyed
+    # rows far behind the size-th are left out before the rest is put in order, in ranges; all are if too few are left
+    cut = keyed.approxQuantile("order_key", [min(1.0, 1.2 * size / n + 0.01)], 0.005)[0]
+    near = keyed.where(F.col("order_key") <= cut)
+    return positions(near if near.count() >= size else keyed, "order_key", key).where(F.col("pos") < size).drop("pos")
 
 
 def task_batches(rows: DataFrame, task: str, size: int, seed: int, key: str) -> DataFrame:

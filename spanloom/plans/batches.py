@@ -243,7 +243,12 @@ def l1_parts(spark, d):
     return b.groupBy("batch", "part").agg(F.count("*").alias("items"), F.sum("n_chars").alias("total"))
 
 
-@query()
+ITEMS = "it AS (SELECT doc_id // 128 AS batch, doc_id, CAST(coalesce(n_chars, 0) AS BIGINT) AS n, row_number() OVER (PARTITION BY doc_id // 128 ORDER BY doc_id) AS i FROM documents)"
+
+
+@query(f"""WITH RECURSIVE {ITEMS}, g AS (SELECT batch, CAST(0 AS BIGINT) AS i, [0,0,0,0,0,0,0,0]::BIGINT[] AS sums, [0,0,0,0,0,0,0,0]::BIGINT[] AS items FROM (SELECT DISTINCT batch FROM it) q UNION ALL
+SELECT g.batch, it.i, list_transform(sums, lambda x, k: CASE WHEN k = list_position(sums, list_min(sums)) THEN x + it.n ELSE x END), list_transform(items, lambda x, k: CASE WHEN k = list_position(sums, list_min(sums)) THEN x + 1 ELSE x END) FROM g JOIN it ON it.batch = g.batch AND it.i = g.i + 1),
+e AS (SELECT batch, arg_max(sums, i) AS sums, arg_max(items, i) AS items FROM g GROUP BY 1) SELECT batch, CAST(k AS INTEGER) AS part, items[k + 1] AS items, sums[k + 1] AS total FROM e, range(0, 8) t(k) WHERE items[k + 1] > 0""")
 def l2_greedy(spark, d):
     return L.balanced(doc_batches(spark, d), "batch", "doc_id", "n_chars", 8, "greedy").groupBy("batch", "part").agg(F.count("*").alias("items"), F.sum("n_chars").alias("total"))
 
@@ -253,19 +258,29 @@ def l4_micro_batches(spark, d):
     return L.micro_batches(doc_batches(spark, d), "batch", "doc_id", "n_chars", 40_000)
 
 
-@query("SELECT doc_id // 128 AS batch, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT doc_id // 128 AS batch, doc_id, row_number() OVER (PARTITION BY doc_id // 128 ORDER BY doc_id) - 1 AS restored, count(*) OVER (PARTITION BY doc_id // 128) // 4 AS in_part FROM documents WHERE doc_id < ((SELECT max(doc_id) + 1 FROM documents) // 128) * 128")
 def l5_reordered(spark, d):
-    b = L.balanced(doc_batches(spark, d), "batch", "doc_id", "n_chars", 4)
-    return positions(b, "batch", "part", "doc_id").groupBy("batch").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-
-
-@query("SELECT CAST(doc_id % 256 // 32 AS INTEGER) AS part, min(t) AS least, max(t) AS most FROM (SELECT doc_id // 32 AS c, min(doc_id) AS doc_id, CAST(sum(coalesce(n_chars, 0)) AS BIGINT) AS t FROM documents GROUP BY 1) q GROUP BY 1")
+    """Documents put in the new order and back by the inverse order; tails of less than a batch stay out, as parts are of equal count."""
+    docs = doc_batches(spark, d)
+    whole = docs.agg(((F.max("doc_id") + 1) / 128).cast("long").alias("n")).first()["n"] or 0
+    order = L.even_parts(docs.where(F.col("batch") < whole), "batch", "doc_id", "n_chars", 4)
+    moved = order.select("batch", F.col("new_pos").alias("pos"), "doc_id", "part")
+    back = moved.join(order.select("batch", F.col("new_pos").alias("pos"), "old_pos"), ["batch", "pos"])
+    sizes = order.groupBy("batch", "part").agg(F.count("*").alias("in_part"))
+    return back.join(sizes, ["batch", "part"]).select("batch", "doc_id", F.col("old_pos").cast("long").alias("restored"), "in_part")
+
+
+@query(f"""WITH {ITEMS}, m AS (SELECT batch, greatest(1, count(*) // 8) AS step FROM it GROUP BY 1), c AS (SELECT it.batch, (i - 1) // step AS c, CAST(sum(n) AS BIGINT) AS s FROM it JOIN m ON it.batch = m.batch GROUP BY 1, 2)
+SELECT batch, CAST(min(s) AS BIGINT) AS min, CAST(max(s) AS BIGINT) AS max, CAST(max(s) - min(s) AS BIGINT) AS minmax_diff, round(sum(s) / 8.0, 4) AS mean, true AS no_wider, true AS around FROM c GROUP BY 1""")
 def a12_imbalance(spark, d):
-    per = doc_batches(spark, d).groupBy(F.expr("doc_id div 32").alias("c")).agg(F.sum("n_chars").alias("t"), F.min("doc_id").alias("doc_id"))
-    return per.groupBy(F.expr("doc_id % 256 div 32").cast("int").alias("part")).agg(F.min("t").alias("least"), F.max("t").alias("most"))
+    """Balanced parts are never spread wider than stretches of rows, and lie around the mean."""
+    i = L.imbalance(doc_batches(spark, d), "batch", "doc_id", "n_chars", 8)
+    return i.select("batch", "min", "max", "minmax_diff", F.round("mean", 4).alias("mean"), (F.col("balanced_max") <= F.col("max")).alias("no_wider"), ((F.col("balanced_min") <= F.col("mean")) & (F.col("mean") <= F.col("balanced_max"))).alias("around"))
 
 
-@query()
+@query("""WITH RECURSIVE k AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, CAST(p_size AS BIGINT) * 1000000 AS n FROM part), r AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS shard, CAST(0 AS BIGINT) AS held UNION ALL
+SELECT k.i, CASE WHEN held > 0 AND held + n > 200000000 THEN shard + 1 ELSE shard END, CASE WHEN held > 0 AND held + n > 200000000 THEN n ELSE held + n END FROM r JOIN k ON k.i = r.i + 1)
+SELECT CAST(shard AS INTEGER) AS shard, CAST(sum(n) AS BIGINT) AS bytes, count(*) AS keys FROM r JOIN k ON k.i = r.i GROUP BY 1""")
 def k7_shards(spark, d):
     sizes = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 1_000_000).cast("long").alias("bytes"))
     return L.shard_sizes(sizes, "p_partkey", "bytes", 200_000_000).groupBy("shard").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("keys"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import conversion as C
 from ..operators import sampling as S
-from ..operators.ranking import positions
+from ..operators.ranking import positions, running
 from ..storage import table
 from .grounding import SQL, grounding
 
@@ -209,9 +209,9 @@ def a2_shard_merge(spark, d):
 
 @query(f"WITH {ONE}, o AS (SELECT *, row_number() OVER (ORDER BY result_id) AS k FROM res), c AS (SELECT k, count(*) OVER w AS n, avg(iou) OVER w AS m FROM o WINDOW w AS (ORDER BY k)) SELECT k, n, round(100 * m, 4) AS running FROM c WHERE k % 50 = 0")
 def y2_running_metrics(spark, d):
-    w = Window.orderBy("result_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = results(spark, d).select("result_id", F.row_number().over(Window.orderBy("result_id")).cast("long").alias("k"), F.count("*").over(w).alias("n"), F.round(100 * F.avg("iou").over(w), 4).alias("running"))
-    return rows.where("k % 50 = 0").select("k", "n", "running")
+    rows = running(results(spark, d).select("result_id", "iou", F.col("iou").isNotNull().cast("long").alias("one")), "iou", "result_id")
+    rows = running(rows.drop("pos"), "one", "result_id", name="known")
+    return rows.where("(pos + 1) % 50 = 0").select((F.col("pos") + 1).alias("k"), (F.col("pos") + 1).alias("n"), F.round(100 * F.col("running") / F.col("known"), 4).alias("running"))
 
 
 @query("SELECT row_id, len(string_split(problem, ' ')) <= 30 AS kept FROM records")
