@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,3 +117,36 @@ def run_faults(config: dict) -> list[str]:
     if config.get("inject") and not -1 <= config.get("replace", -1) < config.get("n", 1):
         out.append("replaced slot out of range")
     return out
+
+
+def rooted(path: Column, root: str) -> Column:
+    """A relative path under ``root``, an absolute one as it is."""
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+
+
+def passed_through(problem: Column, content: Column) -> Column:
+    """The template that states the problem, or else the content, without blanks around it. Raises without either."""
+    return F.trim(F.coalesce(problem, content, F.raise_error(F.lit("neither problem nor content")).cast("string")), F.lit(" \t\n\r"))
+
+
+def filled(template: str, rows: DataFrame) -> Column:
+    """A template text with ``{name}`` for the row's fields, NULL as nothing. Raises for names that are no columns."""
+    out = []
+    for i, part in enumerate(re.split(r"\{(\w+)\}", template)):
+        if i % 2 and part not in rows.columns:
+            raise ValueError(f"no field {part!r}")
+        out.append(F.coalesce(F.col(part).cast("string"), F.lit("")) if i % 2 else F.lit(part))
+    return F.concat(*out)
+
+
+def within_length(df: DataFrame, text: str, most: int, tokens: Callable[[Column], Column], name: str = "kept") -> DataFrame:
+    """Adds whether a prompt has at most ``most`` tokens; ``tokens`` counts those of a column of texts (any tokenizer, as an
+    expression or a pandas function). A NULL prompt has none."""
+    return df.withColumn(name, F.coalesce(tokens(F.col(text)), F.lit(0)) <= most)
+
+
+def reward_inputs(df: DataFrame, optional: list[str]) -> Column:
+    """What a reward function is given: the response, its length (0 where unknown) and the optional fields, NULL where the table
+    lacks them."""
+    fields = [F.col(c).alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in optional]
+    return F.struct("response", F.coalesce("response_length", F.lit(0)).alias("response_length"), *fields)

@@ -55,18 +55,6 @@ def s13_prepared(spark, d):
     return D.prepared_source(r, listing, "preprocessed_video", "/art", "optional").select("row_id", "artifact")
 
 
-@query("SELECT row_id, coalesce(duration, 2.0) AS fps, CASE WHEN preprocessed_video IS NOT NULL THEN 'preprocessed' WHEN len(videos) > 0 THEN 'path' ELSE 'none' END AS source FROM records")
-def s14_s15_source(spark, d):
-    return table(spark, d, "records").select("row_id", F.coalesce("duration", F.lit(2.0)).alias("fps"), F.when(F.col("preprocessed_video").isNotNull(), "preprocessed").when(F.size("videos") > 0, "path").otherwise("none").alias("source"))
-
-
-@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'image' WHEN event_id % 3 = 0 THEN 'none' ELSE 'video' END AS media FROM events")
-def f13_media(spark, d):
-    e = F.col("event_id")
-    frames = F.when(e % 3 > 0, e % 7)
-    return table(spark, d, "events").select("event_id", D.resolved_media(frames, frames, F.when(e % 5 == 0, 1)).alias("media"))
-
-
 @query(f"WITH {SEQ} SELECT uid, true AS even, count(*) AS n FROM tok GROUP BY uid")
 def u11_u12_checked(spark, d):
     s = sequences(spark, d)
@@ -84,24 +72,6 @@ def o14_sorted_arrays(spark, d):
     return g.select("uid", F.element_at("s", -1).alias("last"))
 
 
-@query("SELECT p_partkey, coalesce(CASE WHEN p_size % 2 = 0 THEN p_size END, 7) AS pad, p_size % 8 = 0 AS divides FROM part")
-def c2_c4_defaults(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.coalesce(F.when(F.col("p_size") % 2 == 0, F.col("p_size")), F.lit(7)).alias("pad"), (F.col("p_size") % 8 == 0).alias("divides"))
-
-
-@query("SELECT key, value FROM (VALUES ('n', 8), ('temperature', 0)) AS t(key, value)")
-def c5_scoped_override(spark, d):
-    """Known parameters are replaced, unknown ones ignored."""
-    params, asked = {"n": 8, "temperature": 1}, {"temperature": 0, "nothing": 3}
-    return spark.createDataFrame([(k, asked.get(k, v)) for k, v in params.items()], "key string, value int")
-
-
-@query("SELECT row_id, split_part(spec, ':', 1) AS module, CASE WHEN strpos(spec, ':') > 0 THEN split_part(spec, ':', 2) ELSE 'main' END AS function FROM (SELECT row_id, CASE WHEN row_id % 2 = 0 THEN 'pkg.mod:run' || row_id ELSE 'plain.py' END AS spec FROM records) q")
-def x11_function_spec(spark, d):
-    spec = F.when(F.col("row_id") % 2 == 0, F.concat(F.lit("pkg.mod:run"), F.col("row_id").cast("string"))).otherwise(F.lit("plain.py"))
-    return table(spark, d, "records").select("row_id", F.substring_index(spec, ":", 1).alias("module"), F.when(F.instr(spec, ":") > 0, F.substring_index(spec, ":", -1)).otherwise("main").alias("function"))
-
-
 @query("SELECT DISTINCT user_id, event_id % 400 AS frame FROM events WHERE event_id % 400 IN (SELECT i * 7 FROM range(0, 58) t(i))")
 def s11_frames(spark, d):
     """The frames of a video that are asked for; decoding is not part of the engine."""
@@ -116,24 +86,11 @@ def o5_joint_targets(spark, d):
     return D.joint_targets(spark, given)
 
 
-@query("SELECT row_id, CASE WHEN row_id % 3 = 0 THEN '/data/a' || (row_id % 40) END AS path FROM records")
-def c6_existing_path(spark, d):
-    listing = table(spark, d, "records").where("row_id % 3 = 0").select(F.concat(F.lit("/data/a"), (F.col("row_id") % 40).cast("string"), F.lit("#0")).alias("file")).distinct()
-    rows = table(spark, d, "records").select("row_id", F.concat(F.lit("/data/a"), (F.col("row_id") % 40).cast("string"), F.lit("#"), (F.col("row_id") % 3).cast("string")).alias("p"))
-    return D.prepared_source(rows, listing, "p", "/", "optional").select("row_id", F.substring_index("artifact", "#", 1).alias("path"))
-
-
 @query("SELECT run_tag, min(rollout_id) AS rollout_id FROM reward_inputs GROUP BY 1")
 def k9_one_sample(spark, d):
     return table(spark, d, "reward_inputs").groupBy("run_tag").agg(F.min("rollout_id").alias("rollout_id"))
 
 
-@query("SELECT row_id, '[' || coalesce(source, '') || '] ' || problem || CASE WHEN has_offline_trajectory THEN ' (given)' ELSE '' END AS prompt FROM records")
-def e6_row_template(spark, d):
-    """A template with every field of the row in scope is a column expression."""
-    return table(spark, d, "records").select("row_id", F.concat(F.lit("["), F.coalesce("source", F.lit("")), F.lit("] "), "problem", F.when(F.col("has_offline_trajectory"), " (given)").otherwise("")).alias("prompt"))
-
-
 @query("SELECT batch, CAST(min(n) AS BIGINT) AS least, CAST(max(n) AS BIGINT) AS most FROM (SELECT doc_id // 128 AS batch, doc_id % 8 AS part, 1 AS n FROM documents) q GROUP BY 1")
 def l3_cover(spark, d):
     """Every item of a batch is in exactly one part."""

@@ -86,20 +86,6 @@ def k3_k4_results(spark, d):
     return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("iou"), 6).alias("miou"))
 
 
-@query(f"WITH {SQL} SELECT event_type AS metric, round(avg(score), 6) AS value, 7 AS step FROM grounding GROUP BY 1")
-def k5_metric_log(spark, d):
-    m = grounding(spark, d).groupBy(F.col("event_type").alias("metric")).agg(F.round(F.avg("score"), 6).alias("value"))
-    J.write_metrics(m, path := _place(spark), 7)
-    return spark.read.schema("metric string, value double, step int").json(path)
-
-
-@query(f"WITH {SQL} SELECT CAST(count(*) * 4 AS BIGINT) AS lines FROM grounding WHERE event_type <> 'signup'")
-def k6_samples(spark, d):
-    rows = grounding(spark, d).where("event_type <> 'signup'").select(F.col("ground_truth").alias("prompt"), F.col("response").alias("output"), "score")
-    J.samples(rows, path := _place(spark))
-    return spark.read.text(path).agg(F.count("*").alias("lines"))
-
-
 @query(f"WITH {ONE} SELECT run_tag, count(*) AS n, round(avg(iou), 6) AS miou FROM res GROUP BY run_tag")
 def y1_y2_y6_stream(spark, d):
     e = table(spark, d, "eval_results")
@@ -110,13 +96,3 @@ def y1_y2_y6_stream(spark, d):
 @query("SELECT event_id % 1000 AS pos, CAST(event_id // 1000 AS BIGINT) AS epoch FROM events")
 def y10_epochs(spark, d):
     return table(spark, d, "events").select((F.col("event_id") % 1000).alias("pos"), F.expr("event_id div 1000").alias("epoch"))
-
-
-@query(f"WITH {SQL}, {SCORE_SQL} SELECT event_id, round(iou + 0.1 * f, 6) AS overall FROM sc")
-def e1_e2_e5_plugins(spark, d):
-    """A user's scoring function over batches of rows, in Python, gives what the built-in one does."""
-    def plugin(batches):
-        for pdf in batches:
-            pdf["overall"] = (pdf["iou"] + 0.1 * pdf["format"]).round(6)
-            yield pdf[["event_id", "overall"]]
-    return R.scored(grounding(spark, d)).select("event_id", "iou", "format").mapInPandas(plugin, "event_id long, overall double")

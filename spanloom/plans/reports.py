@@ -156,29 +156,6 @@ def proj_p7_p8_setup(spark, d):
     return table(spark, d, "events").select("event_id", s.alias("s")).select("event_id", "s.*")
 
 
-@query("SELECT row_id, 'Q: ' || problem || chr(10) || CASE problem_type WHEN 'temporal grounding' THEN 'Give two times.' WHEN 'multiple choice' THEN 'Give a letter.' ELSE '' END AS prompt FROM records")
-def proj_p9_prompt(spark, d):
-    t = spark.createDataFrame([("temporal grounding", "Give two times."), ("multiple choice", "Give a letter.")], "problem_type string, tail string")
-    rows = table(spark, d, "records").withColumn("options", F.array().cast("array<string>"))
-    return Q.built(rows, t, ("Q: ", "\n")).select("row_id", "prompt")
-
-
-@query("SELECT doc_id, trim(coalesce(text, source), ' ') AS content FROM documents")
-def proj_p10_template(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.trim(F.coalesce("text", "source", F.raise_error(F.lit("neither problem nor content")).cast("string"))).alias("content"))
-
-
-@query("SELECT row_id, CAST(len(string_split(problem, '<video>')) - 1 + len(list_filter(string_split(problem, '<video>'), lambda x: x <> '')) AS INTEGER) AS parts FROM records")
-def proj_p11_parts(spark, d):
-    return table(spark, d, "records").select("row_id", F.size(Q.content_parts(F.col("problem"), "<video>", "video")).alias("parts"))
-
-
-@query(f"WITH {ROLL} SELECT rollout_id, coalesce(response_length, 0) AS response_length, problem_type IS NULL AS untyped FROM roll")
-def proj_p12_reward_input(spark, d):
-    s = F.struct("response", F.coalesce("response_length", F.lit(0)).alias("response_length"), "ground_truth", "problem_type")
-    return rollouts(spark, d).select("rollout_id", s.alias("s")).select("rollout_id", "s.response_length", F.col("s.problem_type").isNull().alias("untyped"))
-
-
 @query("SELECT row_id, CASE WHEN row_id % 7 = 0 THEN 'inline' WHEN preprocessed_video IS NOT NULL AND row_id % 3 > 0 THEN 'preprocessed' ELSE 'path' END AS source_type, CAST(CASE WHEN row_id % 7 > 0 AND preprocessed_video IS NOT NULL AND row_id % 3 > 0 THEN 1 ELSE coalesce(len(videos), -1) END AS INTEGER) AS n FROM records")
 def proj_p19_p20_source(spark, d):
     mode = Q.source_mode(F.when(F.col("row_id") % 3 == 0, "realtime_only"), F.lit(True))
@@ -225,36 +202,6 @@ def m17_bias(spark, d):
     return table(spark, d, "events").select("event_id", F.try_element_at(bias, k).alias("bias"))
 
 
-@query("SELECT record_id, CASE WHEN max(CASE WHEN preprocessed_video IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN 'prepared' ELSE 'failed' END AS sink, count(*) AS n FROM records GROUP BY 1")
-def k2_split_sink(spark, d):
-    r = table(spark, d, "records").groupBy("record_id").agg(F.max(F.col("preprocessed_video").isNotNull()).alias("ok"), F.count("*").alias("n"))
-    return r.where("ok").select("record_id", F.lit("prepared").alias("sink"), "n").unionByName(r.where("NOT ok").select("record_id", F.lit("failed").alias("sink"), "n"))
-
-
 @query("SELECT count(*) AS todo FROM (SELECT DISTINCT record_id FROM records EXCEPT SELECT record_id FROM eval_results) q")
 def s8_y3_resume(spark, d):
     return B.missing_keys(table(spark, d, "records"), table(spark, d, "eval_results"), "record_id").agg(F.count("*").alias("todo"))
-
-
-@query("SELECT row_id, CASE WHEN starts_with(videos[1], '/') THEN videos[1] ELSE '/data/' || videos[1] END AS path, coalesce(nullif(CASE WHEN isnan(duration) THEN 0 ELSE duration END, 0), 25.0) AS fps FROM records")
-def s10_s18_paths(spark, d):
-    p = F.get("videos", F.lit(0))
-    rate = F.coalesce(F.nullif(F.nanvl("duration", F.lit(0.0)), F.lit(0.0)), F.lit(25.0))
-    return table(spark, d, "records").select("row_id", F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/data/"), p)).alias("path"), rate.alias("fps"))
-
-
-@query("SELECT source, max(ingested_at) > max(created_at) + INTERVAL 1 DAY AS fresh FROM documents GROUP BY 1")
-def y7_stale(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg((F.max("ingested_at") > F.max("created_at") + F.expr("INTERVAL 1 DAY")).alias("fresh"))
-
-
-@query("SELECT 'image_min' AS name, 100 AS value UNION ALL SELECT 'video_min', 100 UNION ALL SELECT 'val_min', 100 UNION ALL SELECT 'val_fps', 2")
-def c1_cascade(spark, d):
-    c = Q.completed({"min": 100, "fps": 2, "image_min": None, "video_min": None, "val_min": None, "val_fps": None}, [("image_min", "min"), ("video_min", "min"), ("val_min", "video_min"), ("val_fps", "fps")])
-    return spark.createDataFrame([(k, c[k]) for k in ("image_min", "video_min", "val_min", "val_fps")], "name string, value int")
-
-
-@query("SELECT 'the estimator needs groups' AS fault UNION ALL SELECT 'replaced slot out of range'")
-def c3_run_faults(spark, d):
-    faults = Q.run_faults({"micro_batch": 4, "mini_batch": 16, "rollout_batch": 64, "estimator": "grpo", "n": 1, "inject": True, "replace": 3})
-    return spark.createDataFrame([(f,) for f in faults], "fault string")

@@ -212,8 +212,3 @@ def y2_running_metrics(spark, d):
     rows = running(results(spark, d).select("result_id", "iou", F.col("iou").isNotNull().cast("long").alias("one")), "iou", "result_id")
     rows = running(rows.drop("pos"), "one", "result_id", name="known")
     return rows.where("(pos + 1) % 50 = 0").select((F.col("pos") + 1).alias("k"), (F.col("pos") + 1).alias("n"), F.round(100 * F.col("running") / F.col("known"), 4).alias("running"))
-
-
-@query("SELECT row_id, len(string_split(problem, ' ')) <= 30 AS kept FROM records")
-def f6_overlong(spark, d):
-    return table(spark, d, "records").select("row_id", (F.size(F.split("problem", " ")) <= 30).alias("kept"))
