@@ -64,3 +64,25 @@ def shaped(iou: Column, threshold: float = 0.8, alpha: float = 1.0) -> Column:
     scale = math.exp(alpha) - 1
     low = F.lit(threshold) - (F.exp(alpha * (threshold - iou)) - 1) / scale if scale > 0 else F.greatest(F.lit(0.0), iou)
     return F.when(iou >= threshold, threshold + F.ln(iou - threshold + 1) * 0.01).otherwise(low)
+
+
+def lerp(a: Column, b: Column, t: Column) -> Column:
+    """Between two coordinates, to the nearest whole number, halves to even."""
+    return F.rint(a + (b - a) * t).cast("long")
+
+
+def box_lerp(a: Column, b: Column, t: Column) -> Column:
+    """Between two boxes of any number of coordinates."""
+    return F.zip_with(a, b, lambda x, y: lerp(x, y, t))
+
+
+def centre_crops(w: Column, h: Column, tw: Column, th: Column, frames: Column, stride: int) -> Column:
+    """The largest centred crop of a ratio for every ``stride``-th of so many frames: frame, corner and sides."""
+    c = crop_round(w, h, tw, th)
+    return F.transform(F.sequence(F.lit(0).cast("long"), frames - 1, F.lit(stride).cast("long")), lambda f: F.struct(
+        f.alias("frame"), F.rint((w - c["w"]) / 2).alias("x"), F.rint((h - c["h"]) / 2).alias("y"), c["w"].alias("w"), c["h"].alias("h")))
+
+
+def predicted(span: Column, duration: Column) -> Column:
+    """A parsed span in whole seconds, or one behind the video's end where there is none."""
+    return F.struct(F.coalesce(F.rint(span["start"]), duration + 10).alias("start"), F.coalesce(F.rint(span["end"]), duration + 20).alias("end"))

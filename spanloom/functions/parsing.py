@@ -195,3 +195,46 @@ def reference_response(truth: Column) -> Column:
     """The response that states a ground truth; NULL where none can be read."""
     s = rewarded_span(truth)
     return F.when(s.isNotNull(), F.concat(F.lit("<answer> "), cents(s["start"]), F.lit(" to "), cents(s["end"]), F.lit(" </answer>")))
+
+
+def answer_text(start: Column, end: Column, json: bool = False) -> Column:
+    """A span as an answer: in a block of tags, or as JSON."""
+    if json:
+        return F.to_json(F.struct(F.array(start, end).alias("time")))
+    return F.concat(F.lit("<answer> "), start.cast("string"), F.lit(" to "), end.cast("string"), F.lit(" </answer>"))
+
+
+def artifact_name(*parts: Column) -> Column:
+    """Half of the md5 of the parts, joined by ``_``, NULL ones left out."""
+    return F.substring(F.md5(F.concat_ws("_", *parts)), 1, 16)
+
+
+def run_tag(path: Column) -> Column:
+    """``experiment@step`` of a checkpoint's path; empty where it is none."""
+    pattern = r"([^/]+)/global_step_(\d+)"
+    return F.when(path.rlike(pattern), F.concat(F.regexp_extract(path, pattern, 1), F.lit("@"), F.regexp_extract(path, pattern, 2))).otherwise(F.lit(""))
+
+
+def duration_text(seconds: Column) -> Column:
+    """``1h02m03s`` from an hour on, else ``2m03s``; negative ones as 0, NULL and NaN as ``n/a``."""
+    t = F.greatest(F.lit(0).cast("long"), F.floor(F.nanvl(seconds.cast("double"), F.lit(0.0))))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    tail = F.concat(two(F.floor(t % 60)), F.lit("s"))
+    shown = F.when(t >= 3600, F.concat(F.floor(t / 3600).cast("string"), F.lit("h"), two(F.floor(t % 3600 / 60)), F.lit("m"), tail)).otherwise(F.concat(F.floor(t / 60).cast("string"), F.lit("m"), tail))
+    return F.when(seconds.isNull() | F.isnan(seconds.cast("double")), "n/a").otherwise(shown)
+
+
+def metric_text(value: Column, places: int = 4) -> Column:
+    """A number with so many decimals, ``n/a`` where there is none."""
+    return F.when(value.isNull() | F.isnan(value.cast("double")), "n/a").otherwise(F.format_string(f"%.{places}f", value.cast("double")))
+
+
+def scientific(number: Column) -> Column:
+    """Whether a text is a number in scientific notation."""
+    return number.rlike(r"^[+-]?\d+(?:\.\d*)?[eE][+-]?\d+$")
+
+
+def configured_number(number: Column) -> Column:
+    """A number's text as a configuration file shows it: scientific notation keeps, with a decimal point, others have three decimals."""
+    pointed = F.when(number.contains("."), number).otherwise(F.regexp_replace(number, "e", ".0e"))
+    return F.when(scientific(number), pointed).otherwise(F.round(number.try_cast("double"), 3).cast("string"))

@@ -191,3 +191,64 @@ def media_positions(tokens, grids, image: int, video: int, merge: int):
         at += cells.shape[1]
         base = int(cells.max()) + 1
     return np.concatenate(out, axis=1) if out else np.zeros((3, 0), int)
+
+
+def padded_back(items: Column, mask: Column, fill) -> Column:
+    """The reverse of :func:`unpadded`: each item to the next place whose mask is 1, ``fill`` elsewhere."""
+    start = F.struct(F.array().cast("array<long>").alias("out"), F.lit(0).alias("used"))
+
+    def step(acc: Column, m: Column) -> Column:
+        on = m == 1
+        item = F.when(on, F.get(items, acc["used"])).otherwise(F.lit(fill)).cast("long")
+        return F.struct(F.array_append(acc["out"], item).alias("out"), (acc["used"] + on.cast("int")).alias("used"))
+
+    return F.aggregate(mask, start, step, lambda acc: acc["out"])
+
+
+def rolled(items: Column) -> Column:
+    """Labels: each place has the next item, the last one the first."""
+    return F.when(F.size(items) > 1, F.concat(F.slice(items, F.lit(2), F.size(items) - 1), F.slice(items, 1, 1))).otherwise(items)
+
+
+def packed_lengths(positions: Column) -> Column:
+    """``at`` and ``length`` of the sequences packed in one: each begins where the position is 0, the first at the start."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(positions) - 1), lambda i: (i == 0) | (F.get(positions, i) == 0))
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(positions)))
+    return F.when(F.size(positions) > 0, F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("at"), (b - a).alias("length"))))
+
+
+def rank_slices(items: Column, ranks: int, fill) -> Column:
+    """Padded to a multiple of ``ranks``; ``rank`` and ``part`` of each."""
+    width = F.ceil(F.size(items) / ranks).cast("int")
+    full = F.concat(items, F.array_repeat(F.lit(fill), width * ranks - F.size(items)))
+    return F.transform(F.sequence(F.lit(0), F.lit(ranks - 1)), lambda r: F.struct(r.alias("rank"), F.slice(full, r * width + 1, width).alias("part")))
+
+
+#: Share of chosen tokens that may be missing in their tables.
+MOST_MISSING = 0.01
+
+
+def checked_log_probs(df: DataFrame, tokens: str, tables: str, length: int, out: str = "log_probs") -> DataFrame:
+    """Adds the log-probs of the chosen tokens (:func:`chosen_log_probs`), padded with 0 to ``length``.
+
+    Raises where a sequence has no tables, and where more than ``MOST_MISSING`` of all chosen tokens are missing. The counts
+    are taken of the whole table before anything is returned.
+    """
+    found = df.withColumn("_p", F.when(F.size(tables) > 0, chosen_log_probs(F.slice(F.col(tokens), F.lit(1), F.least(F.size(tokens), F.size(tables))), F.col(tables))))
+    lost, missing, total = found.agg(
+        F.sum(F.col("_p").isNull().cast("long")), F.sum(F.coalesce(F.size(F.filter("_p", lambda x: x["missing"])), F.lit(0))), F.sum(F.coalesce(F.size("_p"), F.lit(0)))).first()
+    if lost:
+        raise ValueError(f"{lost} sequences without log-probs")
+    if total and missing / total > MOST_MISSING:
+        raise ValueError(f"{missing} of {total} chosen tokens without a log-prob")
+    return found.withColumn(out, padded(F.transform("_p", lambda x: x["log_prob"]), length, 0.0)).drop("_p")
+
+
+def value_terms(df: DataFrame, predicted: str, returns: str, old: str, clip: float) -> DataFrame:
+    """Adds ``vf_most``, the larger of the squared errors of the values and of the values held within ``clip`` of the old ones, and
+    ``vf_clipped``, 1 where that is the held one's."""
+    z = F.arrays_zip(F.col(predicted).alias("p"), F.col(returns).alias("r"), F.col(old).alias("o"))
+    own = lambda x: (x["p"] - x["r"]) * (x["p"] - x["r"])
+    held = lambda x: F.greatest(x["o"] - clip, F.least(x["o"] + clip, x["p"])) - x["r"]
+    both = F.transform(z, lambda x: F.struct(own(x).alias("a"), (held(x) * held(x)).alias("b")))
+    return df.withColumn("vf_most", F.transform(both, lambda x: F.greatest(x["a"], x["b"]))).withColumn("vf_clipped", F.transform(both, lambda x: (x["a"] < x["b"]).cast("double")))

@@ -120,3 +120,10 @@ def imbalance(df: DataFrame, batch: str, key: str, length: str, parts: int) -> D
 
 def least_parts(total: int, most: int) -> int:
     return math.ceil(total / most)
+
+
+def by_work(df: DataFrame, batch: str, part: str, key: str, length: str) -> DataFrame:
+    """Per part of a batch its work (the sum of squared lengths) and its ``place`` among them: most work first, ties by the larger
+    least key."""
+    work = df.groupBy(batch, part).agg(F.sum(F.col(length) * F.col(length)).alias("work"), F.min(key).alias("first"))
+    return work.withColumn("place", F.row_number().over(Window.partitionBy(batch).orderBy(F.col("work").desc(), F.col("first").desc())) - 1)

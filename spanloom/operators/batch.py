@@ -100,3 +100,69 @@ def backfilled(merged: DataFrame, base: DataFrame, key: str, value: str) -> Data
     """The merged value where there is one, else the base's, with its origin."""
     a, b = merged.select(key, F.col(value).alias("_a"), F.lit(True).alias("_in")), base.select(key, F.col(value).alias("_b"))
     return a.join(b, key, "full").select(key, F.coalesce("_a", "_b").alias(value), F.when(F.col("_in"), "merged").otherwise("base").alias("origin"))
+
+
+def extra_keys(base: DataFrame, merged: DataFrame, key: str) -> DataFrame:
+    """Keys of the merged table that the base lacks."""
+    return missing_keys(merged, base, key)
+
+
+def index_selected(df: DataFrame, index: DataFrame, pos: str = "pos") -> DataFrame:
+    """The rows at the places of ``index`` (``place``, ``pos``), as often as they are listed; ``place`` gives their order. Negative places count
+    from the end."""
+    n = df.count()
+    wanted = index.select("place", F.when(F.col("pos") < 0, F.col("pos") + n).otherwise(F.col("pos")).alias("_at"))
+    return wanted.join(df, F.col("_at") == F.col(pos)).drop("_at")
+
+
+def sliced(df: DataFrame, start: int, end: int, step: int = 1, pos: str = "pos") -> DataFrame:
+    """Every ``step``-th row from ``start`` up to but not with ``end``."""
+    return df.where((F.col(pos) >= start) & (F.col(pos) < end) & ((F.col(pos) - start) % step == 0))
+
+
+def masked(df: DataFrame, mask: Column) -> DataFrame:
+    """The rows where the mask holds; NULL is no."""
+    return df.where(F.coalesce(mask, F.lit(False)))
+
+
+def united_maps(a: Column, b: Column) -> Column:
+    """All keys of both maps. Raises where a key has different values."""
+    differ = F.exists(F.map_keys(a), lambda k: F.map_contains_key(b, k) & ~F.try_element_at(a, k).eqNullSafe(F.try_element_at(b, k)))
+    rest = F.map_filter(b, lambda k, _: ~F.map_contains_key(a, k))
+    return F.when(differ, F.raise_error(F.lit("maps differ in a key")).cast("map<string,bigint>")).otherwise(F.map_concat(a, rest))
+
+
+def appended(df: DataFrame, group: str, metrics: str, order: str) -> DataFrame:
+    """Per group and key of the map ``metrics``: ``values``, the list of its values in the order of the rows."""
+    rows = df.select(group, F.col(order).alias("_o"), F.explode(metrics).alias("key", "value"))
+    return rows.groupBy(group, "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "value"))), lambda x: x["value"]).alias("values"))
+
+
+def computed_once(df: DataFrame, key: str, source: str, compute) -> DataFrame:
+    """Adds ``computed``, reckoned once per key from its row with the least ``source``, and looked up by all rows of the key."""
+    once = df.groupBy(key).agg(F.min(source).alias("_first")).select(key, compute(F.col("_first")).alias("computed"))
+    return df.join(once, key)
+
+
+def rollout_joined(prompts: DataFrame, outputs: DataFrame, key: str, n: str, slot: str = "slot") -> DataFrame:
+    """Each prompt repeated ``n`` (a column) times, one per ``slot`` from 0, with the output of its key and slot; every output stays,
+    also one without a prompt."""
+    repeats = prompts.where(F.col(n) > 0).withColumn(slot, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))).drop(n)
+    return repeats.join(outputs, [key, slot], "full")
+
+
+def restarted(df: DataFrame, rows: int, draws: int, pos: str = "pos") -> DataFrame:
+    """What an iterator over ``rows`` rows gives in ``draws`` draws, beginning anew in the same order when it is through: ``draw`` and
+    ``epoch`` of each row."""
+    times = F.floor((F.lit(draws - 1) - F.col(pos)) / max(1, rows)).cast("int")
+    return df.where(F.col(pos) < draws).withColumn("epoch", F.explode(F.sequence(F.lit(0), times))).withColumn("draw", (F.col("epoch").cast("long") * rows + F.col(pos)).cast("long"))
+
+
+def first_per(df: DataFrame, group: str, key: str) -> DataFrame:
+    """One row of each group, that of the least key: what is shown once, whoever comes first."""
+    return df.groupBy(group).agg(F.min(F.struct(key, *[c for c in df.columns if c not in (group, key)])).alias("_r")).select(group, "_r.*")
+
+
+def sorted_predictions(df: DataFrame, group: str, frame: str, fields: list[str]) -> DataFrame:
+    """Per group its predictions as one array, by frame, ties by the other fields."""
+    return df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(frame, *fields))).alias("predictions"))

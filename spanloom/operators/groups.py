@@ -6,6 +6,7 @@ Groups of one row have no deviation: by default they raise, with ``on_singleton=
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -162,3 +163,22 @@ def smoothed_best(steps: DataFrame, window: int, min_step: int, step: str = "ste
     rows = steps.withColumn("smoothed", F.when((F.count("*").over(trail) == window) & (F.col(step) >= min_step), F.avg(metric).over(trail)))
     best = F.max("smoothed").over(w.rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("_best", best).where("smoothed IS NOT NULL AND (_best IS NULL OR smoothed > _best)").drop("_best")
+
+
+def time_left(steps: DataFrame, step: str, seconds: str, last: int) -> DataFrame:
+    """Adds ``left``: the mean of the steps so far times those to come. One row per training step."""
+    so_far = F.avg(seconds).over(Window.orderBy(step).rowsBetween(Window.unboundedPreceding, 0))
+    return steps.withColumn("left", so_far * (last - F.col(step)))
+
+
+def learning_rate(step: Column, warmup: int, total: int, kind: str = "constant", start: float = 0.0, least: float = 0.0, cycles: float = 0.5) -> Column:
+    """The factor of the rate at a step: a linear warm-up from ``start``, then constant, or a cosine down to ``least``."""
+    s = step.cast("double")
+    rise = F.lit(start) + (1 - start) * s / max(1, warmup)
+    if kind == "constant":
+        return F.least(F.lit(1.0), rise)
+    if kind != "cosine":
+        raise NotImplementedError(f"no schedule {kind!r}")
+    part = (s - warmup) / max(1, total - warmup)
+    wave = F.cos(F.lit(2 * math.pi * cycles) * part)
+    return F.when(s < warmup, rise).otherwise(F.greatest(F.lit(least), wave * (1 - least) / 2 + (1 + least) / 2))

@@ -41,11 +41,11 @@ def finite(value: Column) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == F.lit(float("inf"))), 0.0).otherwise(value)
 
 
-def flops(rows: DataFrame, length: str, seconds: float, weights: float, head_dim: int, heads: int, layers: int) -> DataFrame:
-    """Floating-point operations of training on sequences, and per second in units of 1e12."""
+def flops(rows: DataFrame, length: str, seconds: float, weights: float, head_dim: int, heads: int, layers: int, by: list[str] | None = None) -> DataFrame:
+    """Floating-point operations of training on sequences, and per second in units of 1e12, in all or per group."""
     n = F.col(length).cast("double")
     total = 6.0 * weights * F.sum(n) + 12.0 * F.sum(n * n) * head_dim * heads * layers
-    return rows.agg(F.sum(F.col(length).cast("long")).alias("tokens"), total.alias("flops"), (total / seconds / 1e12).alias("tflops"))
+    return rows.groupBy(*(by or [])).agg(F.sum(F.col(length).cast("long")).alias("tokens"), total.alias("flops"), (total / seconds / 1e12).alias("tflops"))
 
 
 def weights(hidden: int, vocab: int, layers: int, heads: int, kv_heads: int, mlp: int, head_dim: int) -> float:
@@ -69,3 +69,49 @@ def nested(metrics: DataFrame, key: str = "metric", value: str = "value") -> Dat
 def flat(nested_: DataFrame) -> DataFrame:
     """The reverse of :func:`nested`."""
     return nested_.select("head", F.explode("values").alias("rest", "value")).select(F.concat_ws("/", "head", F.nullif(F.col("rest"), F.lit(""))).alias("metric"), "value")
+
+
+def moe_weights(hidden: int, vocab: int, layers: int, heads: int, kv_heads: int, expert_mlp: int, experts: int, active: int, head_dim: int) -> float:
+    """As :func:`weights` where ``active`` of ``experts`` are used for a token: their maps and the gate."""
+    mlp = 3 * hidden * active * expert_mlp + hidden * experts
+    return float((mlp + hidden * head_dim * (2 * heads + 2 * kv_heads)) * layers + 2 * vocab * hidden)
+
+
+# Peak operations a second of devices, by a part of their names; the first that fits counts.
+DEVICE_PEAKS = [("H100", 989e12), ("H800", 989e12), ("A100", 312e12), ("A800", 312e12), ("L40", 181.05e12), ("L20", 119.5e12), ("H20", 148e12), ("910B", 354e12)]
+
+
+def device_peak(name: Column) -> Column:
+    """Peak operations a second of a device; infinite for one that is not known."""
+    out = F.lit(float("inf"))
+    for part, peak in reversed(DEVICE_PEAKS):
+        out = F.when(name.contains(part), F.lit(peak)).otherwise(out)
+    return out
+
+
+def utilisation(tflops: Column, device: Column, devices: Column) -> Column:
+    """The share of the devices' peak that is used."""
+    return tflops * 1e12 / (device_peak(device) * devices)
+
+
+def timing_per_token(df: DataFrame, sections: list[tuple[str, float, str]]) -> DataFrame:
+    """Milliseconds per token of each section, for rows with the token counts that the sections name."""
+    cells = F.array(*[F.struct(F.lit(name).alias("section"), (F.lit(seconds) * 1000 / F.col(of)).alias("ms_per_token")) for name, seconds, of in sections])
+    keys = [c for c in df.columns if c not in {of for _, _, of in sections}]
+    return df.select(*keys, F.explode(cells).alias("t")).select(*keys, "t.*")
+
+
+def token_totals(df: DataFrame, length: str, *by: str) -> DataFrame:
+    """Tokens per group."""
+    return df.groupBy(*by).agg(F.sum(length).cast("long").alias("tokens"))
+
+
+def throughput(totals: DataFrame, seconds: float, devices: int) -> DataFrame:
+    """Adds tokens per second and device."""
+    return totals.withColumn("throughput", F.col("tokens") / (seconds * devices))
+
+
+def size_rollup(df: DataFrame, by: str, size: str, unit: str) -> DataFrame:
+    """Files, bytes and bytes in a unit, per group; NULL sizes count as files of none."""
+    total = F.coalesce(F.sum(size), F.lit(0)).cast("long")
+    return df.groupBy(by).agg(F.count("*").alias("files"), total.alias("bytes"), (total / 1000.0 ** "BKMGTP".index(unit)).alias("shown"))

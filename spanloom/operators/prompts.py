@@ -97,28 +97,6 @@ def fallback_metadata(frames: Column, fps: Column) -> Column:
     return F.struct(fps.alias("fps"), frames.alias("total_num_frames"), F.when(fps > 0, frames / fps).alias("duration"))
 
 
-def completed(config: dict, defaults: list[tuple[str, str]]) -> dict:
-    """A configuration with each unset name taken from another, in order."""
-    out = dict(config)
-    for name, source in defaults:
-        if out.get(name) is None:
-            out[name] = out.get(source)
-    return out
-
-
-def run_faults(config: dict) -> list[str]:
-    """What keeps a run from starting: sizes that do not divide, groups of one, an index out of range."""
-    out = []
-    for small, large in (("micro_batch", "mini_batch"), ("mini_batch", "rollout_batch")):
-        if not config.get(small) or config[large] % config[small]:
-            out.append(f"{large} is no multiple of {small}")
-    if config.get("estimator") in ("grpo", "rloo") and config.get("n", 1) <= 1:
-        out.append("the estimator needs groups")
-    if config.get("inject") and not -1 <= config.get("replace", -1) < config.get("n", 1):
-        out.append("replaced slot out of range")
-    return out
-
-
 def rooted(path: Column, root: str) -> Column:
     """A relative path under ``root``, an absolute one as it is."""
     return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))

@@ -81,39 +81,18 @@ def u8_mini_batches(spark, d):
     return B.mini_batches(e, 250, e.count(), 2).groupBy("epoch", "batch").agg(F.count("*").alias("n"), F.sum("pos").alias("total"))
 
 
-@query("SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'error'")
-def u10_key_sets(spark, d):
-    e = table(spark, d, "events")
-    return e.where("event_type = 'click'").select("user_id").intersect(e.where("event_type = 'error'").select("user_id"))
-
-
 @query("SELECT event_id AS pos, event_type, value, user_id * 2 AS twice FROM events")
 def j2_union_by_position(spark, d):
     e = table(spark, d, "events").withColumnRenamed("event_id", "pos")
     return B.united(e.select("pos", "event_type", "value"), e.select("pos", "value", (F.col("user_id") * 2).alias("twice")), "pos")
 
 
-@query("SELECT record_id * 4 + s AS row, record_id, s AS slot, r.response_length AS n FROM (SELECT DISTINCT record_id FROM records) q CROSS JOIN range(0, 4) t(s) LEFT JOIN (SELECT problem_id, slot, CAST(max(response_length) AS BIGINT) AS response_length FROM reward_inputs GROUP BY 1, 2) r ON r.problem_id = q.record_id AND r.slot = s")
-def j3_rollout_join(spark, d):
-    prompts = table(spark, d, "records").select("record_id").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
-    outs = table(spark, d, "reward_inputs").groupBy(F.col("problem_id").alias("record_id"), F.col("slot").cast("long").alias("slot")).agg(F.max("response_length").cast("long").alias("n"))
-    return prompts.join(outs, ["record_id", "slot"], "left").select((F.col("record_id") * 4 + F.col("slot")).alias("row"), "record_id", "slot", "n")
-
-
 @query("SELECT uid, slot, p.problem_id, o.rollout_id, CAST(o.response_length AS BIGINT) AS n FROM (SELECT uid, problem_id, CAST(unnest(range(0, rollout_n)) AS BIGINT) AS slot FROM (SELECT DISTINCT uid, problem_id, run_tag FROM reward_inputs) q JOIN runs USING (run_tag)) p FULL JOIN (SELECT uid, CAST(slot AS BIGINT) AS slot, rollout_id, response_length FROM reward_inputs) o USING (uid, slot)")
 def j3_rollout_groups(spark, d):
     rows = table(spark, d, "reward_inputs")
     outs = rows.select("uid", F.col("slot").cast("long").alias("slot"), "rollout_id", F.col("response_length").cast("long").alias("n"))
-    prompts = rows.select("uid", "problem_id", "run_tag").distinct().join(table(spark, d, "runs").where("rollout_n > 0").select("run_tag", "rollout_n"), "run_tag")
-    repeats = prompts.select("uid", "problem_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rollout_n").cast("long") - 1)).alias("slot"))
-    return repeats.join(outs, ["uid", "slot"], "full").select("uid", "slot", "problem_id", "rollout_id", "n")
-
-
-@query("SELECT 'missing' AS kind, count(*) AS n FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM subject_labels) a UNION ALL SELECT 'kept', count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM subject_labels) b")
-def j5_key_sets(spark, d):
-    docs, labels = table(spark, d, "documents"), table(spark, d, "subject_labels")
-    one = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
-    return one(B.missing_keys(docs, labels, "doc_id"), "missing").unionByName(one(B.kept_keys(docs, labels, "doc_id"), "kept"))
+    prompts = rows.select("uid", "problem_id", "run_tag").distinct().join(table(spark, d, "runs").select("run_tag", "rollout_n"), "run_tag").drop("run_tag")
+    return B.rollout_joined(prompts, outs, "uid", "rollout_n").select("uid", "slot", "problem_id", "rollout_id", "n")
 
 
 @query("SELECT coalesce(m.doc_id, b.doc_id) AS doc_id, coalesce(m.v, b.v) AS value, CASE WHEN m.doc_id IS NOT NULL THEN 'merged' ELSE 'base' END AS origin FROM (SELECT doc_id, min(subject) AS v FROM subject_labels GROUP BY 1) m FULL JOIN (SELECT doc_id, source AS v FROM documents) b ON m.doc_id = b.doc_id")
@@ -122,13 +101,6 @@ def j6_backfill(spark, d):
     return B.backfilled(merged, table(spark, d, "documents").select("doc_id", F.col("source").alias("value")), "doc_id", "value")
 
 
-@query("WITH c AS (SELECT problem_id, max(length(problem)) AS n FROM reward_inputs GROUP BY 1) SELECT r.rollout_id, n, count(*) AS copies FROM reward_inputs r JOIN c ON r.problem_id = c.problem_id GROUP BY 1, 2")
-def j8_computed_once(spark, d):
-    r = table(spark, d, "reward_inputs")
-    once = r.groupBy("problem_id").agg(F.max(F.length("problem")).cast("long").alias("n"))
-    return r.join(once, "problem_id").groupBy("rollout_id", "n").agg(F.count("*").alias("copies"))
-
-
 @query("SELECT event_id, c AS copy FROM events, range(0, 2) t(c)")
 def j9_repeat_align(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("pos"), "event_id")
@@ -137,13 +109,6 @@ def j9_repeat_align(spark, d):
     return B.repeated(filled, 2, True, n + added).where(F.col("pos") < 2 * n).select("event_id", F.col("copy").cast("long").alias("copy"))
 
 
-@query("SELECT event_id, value FROM events WHERE event_id IN (SELECT (i * i) % (SELECT count(*) FROM events) FROM range(0, 3000) t(i))")
-def f10_index_select(spark, d):
-    e = table(spark, d, "events")
-    index = spark.range(3000).select(((F.col("id") * F.col("id")) % e.count()).alias("event_id")).distinct()
-    return e.join(index, "event_id", "left_semi").select("event_id", "value")
-
-
 @query("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 64")
 def q10_cut_batch(spark, d):
     return B.selected(table(spark, d, "documents"), ["doc_id", "source", "nothing"]).orderBy("doc_id").limit(64)
@@ -215,16 +180,14 @@ def m9_centred_box(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round_even(l_quantity + (l_partkey % 301 - l_quantity) * (l_linenumber / 7.0::DOUBLE), 0) AS BIGINT) AS x, count(*) AS n FROM lineitem GROUP BY ALL")
 def m10_box_lerp(spark, d):
-    q = F.col("l_quantity")
-    x = F.rint(q + (F.col("l_partkey") % 301 - q) * (F.col("l_linenumber") / 7.0)).cast("long")
+    x = G.lerp(F.col("l_quantity"), F.col("l_partkey") % 301, F.col("l_linenumber") / 7.0)
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", x.alias("x")).groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "x").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {CROP} SELECT p_partkey, CAST(f AS BIGINT) AS frame, round_even((w - rw) / 2, 0) AS x, round_even((h - rh) / 2, 0) AS y, rw AS side FROM c, range(0, 24, 5) t(f)")
 def t5_centre_crop(spark, d):
-    c = G.crop_round(*[F.col(x) for x in ("w", "h", "tw", "th")])
-    p = parts(spark, d).withColumn("cw", c["w"]).withColumn("ch", c["h"])
-    return p.select("p_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"), F.lit(5).cast("long"))).alias("frame"), F.rint((F.col("w") - F.col("cw")) / 2).alias("x"), F.rint((F.col("h") - F.col("ch")) / 2).alias("y"), F.col("cw").alias("side"))
+    c = G.centre_crops(*[F.col(x) for x in ("w", "h", "tw", "th")], F.lit(24).cast("long"), 5)
+    return parts(spark, d).select("p_partkey", F.explode(c).alias("c")).select("p_partkey", "c.frame", "c.x", "c.y", F.col("c.w").alias("side"))
 
 
 def doc_batches(spark, d):
@@ -284,3 +247,89 @@ SELECT CAST(shard AS INTEGER) AS shard, CAST(sum(n) AS BIGINT) AS bytes, count(*
 def k7_shards(spark, d):
     sizes = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 1_000_000).cast("long").alias("bytes"))
     return L.shard_sizes(sizes, "p_partkey", "bytes", 200_000_000).groupBy("shard").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("keys"))
+
+
+@query("""SELECT 'missing' AS kind, doc_id FROM (SELECT doc_id FROM documents WHERE doc_id % 5 < 4 EXCEPT SELECT doc_id FROM subject_labels) a UNION ALL SELECT 'kept', doc_id FROM (SELECT doc_id FROM documents WHERE doc_id % 5 < 4 INTERSECT SELECT doc_id FROM subject_labels) b
+UNION ALL SELECT 'extra', doc_id FROM (SELECT doc_id FROM subject_labels EXCEPT SELECT doc_id FROM documents WHERE doc_id % 5 < 4) c""")
+def j5_key_sets(spark, d):
+    """Keys that are missing, kept and extra; a fifth of the documents is not in the base."""
+    docs, labels = table(spark, d, "documents").where("doc_id % 5 < 4"), table(spark, d, "subject_labels")
+    out = None
+    for kind, f in (("missing", B.missing_keys), ("kept", B.kept_keys), ("extra", B.extra_keys)):
+        rows = f(docs, labels, "doc_id").select(F.lit(kind).alias("kind"), "doc_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_A, _B = "SELECT user_id FROM events WHERE event_type = 'click' AND event_id % 50 = 1", "SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 20 = 0"
+
+
+@query(f"SELECT 'both' AS kind, user_id FROM ({_A} INTERSECT {_B}) q UNION ALL SELECT 'either', user_id FROM ({_A} UNION {_B}) q UNION ALL SELECT 'first only', user_id FROM ({_A} EXCEPT {_B}) q")
+def u10_key_sets(spark, d):
+    e = table(spark, d, "events")
+    a, b = e.where("event_type = 'click' AND event_id % 50 = 1").select("user_id"), e.where("event_type = 'error' AND event_id % 20 = 0").select("user_id")
+    sets = {"both": a.intersect(b), "either": a.union(b).distinct(), "first only": a.exceptAll(a.join(b, "user_id", "left_semi")).distinct()}
+    out = None
+    for kind, rows in sets.items():
+        rows = rows.select(F.lit(kind).alias("kind"), "user_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM events), i AS (SELECT k AS place, CASE WHEN k % 4 = 3 THEN -1 - k % 7 ELSE (k * k) % 500 END AS pos FROM range(0, 3000) t(k))
+SELECT 'index' AS how, place, event_id FROM i, n JOIN events ON event_id = CASE WHEN pos < 0 THEN pos + n ELSE pos END UNION ALL SELECT 'slice', NULL, event_id FROM events WHERE event_id >= 10 AND event_id < 400 AND (event_id - 10) % 7 = 0
+UNION ALL SELECT 'mask', NULL, event_id FROM events WHERE event_type = 'click' AND value > 50""")
+def f10_selected(spark, d):
+    """By a list of places with repeats and negative ones, by a slice, and by a mask."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("pos"), "event_id", "event_type", "value")
+    k = F.col("id")
+    index = spark.range(3000).select(k.alias("place"), F.when(k % 4 == 3, -1 - k % 7).otherwise((k * k) % 500).alias("pos"))
+    none = F.lit(None).cast("long").alias("place")
+    return (
+        B.index_selected(e, index).select(F.lit("index").alias("how"), "place", "event_id")
+        .unionByName(B.sliced(e, 10, 400, 7).select(F.lit("slice").alias("how"), none, "event_id"))
+        .unionByName(B.masked(e, (F.col("event_type") == "click") & (F.col("value") > 50)).select(F.lit("mask").alias("how"), none, "event_id"))
+    )
+
+
+@query("WITH c AS (SELECT uid, min(problem) AS p FROM reward_inputs GROUP BY 1) SELECT r.rollout_id, upper(p) || length(p) AS computed, count(*) AS copies FROM reward_inputs r JOIN c ON r.uid = c.uid GROUP BY 1, 2")
+def j8_computed_once(spark, d):
+    """What is made of a group's prompt, made once."""
+    r = table(spark, d, "reward_inputs")
+    return B.computed_once(r, "uid", "problem", lambda p: F.concat(F.upper(p), F.length(p).cast("string"))).groupBy("rollout_id", "computed").agg(F.count("*").alias("copies"))
+
+
+@query("SELECT user_id, list(event_id ORDER BY event_id) FILTER (event_id % 3 = 0) AS a, list(event_id * 2 ORDER BY event_id) AS b FROM events GROUP BY 1")
+def m15_maps(spark, d):
+    """Maps of two sources united, then their values appended by key."""
+    e = F.col("event_id")
+    first = F.when(e % 3 == 0, F.create_map(F.lit("a"), e)).otherwise(F.create_map(F.lit("b"), e * 2))
+    rows = table(spark, d, "events").select("user_id", "event_id", B.united_maps(first, F.create_map(F.lit("b"), e * 2)).alias("m"))
+    lists = B.appended(rows, "user_id", "m", "event_id")
+    pick = lambda k: F.max(F.when(F.col("key") == k, F.col("values"))).alias(k)
+    return lists.groupBy("user_id").agg(pick("a"), pick("b"))
+
+
+@query("SELECT uid, list(slot ORDER BY slot, rollout_id) AS frames, list(rollout_id ORDER BY slot, rollout_id) AS ids FROM (SELECT DISTINCT uid, slot, rollout_id FROM reward_inputs) q GROUP BY 1")
+def o14_sorted_predictions(spark, d):
+    rows = B.sorted_predictions(table(spark, d, "reward_inputs").select("uid", "slot", "rollout_id").distinct(), "uid", "slot", ["rollout_id"])
+    return rows.select("uid", F.transform("predictions", lambda x: x["slot"]).alias("frames"), F.transform("predictions", lambda x: x["rollout_id"]).alias("ids"))
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM events WHERE event_id < 700) SELECT k AS draw, CAST(k // n AS INTEGER) AS epoch, event_id, event_type FROM range(0, 2500) t(k), n JOIN events ON event_id = k % n")
+def y10_restarted(spark, d):
+    e = table(spark, d, "events").where("event_id < 700").select(F.col("event_id").alias("pos"), "event_id", "event_type")
+    return B.restarted(e, e.count(), 2500).select("draw", "epoch", "event_id", "event_type")
+
+
+@query("SELECT run_tag, rollout_id, slot FROM (SELECT run_tag, rollout_id, slot, row_number() OVER (PARTITION BY run_tag ORDER BY rollout_id, slot) AS n FROM reward_inputs) q WHERE n = 1")
+def k9_one_sample(spark, d):
+    return B.first_per(table(spark, d, "reward_inputs").select("run_tag", "rollout_id", "slot"), "run_tag", "rollout_id")
+
+
+@query("""WITH it AS (SELECT doc_id // 128 AS batch, doc_id % 4 AS part, doc_id, CAST(coalesce(n_chars, 0) AS BIGINT) AS n FROM documents), p AS (SELECT batch, part, CAST(sum(n * n) AS BIGINT) AS work, min(doc_id) AS first FROM it GROUP BY 1, 2)
+SELECT batch, part, work, CAST(row_number() OVER (PARTITION BY batch ORDER BY work DESC, first DESC) - 1 AS INTEGER) AS place FROM p""")
+def o15_workloads(spark, d):
+    """The micro-batches of a batch, most work first."""
+    rows = doc_batches(spark, d).withColumn("part", F.col("doc_id") % 4)
+    return L.by_work(rows, "batch", "part", "doc_id", "n_chars").select("batch", "part", "work", "place")

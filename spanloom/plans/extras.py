@@ -55,23 +55,6 @@ def s13_prepared(spark, d):
     return D.prepared_source(r, listing, "preprocessed_video", "/art", "optional").select("row_id", "artifact")
 
 
-@query(f"WITH {SEQ} SELECT uid, true AS even, count(*) AS n FROM tok GROUP BY uid")
-def u11_u12_checked(spark, d):
-    s = sequences(spark, d)
-    return s.select("uid", D.consistent(s, ["rewards", "values", "mask"]).alias("even"), F.size("rewards").cast("long").alias("n"))
-
-
-@query("SELECT source, CAST(sum(n_chars) AS BIGINT) AS size, count(*) AS files FROM documents GROUP BY 1")
-def a17_sizes(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.sum("n_chars").cast("long").alias("size"), F.count("*").alias("files"))
-
-
-@query("SELECT uid, CAST(max(slot) AS INTEGER) AS last FROM reward_inputs GROUP BY 1")
-def o14_sorted_arrays(spark, d):
-    g = table(spark, d, "reward_inputs").groupBy("uid").agg(F.sort_array(F.collect_list("slot")).alias("s"))
-    return g.select("uid", F.element_at("s", -1).alias("last"))
-
-
 @query("SELECT DISTINCT user_id, event_id % 400 AS frame FROM events WHERE event_id % 400 IN (SELECT i * 7 FROM range(0, 58) t(i))")
 def s11_frames(spark, d):
     """The frames of a video that are asked for; decoding is not part of the engine."""
@@ -86,11 +69,6 @@ def o5_joint_targets(spark, d):
     return D.joint_targets(spark, given)
 
 
-@query("SELECT run_tag, min(rollout_id) AS rollout_id FROM reward_inputs GROUP BY 1")
-def k9_one_sample(spark, d):
-    return table(spark, d, "reward_inputs").groupBy("run_tag").agg(F.min("rollout_id").alias("rollout_id"))
-
-
 @query("SELECT batch, CAST(min(n) AS BIGINT) AS least, CAST(max(n) AS BIGINT) AS most FROM (SELECT doc_id // 128 AS batch, doc_id % 8 AS part, 1 AS n FROM documents) q GROUP BY 1")
 def l3_cover(spark, d):
     """Every item of a batch is in exactly one part."""

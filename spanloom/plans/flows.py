@@ -44,30 +44,6 @@ def s2_tolerant_lines(spark, d):
     return J.lines(spark, path, "event_id long, value double", tolerant=True)
 
 
-@query("SELECT p_partkey, coalesce(CASE WHEN p_partkey % 3 > 0 THEN 16 END, 16) AS w FROM part")
-def s3_s4_array_or_lines(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 > 0, F.array(F.lit(16), F.lit(9))).alias("ratio"))
-    whole = rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct("p_partkey", "ratio")))).alias("value"))
-    whole.coalesce(1).write.text(path := _place(spark))
-    back = J.lines_or_array(spark, path, "p_partkey long, ratio array<int>")
-    return back.select("p_partkey", F.coalesce("ratio", F.array(F.lit(16), F.lit(9)))[0].alias("w"))
-
-
-@query("SELECT 'v' || user_id || '.mp4' AS video_path, CAST(30 + user_id % 121 AS DOUBLE) AS duration, count(*) AS n FROM events GROUP BY 1, 2")
-def s5_annotations(spark, d):
-    per = table(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.concat(F.lit(" event  "), F.col("event_id").cast("string"), F.lit(". "))).alias("q"), F.collect_list(F.array(F.lit(1.0), F.lit(2.0))).alias("s"))
-    info = F.when(F.col("user_id") % 2 == 0, F.struct((30 + F.col("user_id") % 121).cast("double").alias("duration"), F.col("q").alias("queries"), F.lit(None).cast("array<string>").alias("sentences"), F.col("s").alias("spans"), F.lit(None).cast("array<array<double>>").alias("timestamps"))).otherwise(
-        F.struct((30 + F.col("user_id") % 121).cast("double").alias("duration"), F.lit(None).cast("array<string>").alias("queries"), F.col("q").alias("sentences"), F.lit(None).cast("array<array<double>>").alias("spans"), F.col("s").alias("timestamps")))
-    one = per.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("v"), F.col("user_id").cast("string")), info)))).alias("value"))
-    one.coalesce(1).write.text(path := _place(spark))
-    return J.annotations(spark, path).groupBy("video_path", "duration").agg(F.count("*").alias("n"))
-
-
-@query("SELECT name, n FROM (VALUES ('charades', 3363), ('activitynet', 4500), ('qvhighlights', 1541)) AS t(name, n)")
-def s6_benches(spark, d):
-    return spark.createDataFrame([("charades", 3363), ("activitynet", 4500), ("qvhighlights", 1541)], "name string, n int")
-
-
 @query("SELECT c_custkey, c_mktsegment FROM customer")
 def s7_by_extension(spark, d):
     path = _place(spark) + ".jsonl"
@@ -86,13 +62,62 @@ def k3_k4_results(spark, d):
     return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("iou"), 6).alias("miou"))
 
 
-@query(f"WITH {ONE} SELECT run_tag, count(*) AS n, round(avg(iou), 6) AS miou FROM res GROUP BY run_tag")
-def y1_y2_y6_stream(spark, d):
-    e = table(spark, d, "eval_results")
-    e.repartition(4).write.parquet(path := _place(spark))
-    return running.running_summary(spark, path, e.schema).select("run_tag", "n", F.round("miou", 6).alias("miou"))
+def _texts(df, path):
+    """Each row of texts as a file of its own."""
+    df.write.option("maxRecordsPerFile", 1).text(path)
+
+
+@query("SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 3 > 0 THEN p_size ELSE 16 END AS w, CASE WHEN p_partkey % 3 > 0 THEN 9 ELSE 9 END AS h, form FROM part, (VALUES ('array'), ('lines')) AS f(form)")
+def s3_s4_array_or_lines(spark, d):
+    """The same rows as arrays, one per file of some hundred, and as lines; ids come as text, a missing ratio as 16 to 9."""
+    ratio = F.when(F.col("p_partkey") % 3 > 0, F.array(F.col("p_size").cast("int"), F.lit(9)))
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_partkey").alias("id"), ratio.alias("ratio"))
+    arrays = rows.groupBy(F.floor(F.col("p_partkey") / 500).alias("file")).agg(F.to_json(F.collect_list(F.struct("p_partkey", "id", "ratio"))).alias("value"))
+    _texts(arrays.select("value"), a := _place(spark))
+    J.write_lines(rows, b := _place(spark))
+    out = None
+    for form, path in (("array", a), ("lines", b)):
+        back = J.lines_or_array(spark, path, "p_partkey long, id string, ratio array<int>").select("p_partkey", "id", J.ratio_or(F.col("ratio"), [16, 9]).alias("ratio"))
+        back = back.select("p_partkey", "id", F.col("ratio")[0].alias("w"), F.col("ratio")[1].alias("h"), F.lit(form).alias("form"))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query("""WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS of FROM events)
+SELECT 'root/v' || user_id || '.mp4' AS video_path, CAST(CASE WHEN user_id % 5 = 0 THEN 0 ELSE 30 + user_id % 121 END AS DOUBLE) AS duration, 'event ' || event_id AS query, CAST(event_id % 40 AS DOUBLE) AS start, CAST(event_id % 40 + 2 AS DOUBLE) AS "end" FROM e WHERE user_id % 3 > 0 OR n < of""")
+def s5_annotations(spark, d):
+    """Annotation objects, one per user, with either pair of names; durations may be missing, and for some users a span is."""
+    u, e = F.col("user_id"), F.col("event_id")
+    per = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id"))).alias("e"))
+    text = F.transform("e", lambda x: F.concat(F.lit(" event  "), x["event_id"].cast("string"), F.lit(". ")))
+    spans = F.transform("e", lambda x: F.array((x["event_id"] % 40).cast("double"), (x["event_id"] % 40 + 2).cast("double")))
+    spans = F.when(u % 3 == 0, F.slice(spans, F.lit(1), F.size(spans) - 1)).otherwise(spans)
+    either = u % 2 == 0
+    info = F.struct(F.when(u % 5 > 0, (30 + u % 121).cast("double")).alias("duration"), F.when(either, text).alias("queries"), F.when(~either, text).alias("sentences"), F.when(either, spans).alias("spans"), F.when(~either, spans).alias("timestamps"))
+    objects = per.select(F.to_json(F.create_map(F.concat(F.lit("v"), u.cast("string")), info)).alias("value"))
+    _texts(objects.repartition(8), path := _place(spark))
+    a = J.annotations(spark, path, "root/")
+    return a.select("video_path", "duration", "query", F.col("span")[0][0].alias("start"), F.col("span")[0][1].alias("end"))
+
+
+@query("WITH b AS (SELECT * FROM (VALUES ('charades', 3363, 0), ('activitynet', 4500, 1), ('qvhighlights', 1541, 2)) AS t(name, listed, k)) SELECT name, listed, count(event_id) AS found, count(event_id) = listed AS complete FROM b LEFT JOIN events ON user_id % 3 = k AND event_type = 'click' GROUP BY 1, 2")
+def s6_benches(spark, d):
+    """The registered benches, and how many of their events are there."""
+    k = F.col("user_id") % 3
+    e = table(spark, d, "events").where("event_type = 'click'").select(F.when(k == 0, "charades").when(k == 1, "activitynet").otherwise("qvhighlights").alias("name"), "event_id")
+    return J.bench_counts(J.benches(spark), e, "name").select("name", "listed", "found", "complete")
 
 
-@query("SELECT event_id % 1000 AS pos, CAST(event_id // 1000 AS BIGINT) AS epoch FROM events")
-def y10_epochs(spark, d):
-    return table(spark, d, "events").select((F.col("event_id") % 1000).alias("pos"), F.expr("event_id div 1000").alias("epoch"))
+@query("WITH r AS (SELECT DISTINCT ON (rollout_id) * FROM reward_inputs ORDER BY rollout_id) SELECT run_tag, count(*) AS n, round(avg(iou), 6) AS mean FROM r GROUP BY run_tag")
+def y1_y2_y6_stream(spark, d):
+    """A stream of files, some at a time, stopped after half of them and taken up again at the same place."""
+    rows = table(spark, d, "reward_inputs").select("rollout_id", "run_tag", "iou", F.col("finished_at").cast("timestamp").alias("finished_at"))
+    cuts = rows.select(F.unix_timestamp("finished_at").alias("t")).approxQuantile("t", [0.25, 0.5, 0.75], 0.01)
+    path, place, t = _place(spark), _place(spark), F.unix_timestamp("finished_at")
+    out = None
+    for i in range(4):
+        part = rows.where((t > cuts[i - 1] if i else F.lit(True)) & (t <= cuts[i] if i < 3 else F.lit(True)))
+        part.coalesce(2).write.mode("append").parquet(path)
+        if i % 2:  # started anew, from the checkpoint
+            out = running.running_summary(spark, path, rows.schema, place, "run_tag", "rollout_id", "iou", "finished_at")
+    return out.select("run_tag", "n", F.round("mean", 6).alias("mean"))

@@ -148,11 +148,8 @@ for _kind, _ratio in (("default", "pn - po"), ("gspo", "mk * m"), ("gspo_token",
 @query(f"""WITH {SEQ}, l AS (SELECT uid, m, v AS p, (v - r) * (v - r) AS a, (greatest(pn - 0.5, least(pn + 0.5, v)) - r) * (greatest(pn - 0.5, least(pn + 0.5, v)) - r) AS b FROM tok)
 SELECT round(0.5 * sum(greatest(a, b) * m) / (sum(m) + 1e-8), 6) AS vf_loss, round(sum(CASE WHEN a < b THEN m ELSE 0 END) / (sum(m) + 1e-8), 6) AS clip, round(sum(p * m) / (sum(m) + 1e-8), 6) AS vpred_mean FROM l""")
 def g12_value_loss(spark, d):
-    z = F.arrays_zip(F.col("values").alias("p"), F.col("rewards").alias("r"), F.col("new").alias("o"))
-    held = lambda x: F.greatest(x["o"] - 0.5, F.least(x["o"] + 0.5, x["p"])) - x["r"]
-    s = sequences(spark, d).withColumn("a", F.transform(z, lambda x: (x["p"] - x["r"]) * (x["p"] - x["r"]))).withColumn("b", F.transform(z, lambda x: held(x) * held(x)))
-    s = s.withColumn("most", F.zip_with("a", "b", lambda a, b: F.greatest(a, b))).withColumn("clip", F.zip_with("a", "b", lambda a, b: (a < b).cast("double")))
-    return s.agg(F.round(0.5 * S.loss(s, "most", "mask", "token"), 6).alias("vf_loss"), F.round(S.loss(s, "clip", "mask", "token"), 6).alias("clip"), F.round(S.loss(s, "values", "mask", "token"), 6).alias("vpred_mean"))
+    s = S.value_terms(sequences(spark, d), "values", "rewards", "new", 0.5)
+    return s.agg(F.round(0.5 * S.loss(s, "vf_most", "mask", "token"), 6).alias("vf_loss"), F.round(S.loss(s, "vf_clipped", "mask", "token"), 6).alias("clip"), F.round(S.loss(s, "values", "mask", "token"), 6).alias("vpred_mean"))
 
 
 @query(f"""WITH {STEPS}, t AS (SELECT step, avg(metric) OVER w AS sm, count(*) OVER w AS n FROM steps WINDOW w AS (ORDER BY step ROWS 4 PRECEDING)), u AS (SELECT step, CASE WHEN n = 5 AND step >= 8 THEN sm END AS sm FROM t),
@@ -168,15 +165,13 @@ def g14_best_validation(spark, d):
 
 @query(f"WITH {STEPS} SELECT step, round(avg(metric) OVER (ORDER BY step) * (1000 - step), 4) AS left_s FROM steps")
 def g15_time_left(spark, d):
-    from pyspark.sql import Window
-    return steps(spark, d).select("step", F.round(F.avg("metric").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)) * (1000 - F.col("step")), 4).alias("left_s"))
+    return G.time_left(steps(spark, d), "step", "metric", 1000).select("step", F.round("left", 4).alias("left_s"))
 
 
 @query("SELECT s AS step, round(least(1.0, s / 20.0), 6) AS constant, round(CASE WHEN s < 20 THEN 0.1 + 0.9 * s / 20.0 ELSE greatest(0.05, cos(pi() * (s - 20) / 180.0) * 0.475 + 0.525) END, 6) AS cosine FROM range(0, 201) t(s)")
 def g16_learning_rates(spark, d):
-    s = F.col("id").cast("double")
-    cosine = F.greatest(F.lit(0.05), F.cos(F.lit(3.141592653589793) * (s - 20) / 180.0) * 0.475 + 0.525)
-    return spark.range(0, 201).select(F.col("id").alias("step"), F.round(F.least(F.lit(1.0), s / 20), 6).alias("constant"), F.round(F.when(s < 20, 0.1 + 0.9 * s / 20).otherwise(cosine), 6).alias("cosine"))
+    s = F.col("id")
+    return spark.range(0, 201).select(s.alias("step"), F.round(G.learning_rate(s, 20, 200), 6).alias("constant"), F.round(G.learning_rate(s, 20, 200, "cosine", 0.1, 0.05), 6).alias("cosine"))
 
 
 @query(f"""WITH {SQL}, w AS (SELECT *, (score - avg(score) {W}) / (stddev_samp(score) {W} + 1e-6) AS adv, avg(score) {W} AS mu, stddev_pop(score) {W} AS sd, avg(score) FILTER (NOT is_gt) {W} AS muo, stddev_pop(score) FILTER (NOT is_gt) {W} AS sdo FROM grounding),
@@ -224,34 +219,18 @@ def q4_position_ids(spark, d):
     return s.select("uid", F.col("slot").cast("long").alias("slot"), "position")
 
 
-@query(f"WITH {SEQ} SELECT uid, count(*) FILTER (m = 1) AS n, CAST(sum(token) FILTER (m = 1) AS BIGINT) AS total FROM tok GROUP BY uid")
-def q6_unpad(spark, d):
-    u = S.unpadded(F.col("tokens"), F.col("mask"))
-    return sequences(spark, d).select("uid", F.size(u).cast("long").alias("n"), F.aggregate(u, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
-
-
 @query(f"WITH {SEQ}, s AS (SELECT uid, slot, lead(slot, 1, 8) OVER (PARTITION BY uid ORDER BY slot) - slot AS n FROM tok WHERE token = 0 OR slot = 0) SELECT uid, slot, n FROM s")
 def q7_packed_lengths(spark, d):
-    from pyspark.sql import Window
-    s = sequences(spark, d).select("uid", F.posexplode("tokens").alias("slot", "token")).where("token = 0 OR slot = 0").withColumn("slot", F.col("slot").cast("long"))
-    return s.select("uid", "slot", (F.lead("slot", 1, 8).over(Window.partitionBy("uid").orderBy("slot")) - F.col("slot")).alias("n"))
+    s = sequences(spark, d).select("uid", F.explode(S.packed_lengths(F.col("tokens"))).alias("x"))
+    return s.select("uid", F.col("x.at").cast("long").alias("slot"), F.col("x.length").cast("long").alias("n"))
 
 
 @query(f"WITH {SEQ} SELECT uid, CAST(slot // 3 AS INTEGER) AS rank, CAST(sum(token) AS BIGINT) AS total FROM tok GROUP BY 1, 2")
 def q8_pad_and_slice(spark, d):
-    padded = S.padded(F.col("tokens"), 9, 0)
-    s = sequences(spark, d).select("uid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda r: F.struct(r.alias("rank"), F.slice(padded, r * 3 + 1, 3).alias("part")))).alias("x"))
+    s = sequences(spark, d).select("uid", F.explode(S.rank_slices(F.col("tokens"), 3, 0)).alias("x"))
     return s.select("uid", "x.rank", F.aggregate("x.part", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query(f"WITH {SEQ} SELECT uid, slot, CASE WHEN token % 5 <> 4 THEN round(pn, 4) ELSE round(po, 4) END AS log_prob, token % 5 = 4 AS missing FROM tok")
-def q9_chosen_log_probs(spark, d):
-    rows = F.arrays_zip(F.col("tokens").alias("t"), F.col("new").alias("n"), F.col("old").alias("o"))
-    tables = F.transform(rows, lambda x: F.when(x["t"] % 5 != 4, F.create_map(x["t"], x["n"])).otherwise(F.create_map(F.lit(-1).cast("long"), x["o"])))
-    s = sequences(spark, d).select("uid", F.posexplode(S.chosen_log_probs(F.col("tokens"), tables)).alias("slot", "x"))
-    return s.select("uid", F.col("slot").cast("long").alias("slot"), F.round("x.log_prob", 4).alias("log_prob"), "x.missing")
-
-
 @query(f"WITH {SEQ} SELECT round(sum(r * m) / (sum(m) + 1e-8), 6) AS mean, round((sum(r * r * m) / sum(m) - power(sum(r * m) / sum(m), 2)) * sum(m) / (sum(m) - 1), 4) AS var FROM tok")
 def a10_masked_moments(spark, d):
     mean, var = S.batch_moments(sequences(spark, d), "rewards", "mask")
@@ -262,3 +241,24 @@ def a10_masked_moments(spark, d):
 def a11_loss_modes(spark, d):
     s = sequences(spark, d)
     return s.agg(F.round(S.loss(s, "rewards", "mask", "token"), 6).alias("token"), F.round(S.loss(s, "rewards", "mask", "seq"), 6).alias("seq"))
+
+
+@query(f"WITH {SEQ}, c AS (SELECT uid, list(token ORDER BY slot) FILTER (m = 1) AS kept, list(CASE WHEN m = 1 THEN token ELSE -1 END ORDER BY slot) AS back, list(token ORDER BY slot) AS t FROM tok GROUP BY uid) SELECT uid, kept, back, list_concat(t[2:], t[:1]) AS labels FROM c")
+def q6_unpad(spark, d):
+    """Out of the padding, back into it, and the labels, which are the next tokens."""
+    kept = S.unpadded(F.col("tokens"), F.col("mask"))
+    return sequences(spark, d).select("uid", kept.alias("kept"), S.padded_back(kept, F.col("mask"), -1).alias("back"), S.rolled(F.col("tokens")).alias("labels"))
+
+
+MISSING = "(token = 3 AND uid % 31 = 0)"
+
+
+@query(f"WITH {SEQ} SELECT uid, list(CASE WHEN slot > 7 THEN 0.0 WHEN {MISSING} THEN round(po, 4) ELSE round(pn, 4) END ORDER BY slot) AS log_probs FROM (SELECT uid, slot, token, pn, po FROM tok UNION ALL SELECT DISTINCT uid, place, 0, 0.0, 0.0 FROM tok, range(8, 10) t(place)) q GROUP BY uid")
+def q9_chosen_log_probs(spark, d):
+    """Tables of several tokens per place, few without the chosen one; padded to ten places."""
+    rows = F.arrays_zip(F.col("tokens").alias("t"), F.col("new").alias("n"), F.col("old").alias("o"))
+    lost = lambda x: (x["t"] == 3) & (F.col("uid") % 31 == 0)
+    other = lambda x: F.create_map((x["t"] + 1) % 10, x["o"])
+    tables = F.transform(rows, lambda x: F.when(lost(x), other(x)).otherwise(F.map_concat(other(x), F.create_map(x["t"], x["n"]))))
+    s = S.checked_log_probs(sequences(spark, d).withColumn("tables", tables), "tokens", "tables", 10)
+    return s.select("uid", F.transform("log_probs", lambda x: F.round(x, 4)).alias("log_probs"))

@@ -71,29 +71,17 @@ TIMES_SQL = "tm AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b}::DOUBLE, '
 @query(f"WITH {ROLL}, {TIMES_SQL}, k AS (SELECT run_tag, CAST(sum(response_length) AS BIGINT) AS response, CAST(sum(response_length + length(problem)) AS BIGINT) AS whole FROM roll WHERE response_length IS NOT NULL GROUP BY 1) SELECT run_tag, section, round(seconds * 1000 / CASE WHEN of = 'response' THEN response ELSE whole END, 6) AS ms_per_token FROM k, tm")
 def a7_timing(spark, d):
     tokens = rollouts(spark, d).where("response_length IS NOT NULL").groupBy("run_tag").agg(F.sum("response_length").alias("response"), F.sum(F.col("response_length") + F.length("problem")).alias("all"))
-    cells = F.array(*[F.struct(F.lit(a).alias("section"), F.lit(b).alias("seconds"), F.lit(c).alias("of")) for a, b, c in TIMES])
-    rows = tokens.withColumn("t", F.explode(cells))
-    return rows.select("run_tag", "t.section", F.round(F.col("t.seconds") * 1000 / F.when(F.col("t.of") == "response", F.col("response")).otherwise(F.col("all")), 6).alias("ms_per_token"))
+    return M.timing_per_token(tokens, TIMES).select("run_tag", "section", F.round("ms_per_token", 6).alias("ms_per_token"))
 
 
 @query(f"WITH {ROLL} SELECT run_tag, CAST(sum(response_length) AS BIGINT) AS tokens, round(sum(response_length) / (120.5 * 8), 6) AS throughput FROM roll GROUP BY 1")
 def a8_throughput(spark, d):
-    return rollouts(spark, d).groupBy("run_tag").agg(F.sum("response_length").cast("long").alias("tokens"), F.round(F.sum("response_length") / (120.5 * 8), 6).alias("throughput"))
+    return M.throughput(M.token_totals(rollouts(spark, d), "response_length", "run_tag"), 120.5, 8).select("run_tag", "tokens", F.round("throughput", 6).alias("throughput"))
 
 
 @query(f"WITH {ROLL} SELECT run_tag, step, CAST(sum(response_length) AS BIGINT) AS tokens FROM roll GROUP BY 1, 2")
 def a13_tokens(spark, d):
-    return rollouts(spark, d).groupBy("run_tag", "step").agg(F.sum("response_length").cast("long").alias("tokens"))
-
-
-@query("SELECT CAST(sum(n_chars) AS BIGINT) AS tokens, round((6.0 * 3019898880.0 * sum(n_chars) + 12.0 * sum(CAST(n_chars AS DOUBLE) * n_chars) * 128 * 32 * 36) / 2.5 / 1e12, 3) AS tflops FROM documents")
-def a18_flops(spark, d):
-    w = M.weights(2560, 0, 36, 32, 8, 8192, 128)
-    out = M.flops(table(spark, d, "documents"), "n_chars", 2.5, w, 128, 32, 36)
-    return out.select("tokens", F.round("tflops", 3).alias("tflops"))
-
-
-ORACLE_SQL["a18_flops"] = ORACLE_SQL["a18_flops"].replace("3019898880.0", repr(M.weights(2560, 0, 36, 32, 8, 8192, 128)))
+    return M.token_totals(rollouts(spark, d), "response_length", "run_tag", "step")
 
 
 @query("SELECT row_id, CASE WHEN isnan(difficulty) OR isinf(difficulty) THEN 0.0 ELSE difficulty END AS difficulty FROM records")
@@ -188,13 +176,6 @@ def m13_m14_units(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(F.col("p_retailprice") / (1 / M.in_unit(1.0, "M")), 9).alias("m"), F.ceil(F.col("p_partkey") / 7.0).alias("parts"))
 
 
-@query("SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
-def m15_maps(spark, d):
-    e = table(spark, d, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("l"))
-    m = F.map_concat(F.create_map(F.lit("n"), F.size("l")), F.create_map(F.lit("kinds"), F.size(F.array_distinct("l"))))
-    return e.select("user_id", m.alias("m")).select("user_id", F.col("m")["n"].cast("long").alias("n"), F.col("m")["kinds"].cast("long").alias("kinds"))
-
-
 @query("SELECT event_id, CASE WHEN k % 9 < 2 THEN CAST(-100 AS DOUBLE) END AS bias FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) q")
 def m17_bias(spark, d):
     k = F.get_json_object("props", "$.k").cast("long") % 9
@@ -205,3 +186,30 @@ def m17_bias(spark, d):
 @query("SELECT count(*) AS todo FROM (SELECT DISTINCT record_id FROM records EXCEPT SELECT record_id FROM eval_results) q")
 def s8_y3_resume(spark, d):
     return B.missing_keys(table(spark, d, "records"), table(spark, d, "eval_results"), "record_id").agg(F.count("*").alias("todo"))
+
+
+@query("""WITH d AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'NVIDIA A100-SXM' WHEN 1 THEN 'NVIDIA H20' ELSE 'other' END AS device, CAST(n_chars AS DOUBLE) AS n FROM documents), t AS (SELECT device, sum(n) AS tokens, sum(n * n) * 12 * 128 * 32 * 36 AS attention FROM d GROUP BY 1),
+f AS (SELECT device, tokens, (6.0 * ((3.0 * 2560 * 9728 + 2560.0 * 128 * (32 + 8 + 8 + 32)) * 36 + 151936.0 * 2560 * 2) * tokens + attention) / 2.5 / 1e12 AS dense, (6.0 * ((2560.0 * 8 * 768 * 3 + 2560 * 128 + 2560.0 * 128 * (32 + 8 + 8 + 32)) * 36 + 151936.0 * 2560 * 2) * tokens + attention) / 2.5 / 1e12 AS moe FROM t)
+SELECT device, CAST(tokens AS BIGINT) AS tokens, round(dense, 3) AS dense, round(moe, 3) AS moe, round(CASE device WHEN 'NVIDIA A100-SXM' THEN dense / 312.0 / 4 WHEN 'NVIDIA H20' THEN dense / 148.0 / 4 ELSE 0.0 END, 6) AS utilisation FROM f""")
+def a18_flops(spark, d):
+    """Dense and mixture-of-experts models, and the share of the peak of four devices, for known devices and another."""
+    k = F.col("doc_id") % 3
+    rows = table(spark, d, "documents").select(F.when(k == 0, "NVIDIA A100-SXM").when(k == 1, "NVIDIA H20").otherwise("other").alias("device"), "n_chars")
+    dense, moe = M.weights(2560, 151936, 36, 32, 8, 9728, 128), M.moe_weights(2560, 151936, 36, 32, 8, 768, 128, 8, 128)
+    a = M.flops(rows, "n_chars", 2.5, dense, 128, 32, 36, by=["device"]).select("device", "tokens", F.col("tflops").alias("dense"))
+    b = M.flops(rows, "n_chars", 2.5, moe, 128, 32, 36, by=["device"]).select("device", F.col("tflops").alias("moe"))
+    used = M.utilisation(F.col("dense"), F.col("device"), F.lit(4))
+    return a.join(b, "device").select("device", "tokens", F.round("dense", 3).alias("dense"), F.round("moe", 3).alias("moe"), F.round(used, 6).alias("utilisation"))
+
+
+@query("SELECT source, count(*) AS files, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS bytes, round(coalesce(sum(n_chars), 0) / 1000000.0, 6) AS shown FROM documents GROUP BY 1")
+def a17_sizes(spark, d):
+    return M.size_rollup(table(spark, d, "documents"), "source", "n_chars", "M").select("source", "files", "bytes", F.round("shown", 6).alias("shown"))
+
+
+@query(f"WITH {SEQ} SELECT uid, uid % 3 > 0 AS even, count(*) AS n FROM tok GROUP BY uid")
+def u11_u12_checked(spark, d):
+    """Arrays of one length, and for some groups one that is shorter."""
+    from ..operators.dispatch import consistent
+    s = sequences(spark, d).withColumn("mask", F.when(F.col("uid") % 3 == 0, F.slice("mask", 1, 3)).otherwise(F.col("mask")))
+    return s.select("uid", consistent(s, ["rewards", "values", "mask"]).alias("even"), F.size("rewards").cast("long").alias("n"))

@@ -155,12 +155,6 @@ def o12_sampler(spark, d):
     return positions(rows, "h", "doc_id").select("doc_id", F.floor(F.col("pos") / 32).alias("batch"))
 
 
-@query("SELECT doc_id // 128 AS batch, CAST(sum(CAST(n_chars AS BIGINT) * n_chars) AS BIGINT) AS work, min(doc_id) AS first FROM documents GROUP BY 1")
-def o15_workloads(spark, d):
-    n = F.col("n_chars").cast("long")
-    return table(spark, d, "documents").groupBy(F.expr("doc_id div 128").alias("batch")).agg(F.sum(n * n).alias("work"), F.min("doc_id").alias("first")).orderBy(F.col("work").desc(), F.col("first").desc())
-
-
 @query(f"WITH {SQL}, {BUCKETS}, {QUOTA}, p AS (SELECT lb, count(*) AS pool FROM bk GROUP BY 1) SELECT CASE lb WHEN 0 THEN '<2s' WHEN 1 THEN '2-5s' WHEN 2 THEN '5-10s' WHEN 3 THEN '10-20s' ELSE '>20s' END AS bucket, CAST(want AS BIGINT) AS target, pool, CAST(want AS BIGINT) AS kept, CASE WHEN pool < want THEN '+' || (want - pool) || ' dup' ELSE '' END AS note FROM p JOIN quota ON lb = b")
 def a15_strata(spark, d):
     return S.summary(bucketed(spark, d), "lb", S.LENGTH_NAMES, S.LENGTH_SHARES, 997)

@@ -126,7 +126,7 @@ def x7_focus_point(spark, d):
 
 @query("SELECT row_id, substring(md5(concat_ws('_', preprocessed_video, 'fps=2.0', data_type)), 1, 16) AS name FROM records")
 def x8_artifact_name(spark, d):
-    return table(spark, d, "records").select("row_id", F.substring(F.md5(F.concat_ws("_", "preprocessed_video", F.lit("fps=2.0"), "data_type")), 1, 16).alias("name"))
+    return table(spark, d, "records").select("row_id", P.artifact_name(F.col("preprocessed_video"), F.lit("fps=2.0"), F.col("data_type")).alias("name"))
 
 
 @query(f"WITH {SQL} SELECT event_id, '<answer> ' || CAST({TS} AS BIGINT) || '.00 to ' || CAST({TE} AS BIGINT) || '.00 </answer>' AS reference FROM grounding")
@@ -134,12 +134,6 @@ def x9_reference_response(spark, d):
     return grounding(spark, d).select("event_id", P.reference_response(F.col("ground_truth")).alias("reference"))
 
 
-@query("SELECT event_id, regexp_matches(CASE WHEN event_id % 2 = 0 THEN event_id || 'e-5' ELSE event_id || '.25' END, '^[+-]?\\d+(\\.\\d+)?[eE][+-]?\\d+$') AS scientific, round(value, 3) AS shown FROM events")
-def x10_number_text(spark, d):
-    text = F.expr("CASE WHEN event_id % 2 = 0 THEN event_id || 'e-5' ELSE event_id || '.25' END")
-    return table(spark, d, "events").select("event_id", text.rlike(r"^[+-]?\d+(\.\d+)?[eE][+-]?\d+$").alias("scientific"), F.round("value", 3).alias("shown"))
-
-
 @query(f"WITH {SQL}, s AS (SELECT event_id, event_type, {RS} AS s, {RE_} AS e, gt_s, gt_e FROM grounding) SELECT event_id, event_type, round({iou_sql('s','e','gt_s','gt_e')}, 6) AS iou FROM s")
 def m1_span_iou(spark, d):
     s = P.rewarded_span(F.col("response"))
@@ -164,12 +158,6 @@ def f8_span_format(spark, d):
     return table(spark, d, "reward_inputs").where(r.isNotNull()).groupBy("run_tag").agg(F.sum(R.span_format(r)).alias("loose"), F.sum(R.span_format(r, True)).alias("strict"))
 
 
-@query(f"WITH {BOXES_SQL} SELECT p_partkey, CAST(1.0 AS DOUBLE) AS loose, CAST(CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS strict, CAST(0.0 AS DOUBLE) AS bare FROM boxes")
-def f9_box_format(spark, d):
-    block = F.concat(F.lit("<answer>"), "said", F.lit("</answer>"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise(" indeed"))
-    return _boxes(spark, d).select("p_partkey", R.box_format(block).alias("loose"), R.box_format(block, True).alias("strict"), R.box_format(F.col("said")).alias("bare"))
-
-
 SCORE_SQL = f"""sc0 AS (SELECT event_id, event_type, uid, slot, is_gt, {RS} AS s, {RE_} AS e, gt_s, gt_e, {FORMAT_LOOSE.format('response')} AS f FROM grounding),
 sc AS (SELECT *, coalesce({iou_sql('s','e','gt_s','gt_e')}, 0.0) AS iou FROM sc0)"""
 
@@ -193,8 +181,8 @@ def m6_score_vector(spark, d):
 
 @query(f"WITH {SQL}, {EVAL_SQL} SELECT event_id, CASE WHEN e_s IS NULL THEN duration + 10 ELSE round_even(e_s, 0) END AS s, CASE WHEN e_s IS NULL THEN duration + 20 ELSE round_even(e_e, 0) END AS e FROM evals")
 def m7_prediction(spark, d):
-    s = P.evaluated_span(F.col("response"))
-    return grounding(spark, d).select("event_id", F.coalesce(F.rint(s["start"]), F.col("duration") + 10).alias("s"), F.coalesce(F.rint(s["end"]), F.col("duration") + 20).alias("e"))
+    p = G.predicted(P.evaluated_span(F.col("response")), F.col("duration"))
+    return grounding(spark, d).select("event_id", p["start"].alias("s"), p["end"].alias("e"))
 
 
 @query(f"WITH {SQL}, {SCORE_SQL} SELECT event_id, round(iou, 6) AS reward FROM sc")
@@ -212,8 +200,7 @@ def proj_p2_p3_paths(spark, d):
 def proj_p4_answer(spark, d):
     s = P.first_numbers(F.col("ground_truth"))
     a, b = s["start"].cast("long"), s["end"].cast("long")
-    tagged = F.concat(F.lit("<answer> "), a.cast("string"), F.lit(" to "), b.cast("string"), F.lit(" </answer>"))
-    return grounding(spark, d).select("event_id", tagged.alias("tagged"), F.to_json(F.struct(F.array(a, b).alias("time"))).alias("json"))
+    return grounding(spark, d).select("event_id", P.answer_text(a, b).alias("tagged"), P.answer_text(a, b, json=True).alias("json"))
 
 
 @query("""WITH t AS (SELECT row_id, trim(replace(problem, '<video>', ''), ' ' || chr(10) || chr(9)) AS x FROM records),
@@ -233,17 +220,35 @@ def proj_p21_clipped(spark, d):
     return table(spark, d, "documents").select("doc_id", P.clipped(F.col("text"), 40).alias("shown"))
 
 
-@query("SELECT event_id, regexp_extract('runs/exp' || (user_id % 7) || '/global_step_' || (event_id % 90) || '/actor', 'runs/([^/]+)/global_step_(\\d+)', 1) || '@' || (event_id % 90) AS tag FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '' ELSE 'exp' || (user_id % 7) || '@' || (event_id % 90) END AS tag FROM events")
 def proj_p22_run_tag(spark, d):
-    path = F.expr("'runs/exp' || (user_id % 7) || '/global_step_' || (event_id % 90) || '/actor'")
-    p = r"runs/([^/]+)/global_step_(\d+)"
-    return table(spark, d, "events").select("event_id", F.concat(F.regexp_extract(path, p, 1), F.lit("@"), F.regexp_extract(path, p, 2)).alias("tag"))
+    path = F.expr("CASE WHEN event_id % 9 = 0 THEN 'runs/final/actor' ELSE 'runs/exp' || (user_id % 7) || '/global_step_' || (event_id % 90) || '/actor' END")
+    return table(spark, d, "events").select("event_id", P.run_tag(path).alias("tag"))
 
 
-@query("SELECT event_id, CASE WHEN t >= 3600 THEN (t // 3600) || 'h' || lpad(CAST(t % 3600 // 60 AS VARCHAR), 2, '0') || 'm' || lpad(CAST(t % 60 AS VARCHAR), 2, '0') || 's' ELSE (t // 60) || 'm' || lpad(CAST(t % 60 AS VARCHAR), 2, '0') || 's' END AS shown FROM (SELECT event_id, event_id * 7 % 20000 AS t FROM events)")
+@query("""WITH t AS (SELECT event_id, CASE WHEN event_id % 11 > 0 THEN event_id * 7 % 20000 END AS t, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE ELSE event_id / 8.0 END AS v FROM events)
+SELECT event_id, CASE WHEN t IS NULL THEN 'n/a' WHEN t >= 3600 THEN (t // 3600) || 'h' || lpad(CAST(t % 3600 // 60 AS VARCHAR), 2, '0') || 'm' || lpad(CAST(t % 60 AS VARCHAR), 2, '0') || 's' ELSE (t // 60) || 'm' || lpad(CAST(t % 60 AS VARCHAR), 2, '0') || 's' END AS shown,
+CASE WHEN v IS NULL OR isnan(v) THEN 'n/a' ELSE printf('%.3f', v) END AS metric FROM t""")
 def proj_p23_duration(spark, d):
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    t = F.expr("event_id * 7 % 20000")
-    h, m, s = F.expr("(event_id * 7 % 20000) div 3600"), F.expr("(event_id * 7 % 20000) % 3600 div 60"), F.expr("(event_id * 7 % 20000) % 60")
-    whole = F.expr("(event_id * 7 % 20000) div 60")
-    return table(spark, d, "events").select("event_id", F.when(t >= 3600, F.concat(h.cast("string"), F.lit("h"), two(m), F.lit("m"), two(s), F.lit("s"))).otherwise(F.concat(whole.cast("string"), F.lit("m"), two(s), F.lit("s"))).alias("shown"))
+    """Durations and metrics as text, some of them missing or NaN."""
+    e = F.col("event_id")
+    seconds = F.when(e % 11 > 0, (e * 7 % 20000) + 0.25)
+    value = F.when(e % 5 == 1, F.lit(float("nan"))).when(e % 5 > 1, e / 8)
+    return table(spark, d, "events").select("event_id", P.duration_text(seconds).alias("shown"), P.metric_text(value, 3).alias("metric"))
+
+
+@query("SELECT event_id, event_id % 3 < 2 AS scientific, CASE event_id % 3 WHEN 0 THEN event_id || '.0e-5' WHEN 1 THEN event_id || '.5E+3' ELSE CAST(round(event_id / 16.0, 3)::DOUBLE AS VARCHAR) END AS shown FROM events")
+def x10_number_text(spark, d):
+    """Numbers as a configuration file has them: with and without a decimal point, and plain ones of four decimals."""
+    e = F.col("event_id")
+    text = F.when(e % 3 == 0, F.concat(e.cast("string"), F.lit("e-5"))).when(e % 3 == 1, F.concat(e.cast("string"), F.lit(".5E+3"))).otherwise((e / 16).cast("string"))
+    return table(spark, d, "events").select("event_id", P.scientific(text).alias("scientific"), P.configured_number(text).alias("shown"))
+
+
+@query(f"WITH {BOXES_SQL} SELECT p_partkey, CAST(CASE WHEN p_partkey % 5 = 4 THEN 0.0 ELSE 1.0 END AS DOUBLE) AS loose, CAST(CASE WHEN p_partkey % 5 <> 4 AND p_partkey % 2 = 0 AND p_partkey % 3 > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS strict, CAST(0.0 AS DOUBLE) AS bare FROM boxes")
+def f9_box_format(spark, d):
+    """Boxes that can't be read, with words behind the block, with a second block, and bare."""
+    k = F.col("p_partkey")
+    said = F.when(k % 5 == 4, F.lit("no box 1, 2, three")).otherwise(F.col("said"))
+    block = F.concat(F.when(k % 3 == 0, "<answer>none</answer> ").otherwise(""), F.lit("<answer>"), said, F.lit("</answer>"), F.when(k % 2 == 0, "").otherwise(" indeed"))
+    return _boxes(spark, d).select("p_partkey", R.box_format(block).alias("loose"), R.box_format(block, True).alias("strict"), R.box_format(F.col("said")).alias("bare"))

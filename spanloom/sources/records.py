@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -66,12 +66,22 @@ def write_split(df: DataFrame, good: str, path: str) -> None:
     write_lines(df.where(f"NOT coalesce({good}, false)"), path + ".failed")
 
 
-def write_metrics(metrics: DataFrame, path: str, step: int) -> None:
-    """Appends metric, value with their step to a log of lines."""
-    metrics.withColumn("step", F.lit(step)).write.mode("append").json(path)
+def ratio_or(ratio: Column, default: list[int]) -> Column:
+    """An aspect ratio of two numbers, or the default where there is none."""
+    return F.when(F.size(ratio) == 2, ratio).otherwise(F.array(*[F.lit(x) for x in default]))
 
 
-def samples(df: DataFrame, path: str) -> None:
-    """Generated samples as readable text blocks."""
-    block = F.concat_ws("\n", F.concat(F.lit("[prompt] "), "prompt"), F.concat(F.lit("[output] "), "output"), F.concat(F.lit("[score] "), F.col("score").cast("string")), F.lit(""))
-    df.select(block.alias("value")).write.mode("overwrite").text(path)
+# The benches and how many events each has.
+BENCHES = [("charades", 3363), ("activitynet", 4500), ("qvhighlights", 1541)]
+
+
+def benches(spark: SparkSession, given: list[tuple[str, int]] | None = None) -> DataFrame:
+    """``name``, ``listed``: the registered benches, with others that are given; a name given again takes the new number."""
+    rows = {**dict(BENCHES), **dict(given or [])}
+    return spark.createDataFrame(list(rows.items()), "name string, listed int")
+
+
+def bench_counts(registry: DataFrame, events: DataFrame, name: str) -> DataFrame:
+    """Per bench how many events are found and whether that is all. Events of no registered bench count nowhere."""
+    found = events.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("_n"))
+    return registry.join(found, "name", "left").select("name", "listed", F.coalesce("_n", F.lit(0)).alias("found"), (F.coalesce("_n", F.lit(0)) == F.col("listed")).alias("complete"))
