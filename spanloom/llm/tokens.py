@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..storage import materialise
 
@@ -50,6 +50,25 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
 
 
+#: What the JVM's Unicode tables don't know; letters among it would be split otherwise than by the tokenizer.
+_UNASSIGNED = r"\p{Cn}"
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _words_by_later_tables(text: pd.Series) -> pd.Series:
+    """:func:`words` with the tables of Python's ``regex``, which are those of a later Unicode; NULL for NULL."""
+    import regex
+
+    pattern = regex.compile(PATTERN.removeprefix("(?U)"), regex.V0 | regex.UNICODE)
+    return pd.Series([None if t is None else pattern.findall(t) for t in text], dtype=object)
+
+
+def every_word(text: Column) -> Column:
+    """:func:`words`, where the rare texts with characters that the JVM does not know are split in Python."""
+    new = text.rlike(_UNASSIGNED)
+    return F.coalesce(_words_by_later_tables(F.when(new, text)), F.when(~new, words(text)), F.array().cast("array<string>"))
+
+
 def _word_encoder(spark: SparkSession, path: str, name: str):
     raw = spark.sparkContext.broadcast(vocabulary(path, name))
 
@@ -93,9 +112,9 @@ def _by_words(documents: DataFrame, id_col: str, text_col: str, path: str, name:
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
     base = docs.where("text IS NOT NULL AND text <> ''").select(block, "doc_id", "text")
-    used = materialise(base.select("block", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).distinct(), "block-words")
+    used = materialise(base.select("block", F.explode(F.array_distinct(every_word(F.col("text")))).alias("word")).distinct(), "block-words")
     # texts are sent to their blocks and split there: as words they would be several times as large
-    split = base.repartition("block").select("block", "doc_id", words(F.col("text")).alias("words"))
+    split = base.repartition("block").select("block", "doc_id", every_word(F.col("text")).alias("words"))
     encode = _word_encoder(spark, path, name)
     table = used.select("word").distinct().withColumn("ids", encode("word"))
     if counts_only:

@@ -37,3 +37,11 @@ def test_repeats_and_nulls(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, len(r.ids)) for r in T.encode(df).collect()) == [(0, 1), (1, 2), (1, 2), (2, 0)]
     assert T.encode(df.where("false")).count() == 0 and T.sizes(df.where("doc_id = 2")).first().tokens == 0
+
+
+def test_letters_of_a_later_unicode(spark, whole):
+    """Letters assigned in Unicode 14 and 15 (Vithkuqi, Kawi, a Latin and an Arabic one), beside words that are plain."""
+    new = "\U00010597\U00010598 \U00011f02 \ua7d0 \u0870"
+    data = [(1, new), (2, f"plain words, {new * 3} and 12 more"), (3, "plain words"), (4, None)]
+    got = {r.doc_id: r.ids for r in T.encode(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {i: whole.encode_ordinary(t) if t else [] for i, t in data}
