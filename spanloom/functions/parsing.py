@@ -13,6 +13,16 @@ NUMBER = r"\d+\.?\d*"
 CLOCK = r"\b\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?\b"
 BLOCK_ANY_LINES = r"(?s)<answer>(.*?)</answer>"
 BLOCK_ONE_LINE = r"<answer>\s*([^\n]*?)\s*</answer>"
+# How the ends of a span, the coordinates of a box and signed numbers are written.
+BARE_NUMBER = r"\b(?:\d+\.\d+|\d+)\b"
+EVALUATED_LINKS = [r"\s*-\s*", r"\s+to\s+"]
+REWARDED_LINKS = ["to|and", "-"]
+COORDINATE = r"\d+(?:\.\d+)?"
+SIGNED = r"-?\d+\.?\d*"
+# How a prompt leads up to its event, and what follows the event.
+LEAD = r"(?i)(?:pinpoint|locate|find)\s+(?:the\s+)?(?:event|clip|moment)\s+"
+QUOTED = [r'"([^"]+)"', "[\"“]([^\"”]+)[\"”]"]
+INSTRUCTION_BEHIND = r"(?is)\s*(?:Provide the start|Please provide|Determine the precise).*$"
 
 
 def number(text: Column) -> Column:
@@ -83,8 +93,8 @@ def _spans_of_body(body: Column) -> Column:
         return once(a, lambda x: F.when(F.size(x) > 0, F.zip_with(x, b, lambda x, y: F.struct(number(x).alias("start"), number(y).alias("end")))))
 
     clocks = once(found(body, CLOCK), lambda x: pairs(F.transform(x, seconds)))
-    plain = once(found(body, r"\b(?:\d+\.\d+|\d+)\b"), lambda x: pairs(F.transform(x, number)))
-    return F.coalesce(clocks, linked(r"\s*-\s*"), linked(r"\s+to\s+"), plain)
+    plain = once(found(body, BARE_NUMBER), lambda x: pairs(F.transform(x, number)))
+    return F.coalesce(clocks, *map(linked, EVALUATED_LINKS), plain)
 
 
 def evaluated_span(text: Column) -> Column:
@@ -104,21 +114,20 @@ def _rewarded_of_body(body: Column) -> Column:
         return once(pair, lambda p: span(number(F.regexp_extract(p, ends, 1)), number(F.regexp_extract(p, ends, 2))))
 
     bounded = once(found(body, rf"\b({NUMBER})\b", 1), lambda n: span(number(F.get(n, F.lit(0))), number(F.get(n, F.lit(1)))))
-    return F.coalesce(linked("to|and"), linked("-"), bounded)
+    return F.coalesce(*map(linked, REWARDED_LINKS), bounded)
 
 
 def box(text: Column) -> Column:
     """A box as four doubles: ``(a,b),(c,d)``, else the first four numbers, else NULL."""
-    n = r"(\d+(?:\.\d+)?)"
+    n = f"({COORDINATE})"
     corners = rf"\({n}\s*,\s*{n}\)\s*,?\s*\({n}\s*,\s*{n}\)"
-    first = once(found(text, r"\d+(?:\.\d+)?"), lambda x: F.when(F.size(x) >= 4, F.transform(F.slice(x, 1, 4), number)))
+    first = once(found(text, COORDINATE), lambda x: F.when(F.size(x) >= 4, F.transform(F.slice(x, 1, 4), number)))
     return F.when(text.rlike(corners), F.array(*[number(F.regexp_extract(text, corners, i)) for i in (1, 2, 3, 4)])).otherwise(first)
 
 
 def segments(text: Column) -> Column:
     """Pairs of numbers in brackets after the word ``segments``; NULL without any."""
-    signed = r"-?\d+\.?\d*"
-    pattern = rf"\[\s*({signed})\s*,\s*({signed})\s*\]"
+    pattern = rf"\[\s*({SIGNED})\s*,\s*({SIGNED})\s*\]"
     rest = F.substring(text, F.instr(text, "segments"), F.length(text))
     a, b = found(rest, pattern, 1), found(rest, pattern, 2)
     return F.when(text.contains("segments") & (F.size(a) > 0), F.zip_with(a, b, lambda x, y: F.struct(number(x).alias("start"), number(y).alias("end"))))
@@ -140,7 +149,7 @@ def focus_point(text: Column, width: Column, height: Column) -> Column:
         return F.coalesce(*[F.when(F.size(v) >= 2, F.slice(v, 1, 2)) for v in values])
 
     named = last(F.filter(F.transform(objects, of), lambda v: v.isNotNull()))
-    numbers = F.transform(found(text, r"-?\d+\.?\d*"), number)
+    numbers = F.transform(found(text, SIGNED), number)
     point = F.coalesce(named, F.when(F.size(numbers) >= 2, F.slice(numbers, -2, 2)))
 
     def scaled(v: Column, size: Column) -> Column:
@@ -166,9 +175,8 @@ def rebased(path: Column, prefixes: list[str], root: str) -> Column:
 def question(message: Column) -> Column:
     """What a wrapped prompt asks for: the quoted event, else the text without instructions on the answer."""
     text = strip(F.regexp_replace(message, "<video>", ""))
-    lead = r"(?i)(?:pinpoint|locate|find)\s+(?:the\s+)?(?:event|clip|moment)\s+"
-    straight, curly = lead + r'"([^"]+)"', lead + "[\"“]([^\"”]+)[\"”]"
-    bare = strip(F.regexp_replace(text, r"(?is)\s*(?:Provide the start|Please provide|Determine the precise).*$", ""))
+    straight, curly = (LEAD + q for q in QUOTED)
+    bare = strip(F.regexp_replace(text, INSTRUCTION_BEHIND, ""))
     asked = F.when(text.rlike(straight), F.regexp_extract(text, straight, 1)).when(text.rlike(curly), F.regexp_extract(text, curly, 1)).when(bare != "", bare)
     return F.concat(F.lit("<video>"), asked.otherwise(text))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,22 +167,27 @@ def chosen_log_probs(tokens: Column, tables: Column) -> Column:
     return F.transform(both, one)
 
 
-def media_positions(tokens, grids, image: int, video: int, merge: int):
+def media_positions(tokens, grids, image: int, video: int, merge: int, time_scale: float | None = None):
     """Positions of tokens on three axes (time, height, width) as three lists.
 
     Text counts up on all axes together. A media token starts a grid of (t, h / merge, w / merge) cells, in whose tokens the
-    axes count apart; the text after it goes on behind the largest position. Videos are grids of one time step each.
+    axes count apart; the text after it goes on behind the largest position. Videos are grids of one time step each, or,
+    with ``time_scale``, one grid whose time axis counts in steps of that, rounded down.
     """
     import numpy as np
 
-    left = {image: [g for g in grids if not g[3]], video: [(1, g[1], g[2], 1) for g in grids if g[3] for _ in range(g[0])]}
+    frames = [(g[0] if time_scale else 1, g[1], g[2], 1) for g in grids if g[3] for _ in range(1 if time_scale else g[0])]
+    left = {image: [g for g in grids if not g[3]], video: frames}
     out, at, n = [], 0, len(tokens)
     base = 0
     while at < n:
         kind = tokens[at]
         if left.get(kind):
-            t, h, w, _ = left[kind].pop(0)
-            cells = np.indices((t, h // merge, w // merge)).reshape(3, -1)[:, : n - at] + base
+            t, h, w, timed = left[kind].pop(0)
+            cells = np.indices((t, h // merge, w // merge)).reshape(3, -1)[:, : n - at]
+            if timed and time_scale:
+                cells[0] = np.floor(cells[0] * time_scale)
+            cells = cells + base
         else:
             end = at + 1
             while end < n and not left.get(tokens[end]):
@@ -193,6 +199,22 @@ def media_positions(tokens, grids, image: int, video: int, merge: int):
     return np.concatenate(out, axis=1) if out else np.zeros((3, 0), int)
 
 
+def media_position_udf(image: int, video: int, merge: int, time_scale: float | None = None):
+    """:func:`media_positions` of columns ``tokens`` (array<long>) and ``grids`` (array<array<long>>), as an array of (t, h, w). Rows laid out alike
+    are reckoned once per batch."""
+    @F.pandas_udf("array<struct<t:long,h:long,w:long>>")
+    def place(tokens: pd.Series, grids: pd.Series) -> pd.Series:
+        held, out = {}, []
+        for row, grid in zip(tokens, grids):
+            key = (tuple(row), tuple(tuple(g) for g in grid))
+            if key not in held:
+                held[key] = [{"t": int(a), "h": int(b), "w": int(c)} for a, b, c in media_positions(list(key[0]), list(key[1]), image, video, merge, time_scale).T]
+            out.append(held[key])
+        return pd.Series(out, dtype=object)
+
+    return place
+
+
 def padded_back(items: Column, mask: Column, fill) -> Column:
     """The reverse of :func:`unpadded`: each item to the next place whose mask is 1, ``fill`` elsewhere."""
     start = F.struct(F.array().cast("array<long>").alias("out"), F.lit(0).alias("used"))

@@ -5,21 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .balance import balanced
 
 
-def mapped_in_micro_batches(df: DataFrame, batch: str, key: str, length: str, parts: int, f: Callable[[pd.DataFrame], pd.Series], out: str) -> DataFrame:
-    """``f`` of each micro-batch of even work, by key; a stand-in for a model's forward pass."""
+def mapped_in_micro_batches(df: DataFrame, batch: str, key: str, length: str, parts: int, f: Callable[[pd.DataFrame], pd.Series], out: str, mask: str | None = None) -> DataFrame:
+    """``f`` of each micro-batch of even work, by batch and key; a stand-in for a model's forward pass.
+
+    ``pos`` is the place in the batch, in the order of the key, which the parts don't keep. With ``mask`` values are 0 where it is.
+    """
     kind = dict(df.dtypes)
-    placed = df.join(balanced(df, batch, key, length, parts).select(key, "part"), key)
+    place = F.row_number().over(Window.partitionBy(batch).orderBy(key)) - 1
+    placed = df.join(balanced(df, batch, key, length, parts).select(key, "part"), key).withColumn("pos", place)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: pdf[key], out: f(pdf).astype("float64")})
+        values = f(pdf).astype("float64")
+        return pd.DataFrame({batch: pdf[batch], key: pdf[key], "pos": pdf["pos"], out: values if mask is None else values.where(pdf[mask] != 0, 0.0)})
 
-    return placed.groupBy(batch, "part").applyInPandas(run, f"{key} {kind[key]}, {out} double")
+    return placed.groupBy(batch, "part").applyInPandas(run, f"{batch} {kind[batch]}, {key} {kind[key]}, pos int, {out} double")
 
 
 def consistent(df: DataFrame, arrays: list[str]) -> Column:

@@ -194,10 +194,13 @@ def doc_batches(spark, d):
     return table(spark, d, "documents").select(F.expr("doc_id div 128").alias("batch"), "doc_id", F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"))
 
 
-@query("SELECT doc_id // 128 AS batch, count(*) AS items, CAST(sum(coalesce(n_chars, 0)) AS BIGINT) AS total FROM documents GROUP BY 1")
+@query("SELECT doc_id // 128 AS batch, count(*) AS items, CAST(sum(coalesce(n_chars, 0)) AS BIGINT) AS total, least(8, count(*)) AS parts, true AS even FROM documents GROUP BY 1")
 def l1_differencing(spark, d):
+    """Every item is in a part, all parts are used, and no two differ by more than the largest item."""
     b = L.balanced(doc_batches(spark, d), "batch", "doc_id", "n_chars", 8)
-    return b.groupBy("batch").agg(F.count("*").alias("items"), F.sum("n_chars").alias("total"))
+    per = b.groupBy("batch", "part").agg(F.count("*").alias("items"), F.sum("n_chars").alias("total"), F.max("n_chars").alias("largest"))
+    spread = F.when(F.count("*") < 8, F.max("total")).otherwise(F.max("total") - F.min("total"))
+    return per.groupBy("batch").agg(F.sum("items").alias("items"), F.sum("total").alias("total"), F.count("*").alias("parts"), (spread <= F.max("largest")).alias("even"))
 
 
 @query()
@@ -221,12 +224,13 @@ def l4_micro_batches(spark, d):
     return L.micro_batches(doc_batches(spark, d), "batch", "doc_id", "n_chars", 40_000)
 
 
-@query("SELECT doc_id // 128 AS batch, doc_id, row_number() OVER (PARTITION BY doc_id // 128 ORDER BY doc_id) - 1 AS restored, count(*) OVER (PARTITION BY doc_id // 128) // 4 AS in_part FROM documents WHERE doc_id < ((SELECT max(doc_id) + 1 FROM documents) // 128) * 128")
+@query("WITH b AS (SELECT doc_id // 128 AS batch, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) % 4 = 0) SELECT batch, doc_id, row_number() OVER (PARTITION BY batch ORDER BY doc_id) - 1 AS restored, n // 4 AS in_part FROM b JOIN documents ON doc_id // 128 = batch")
 def l5_reordered(spark, d):
-    """Documents put in the new order and back by the inverse order; tails of less than a batch stay out, as parts are of equal count."""
+    """Documents put in the new order and back by the inverse order; parts are of equal count, so only batches that come out in four
+    take part."""
     docs = doc_batches(spark, d)
-    whole = docs.agg(((F.max("doc_id") + 1) / 128).cast("long").alias("n")).first()["n"] or 0
-    order = L.even_parts(docs.where(F.col("batch") < whole), "batch", "doc_id", "n_chars", 4)
+    whole = docs.groupBy("batch").count().where("count % 4 = 0").select("batch")
+    order = L.even_parts(docs.join(whole, "batch", "left_semi"), "batch", "doc_id", "n_chars", 4)
     moved = order.select("batch", F.col("new_pos").alias("pos"), "doc_id", "part")
     back = moved.join(order.select("batch", F.col("new_pos").alias("pos"), "old_pos"), ["batch", "pos"])
     sizes = order.groupBy("batch", "part").agg(F.count("*").alias("in_part"))

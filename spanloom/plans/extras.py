@@ -22,29 +22,6 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"""WITH {SEQ}, g AS (SELECT uid, CAST(uid % 4 AS BIGINT) AS lead FROM tok WHERE slot = 0), p AS (SELECT uid, i, lead, CASE WHEN i < lead THEN i WHEN i < lead + 4 THEN lead ELSE i - 2 END AS t,
-CASE WHEN i < lead THEN i WHEN i < lead + 4 THEN lead + (i - lead) // 2 ELSE i - 2 END AS h, CASE WHEN i < lead THEN i WHEN i < lead + 4 THEN lead + (i - lead) % 2 ELSE i - 2 END AS w FROM g, range(0, 10) r(i)) SELECT uid, i AS pos, t, h, w FROM p""")
-def q5_media_positions(spark, d):
-    """A picture of 2 x 2 cells after ``uid % 4`` words, words behind it."""
-    @F.pandas_udf("array<struct<t:long,h:long,w:long>>")
-    def place(lead: pd.Series) -> pd.Series:
-        out = []
-        for n in lead:
-            tokens = [1] * n + [9] * 4 + [1] * (6 - n)
-            cells = S.media_positions(tokens, [(1, 4, 4, 0)], 9, 8, 2)
-            out.append([{"t": int(a), "h": int(b), "w": int(c)} for a, b, c in cells.T])
-        return pd.Series(out)
-
-    s = sequences(spark, d).select("uid", F.posexplode(place((F.col("uid") % 4).cast("int"))).alias("pos", "x"))
-    return s.select("uid", F.col("pos").cast("long").alias("pos"), "x.t", "x.h", "x.w")
-
-
-@query("SELECT doc_id, CAST(coalesce(n_chars, 0) AS DOUBLE) * 2 AS value FROM documents")
-def l6_l7_micro_batch_map(spark, d):
-    docs = table(spark, d, "documents").select(F.expr("doc_id div 128").alias("batch"), "doc_id", F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"))
-    return D.mapped_in_micro_batches(docs, "batch", "doc_id", "n_chars", 4, lambda p: p["n_chars"] * 2.0, "value")
-
-
 FULL = "CASE WHEN starts_with(preprocessed_video, '/') THEN preprocessed_video ELSE '/art/' || preprocessed_video END"
 
 
@@ -76,3 +53,31 @@ def l3_cover(spark, d):
     docs = table(spark, d, "documents").select(F.expr("doc_id div 128").alias("batch"), "doc_id", F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"))
     per = balanced(docs, "batch", "doc_id", "n_chars", 8).groupBy("batch", "doc_id").agg(F.count("*").alias("n"))
     return per.groupBy("batch").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+@query(f"""WITH {SEQ}, g AS (SELECT uid, CAST(uid % 4 AS BIGINT) AS n, uid % 3 AS kind FROM tok WHERE slot = 0), p AS (SELECT uid, i, n, kind, i - n AS j FROM g, range(0, 10) r(i))
+SELECT uid, i AS pos, CASE WHEN kind = 0 THEN CASE WHEN j < 0 THEN i WHEN j < 4 THEN n ELSE i - 2 END WHEN kind = 1 THEN CASE WHEN j IN (0, 1) THEN n WHEN j IN (3, 4) THEN n + 3 ELSE i END ELSE CASE WHEN j BETWEEN 0 AND 3 THEN n + 3 * (j // 2) ELSE i END END AS t,
+CASE WHEN kind = 0 THEN CASE WHEN j < 0 THEN i WHEN j < 4 THEN n + j // 2 ELSE i - 2 END WHEN kind = 1 THEN CASE WHEN j IN (0, 1) THEN n WHEN j IN (3, 4) THEN n + 3 ELSE i END ELSE CASE WHEN j BETWEEN 0 AND 3 THEN n ELSE i END END AS h,
+CASE WHEN kind = 0 THEN CASE WHEN j < 0 THEN i WHEN j < 4 THEN n + j % 2 ELSE i - 2 END WHEN kind = 1 THEN i ELSE CASE WHEN j BETWEEN 0 AND 3 THEN n + j % 2 ELSE i END END AS w FROM p""")
+def q5_media_positions(spark, d):
+    """After ``uid % 4`` words: a picture of 2 x 2 cells, a video of two frames of 1 x 2 cells with a word between them, or one whose time
+    counts in steps of 3."""
+    u = F.col("uid")
+    long = lambda *x: F.array(*[F.lit(i).cast("long") for i in x])
+    words = lambda n: F.array_repeat(F.lit(1).cast("long"), n)
+    n = (u % 4).cast("int")
+    media = F.when(u % 3 == 0, long(9, 9, 9, 9)).when(u % 3 == 1, long(8, 8, 1, 8, 8)).otherwise(long(8, 8, 8, 8))
+    tokens = F.concat(words(n), media, words(10 - n - F.size(media)))
+    grids = F.array(F.when(u % 3 == 0, long(1, 4, 4, 0)).otherwise(long(2, 2, 4, 1)))
+    rows = sequences(spark, d).select("uid", tokens.alias("tokens"), grids.alias("grids"))
+    plain, scaled = S.media_position_udf(9, 8, 2), S.media_position_udf(9, 8, 2, 3.0)
+    both = rows.where("uid % 3 < 2").select("uid", plain("tokens", "grids").alias("p")).unionByName(rows.where("uid % 3 = 2").select("uid", scaled("tokens", "grids").alias("p")))
+    return both.select("uid", F.posexplode("p").alias("pos", "x")).select("uid", F.col("pos").cast("long").alias("pos"), "x.t", "x.h", "x.w")
+
+
+@query("SELECT doc_id // 128 AS batch, row_number() OVER (PARTITION BY doc_id // 128 ORDER BY doc_id) - 1 AS pos, CASE WHEN text IS NULL THEN 0.0 ELSE CAST(coalesce(n_chars, 0) AS DOUBLE) * 2 END AS value FROM documents")
+def l7_micro_batch_map(spark, d):
+    """A stand-in for a model's pass over micro-batches of even work, masked, in the order of the batch again."""
+    docs = table(spark, d, "documents").select(F.expr("doc_id div 128").alias("batch"), "doc_id", F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"), F.col("text").isNotNull().cast("double").alias("mask"))
+    made = D.mapped_in_micro_batches(docs, "batch", "doc_id", "n_chars", 4, lambda p: p["n_chars"] * 2.0, "value", "mask")
+    return made.select("batch", "pos", "value")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import reward as R
 from ..sources import records as J
-from ..storage import shared_folder, table
+from ..storage import scratch, table
 from ..streaming import running
 from .grounding import SQL, grounding
 from .sampling import ONE
@@ -27,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def _place(spark) -> str:
-    return f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    return scratch(spark, "json")
 
 
 @query("SELECT row_id, problem, answer, difficulty FROM records WHERE problem IS NOT NULL AND NOT (isnan(difficulty) OR isinf(difficulty)) OR difficulty IS NULL")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import hooks as H
 from ..operators import reward as R
 from ..sources import records as J
-from ..storage import materialise, shared_folder, table
+from ..storage import materialise, scratch, table
 from .grounding import SQL, grounding
 from .scoring import SCORE_SQL
 
@@ -27,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def _place(spark) -> str:
-    return f"{shared_folder(spark)}/hooks-{uuid.uuid4().hex}"
+    return scratch(spark, "hooks")
 
 
 def batch_score(rows: list[dict]) -> list[float]:

@@ -2,12 +2,14 @@
 
 Intermediate tables go to the folder that all executors share, named by
 ``spark.checkpoint.dir``. Only when the session names none (tests, a laptop) is
-a folder made, once per session.
+a folder made, once per session. What an application writes there is in a folder
+of its own, which is deleted when Python ends, or earlier by :func:`clear`.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import pathlib
 import shutil
 import tempfile
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_USED: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -55,6 +58,34 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path for a table of this application, not there yet, in the shared folder."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_folder(spark)}/spanloom-{app}"
+    if app not in _USED:
+        _USED[app] = folder
+
+        def leave() -> None:
+            with contextlib.suppress(Exception):  # the session may be gone, and its files with it
+                clear(spark)
+
+        atexit.register(leave)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written to the shared folder. Results that still read them fail
+    afterwards, so it is for when they have been written or collected."""
+    folder = _USED.get(spark.sparkContext.applicationId)
+    if folder:
+        _delete(spark, folder)
+
+
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
@@ -62,7 +93,7 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     re-reads the files instead of recomputing what led to them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._spanloom_path = path
@@ -73,6 +104,4 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialise` that nothing reads any more."""
     path = getattr(df, "_spanloom_path", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_folder
+from ..storage import scratch
 
 
 def _files(spark: SparkSession, path: str):
@@ -65,7 +63,7 @@ def running_summary(spark: SparkSession, folder: str, schema, place: str, group:
 
 def late_events(spark: SparkSession, folder: str, schema, watermark: str = "2 days") -> DataFrame:
     """Counts and means of events per day and type; events later than the watermark are dropped by the stream."""
-    place = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    place = scratch(spark, "late")
     events = spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
     days = events.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     out = days.select(F.col("w.start").cast("date").cast("string").alias("day"), "event_type", "n", "mean")

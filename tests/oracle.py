@@ -39,4 +39,5 @@ def differences(spark, con, query, sql, folder):
     names = [c[0] for c in run.description]
     assert sorted(names) == sorted(df.columns)
     want = rows(names, run.fetchall(), sorted(names))
-    return [x for x in got if x not in set(want)][:3], [x for x in want if x not in set(got)][:3], len(got) - len(want)
+    have, wanted = set(got), set(want)
+    return [x for x in got if x not in wanted][:3], [x for x in want if x not in have][:3], len(got) - len(want)
