@@ -1,6 +1,11 @@
+import os
 import random
+from collections import defaultdict
+
+import pytest
 
 from spanloom.llm import cross_split as X
+from spanloom.llm import queries as Q
 
 SCHEMA = "record_id long, split string, problem string, entities array<string>, id long, text string, block int"
 WHO = ["a cook with grey gloves", "a dancer in a striped coat", "a porter in rolled-up sleeves", "an old man"]
@@ -135,3 +140,28 @@ def test_what_is_sent_of_a_hot_entity_grows_with_its_records(spark):
         rows = spark.createDataFrame([(i, i % 3 == 0, "v", t) for i, t in enumerate(made[:n])], "id long, evaluation boolean, entity string, text string")
         sent.append(X._sent(X._different(rows.join(hot, "entity"))).count())
     assert 2.7 * sent[0] < sent[1] < 3.3 * sent[0]
+
+
+@pytest.mark.parametrize("block", [6000, 150])
+def test_recall_against_all_pairs_of_the_records(spark, monkeypatch, block):
+    """Evaluation records whose id is divisible by 20 against all training records of their videos; with a small block the hot
+    video is partitioned by shingles."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no such tables")
+    monkeypatch.setattr(X, "BLOCK", block)
+    df = Q._p2(spark, folder)
+    rows = [r for r in df.collect() if r.problem is not None and r.split in ("train", "val", "test")]
+    around = X.instructions(df)
+    words = {r.record_id: frozenset(X.asked_for(r.problem, around).split()) for r in rows}
+    training = defaultdict(set)
+    for r in rows:
+        if r.split == "train":
+            for v in r.entities:
+                training[v].add(r.record_id)
+    asked = [r for r in rows if r.split != "train" and r.record_id % 20 == 0]
+    want = {(r.record_id, t) for r in asked for v in r.entities for t in training[v] if X.same_request(words[r.record_id], words[t]) >= X.SIMILAR}
+    got = {(r.evaluation_id, r.training_id) for r in X.overlaps(df).collect()}
+    assert len(want) >= 5 and len(want & got) >= 0.95 * len(want)
+    every = {r.record_id for r in asked}
+    assert {p for p in got if p[0] in every} <= want
