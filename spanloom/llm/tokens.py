@@ -63,10 +63,9 @@ def _words_by_later_tables(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else pattern.findall(t) for t in text], dtype=object)
 
 
-def every_word(text: Column) -> Column:
-    """:func:`words`, where the rare texts with characters that the JVM does not know are split in Python."""
-    new = text.rlike(_UNASSIGNED)
-    return F.coalesce(_words_by_later_tables(F.when(new, text)), F.when(~new, words(text)), F.array().cast("array<string>"))
+def later_words(text: Column) -> Column:
+    """The words of the rare texts with characters that the JVM does not know, split in Python; NULL for all others."""
+    return _words_by_later_tables(F.when(text.rlike(_UNASSIGNED), text))
 
 
 def _word_encoder(spark: SparkSession, path: str, name: str):
@@ -111,10 +110,11 @@ def _by_words(documents: DataFrame, id_col: str, text_col: str, path: str, name:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
-    base = docs.where("text IS NOT NULL AND text <> ''").select(block, "doc_id", "text")
-    used = materialise(base.select("block", F.explode(F.array_distinct(every_word(F.col("text")))).alias("word")).distinct(), "block-words")
+    base = docs.where("text IS NOT NULL AND text <> ''").select(block, "doc_id", "text", later_words(F.col("text")).alias("late"))
+    split = F.coalesce("late", words(F.col("text")))
+    used = materialise(base.select("block", F.explode(F.array_distinct(split)).alias("word")).distinct(), "block-words")
     # texts are sent to their blocks and split there: as words they would be several times as large
-    split = base.repartition("block").select("block", "doc_id", every_word(F.col("text")).alias("words"))
+    split = base.repartition("block").select("block", "doc_id", split.alias("words"))
     encode = _word_encoder(spark, path, name)
     table = used.select("word").distinct().withColumn("ids", encode("word"))
     if counts_only:
