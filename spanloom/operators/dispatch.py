@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import pathlib
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -50,12 +53,24 @@ def resolved_media(frames: Column, metadata: Column, images: Column) -> Column:
     return F.when(images > 0, "image").when(frames == metadata, "video").when(frames.isNull(), "none").otherwise(F.raise_error(F.lit("metadata differ in number")).cast("string"))
 
 
-def joint_targets(spark, given: dict[str, float]) -> DataFrame:
-    """``row``, ``col``, ``share`` from weights keyed ``row|col`` or ``row,col``, scaled to one. Raises without weight."""
-    import re
-
-    total = sum(given.values())
-    if total <= 0:
-        raise ValueError("targets must add up to more than 0")
-    rows = [(*map(int, re.split(r"[|,]", k)), v / total) for k, v in given.items()]
-    return spark.createDataFrame(rows, "row long, col long, share double")
+def joint_targets(spark, given, size: int = 5) -> DataFrame | None:
+    """``row``, ``col``, ``share``, scaled to one: of a list of rows, a dict keyed ``row|col`` or ``row,col``, a dict of rows, JSON text of
+    one of these, or the path of a file with it. None and empty text give None; weights of 0 have no row. Raises for negative
+    weights, none at all, and places outside ``size``."""
+    if given is None or given == "":
+        return None
+    if isinstance(given, str):
+        given = json.loads(given if given.lstrip()[:1] in ("[", "{") else pathlib.Path(given).read_text())
+    cells: dict[tuple[int, int], float] = {}
+    for k, v in given.items() if isinstance(given, dict) else enumerate(given):
+        if isinstance(v, (list, tuple)):
+            cells.update({(int(k), i): float(x) for i, x in enumerate(v)})
+        else:
+            a, b = re.split(r"\s*[|,]\s*", str(k))
+            cells[int(a), int(b)] = float(v)
+    total = sum(cells.values())
+    if total <= 0 or min(cells.values()) < 0:
+        raise ValueError("targets must be 0 or more and add up to more than 0")
+    if any(not (0 <= a < size and 0 <= b < size) for a, b in cells):
+        raise ValueError(f"targets outside {size} x {size}")
+    return spark.createDataFrame([(a, b, v / total) for (a, b), v in sorted(cells.items()) if v], "row long, col long, share double")

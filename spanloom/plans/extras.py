@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import json
+import tempfile
+
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
@@ -39,13 +41,6 @@ def s11_frames(spark, d):
     return table(spark, d, "events").select("user_id", (F.col("event_id") % 400).alias("frame")).distinct().join(wanted, "frame", "left_semi").select("user_id", "frame")
 
 
-@query("SELECT i AS row, j AS col, CAST((i * 5 + j) AS DOUBLE) / 300 AS share FROM range(0, 5) a(i), range(0, 5) b(j) WHERE i * 5 + j > 0")
-def o5_joint_targets(spark, d):
-    """Joint targets by ``row|col`` or ``row,col`` keys, scaled to one."""
-    given = {f"{i}{'|' if i % 2 else ','}{j}": float(i * 5 + j) for i in range(5) for j in range(5) if i * 5 + j}
-    return D.joint_targets(spark, given)
-
-
 @query("SELECT batch, CAST(min(n) AS BIGINT) AS least, CAST(max(n) AS BIGINT) AS most FROM (SELECT doc_id // 128 AS batch, doc_id % 8 AS part, 1 AS n FROM documents) q GROUP BY 1")
 def l3_cover(spark, d):
     """Every item of a batch is in exactly one part."""
@@ -81,3 +76,18 @@ def l7_micro_batch_map(spark, d):
     docs = table(spark, d, "documents").select(F.expr("doc_id div 128").alias("batch"), "doc_id", F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"), F.col("text").isNotNull().cast("double").alias("mask"))
     made = D.mapped_in_micro_batches(docs, "batch", "doc_id", "n_chars", 4, lambda p: p["n_chars"] * 2.0, "value", "mask")
     return made.select("batch", "pos", "value")
+
+
+@query("SELECT form, i AS row, j AS col, CAST((i * 5 + j) AS DOUBLE) / 300 AS share FROM range(0, 5) a(i), range(0, 5) b(j), (VALUES ('keys'), ('rows'), ('json'), ('file')) AS f(form) WHERE i * 5 + j > 0")
+def o5_joint_targets(spark, d):
+    """Joint targets by keys, as rows, as JSON text and in a file."""
+    rows = [[float(i * 5 + j) for j in range(5)] for i in range(5)]
+    keys = {f"{i}{'|' if i % 2 else ', '}{j}": rows[i][j] for i in range(5) for j in range(5)}
+    out = None
+    with tempfile.NamedTemporaryFile("w", suffix=".json") as f:  # a file of the driver's, as configurations are
+        f.write(json.dumps(keys))
+        f.flush()
+        for form, given in (("keys", keys), ("rows", rows), ("json", json.dumps({str(i): r for i, r in enumerate(rows)})), ("file", f.name)):
+            made = D.joint_targets(spark, given).select(F.lit(form).alias("form"), "row", "col", "share")
+            out = made if out is None else out.unionByName(made)
+    return out

@@ -90,9 +90,16 @@ def g6_gae(spark, d):
     return exploded(G.advantages("gae", sequences(spark, d), gamma=0.95, lam=0.9), "advantages", "returns", places=10)
 
 
-@query("SELECT name FROM (VALUES ('gae'), ('grpo'), ('grpo_passk'), ('reinforce_plus_plus'), ('remax'), ('rloo')) AS t(name)")
+@query(f"""WITH {SQL}, w AS (SELECT event_id, uid, score, avg(score) {W} AS mu, stddev_samp(score) {W} + 1e-6 AS sd, sum(score) {W} AS total, count(*) {W} AS n, row_number() OVER (PARTITION BY uid ORDER BY score DESC, slot) AS r, lead(score) OVER (PARTITION BY uid ORDER BY score DESC, slot) AS second FROM grounding)
+SELECT name, event_id, round(CASE name WHEN 'grpo' THEN (score - mu) / sd WHEN 'rloo' THEN score - (total - score) / (n - 1) ELSE CASE WHEN r = 1 THEN (score - second) / sd ELSE 0.0 END END, 4) + 0.0 AS advantage FROM (SELECT * FROM w, (VALUES ('grpo'), ('rloo'), ('grpo_passk')) AS k(name)) q""")
 def g7_estimators(spark, d):
-    return spark.createDataFrame([(n,) for n in sorted(G.ESTIMATORS)], "name string")
+    """The estimators of scalar scores, each called by its name; those of sequences are g4 to g6."""
+    g = grounding(spark, d)
+    out = None
+    for name in ("grpo", "rloo", "grpo_passk"):
+        rows = G.advantages(name, g).select(F.lit(name).alias("name"), "event_id", F.round("advantage", 4).alias("advantage"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query(f"""WITH {SEQ} SELECT uid, slot, round(pn - po, 4) AS kl, round(abs(pn - po), 4) AS abs, round(0.5 * (pn - po) * (pn - po), 4) AS mse,

@@ -125,3 +125,12 @@ def test_samples_of_any_share(spark):
     got = smallest_per_bucket(rows, "b", F.md5(F.col("id").cast("string")), {0: 2500}).where("_rank <= 2500").select("id")
     want = rows.orderBy(F.md5(F.col("id").cast("string"))).limit(2500).select("id")
     assert got.count() == 2500 and got.exceptAll(want).count() == 0
+
+
+def test_joint_targets(spark, tmp_path):
+    from spanloom.operators.dispatch import joint_targets
+    assert joint_targets(spark, None) is None and joint_targets(spark, "") is None
+    assert [tuple(r) for r in joint_targets(spark, {"0|1": 3, "1,0": 1, "2|2": 0}).orderBy("row").collect()] == [(0, 1, 0.75), (1, 0, 0.25)]
+    for bad in ({"0|0": 0}, {"0|0": -1, "1|1": 3}, {"5|0": 1}, [[1] * 6]):
+        with pytest.raises(ValueError):
+            joint_targets(spark, bad)
