@@ -111,10 +111,10 @@ def _by_words(documents: DataFrame, id_col: str, text_col: str, path: str, name:
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
     base = docs.where("text IS NOT NULL AND text <> ''").select(block, "doc_id", "text", later_words(F.col("text")).alias("late"))
-    split = F.coalesce("late", words(F.col("text")))
-    used = materialise(base.select("block", F.explode(F.array_distinct(split)).alias("word")).distinct(), "block-words")
+    own = F.coalesce("late", words(F.col("text")))
+    used = materialise(base.select("block", F.explode(F.array_distinct(own)).alias("word")).distinct(), "block-words")
     # texts are sent to their blocks and split there: as words they would be several times as large
-    split = base.repartition("block").select("block", "doc_id", split.alias("words"))
+    split = base.repartition("block").select("block", "doc_id", own.alias("words"))
     encode = _word_encoder(spark, path, name)
     table = used.select("word").distinct().withColumn("ids", encode("word"))
     if counts_only:
