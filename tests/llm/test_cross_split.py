@@ -120,6 +120,16 @@ def pairs_of(spark, rows):
     return {(r.evaluation_id, r.training_id) for r in X.overlaps(spark.createDataFrame([(*r, ["v"], 0, "x", 1) for r in rows], SCHEMA)).collect()}
 
 
+def test_asked_in_columns_as_in_python(spark):
+    """Nothing but choices, nothing but instructions, misspelt instructions, blanks, and many events."""
+    around = X.Instructions(["indique le début et la fin en secondes", "return", "locate the clip"])
+    texts = ["A. the tiny plank\nB. the rusty blanket", "Return", "Retrun. " + events()[0], "", " ?!", FRENCH.format("elle dort"), "Locate the clip: x.\nA. one\nB. two", "Locate the clip:\nA. one\nB. two", "Locate the clip.", *events()[:9]]
+    df = spark.createDataFrame([(t,) for t in texts], "problem string").select("problem", X._read("problem").alias("read"))
+    got = {r.problem: r.asked for r in df.select("problem", X._asked(X.F.col("read"), around).alias("asked")).collect()}
+    assert got == {t: X.asked_for(t, around) for t in texts}
+    assert got[texts[2]] == events()[0] and got[texts[7]] == "a one b two"
+
+
 def test_events_beside_the_same_long_passage(spark):
     """No table is large enough here to tell which passages are instructions."""
     ask = "<video>Please watch the whole recording carefully and find the start and end of the following event in seconds: "
