@@ -56,27 +56,40 @@ def unit(hash_: Column) -> Column:
 
 
 def _by_number(values: dict[int, float], by: str, default: float) -> Column:
-    """The number that goes with a bucket."""
-    out = F.lit(default)
-    for b, v in values.items():
-        out = F.when(F.col(by) == b, F.lit(v)).otherwise(out)
-    return out
+    """The number that goes with a bucket. The bucket, which may be a long expression, is named once."""
+    if not values:
+        return F.lit(default)
+    held = F.create_map(*[x for b, v in values.items() for x in (F.lit(b).cast("long"), F.lit(float(v)))])
+    return F.coalesce(F.try_element_at(held, F.col(by).cast("long")), F.lit(default))
 
 
-def smallest_per_bucket(rows: DataFrame, by: str, key: Column, quota: dict[int, int]) -> DataFrame:
+def _pools(rows: DataFrame, by: str) -> dict[int, int]:
+    """Rows per bucket, one row per bucket."""
+    return {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).where(F.col(by).isNotNull()).collect()}
+
+
+def smallest_per_bucket(rows: DataFrame, by: str, key: Column, quota: dict[int, int], pools: dict[int, int] | None = None) -> DataFrame:
     """The rows of each bucket that come first by hash, ``quota`` of them at least, with their ``_rank``.
 
-    Only rows under a threshold that holds about twice the quota are ranked, in parts of some thousand rows
+    Only rows under a threshold that holds about twice the quota are written and ranked, in parts of some thousand rows
     (:func:`ranking.ranked`), so neither a bucket nor its quota of any size is a single task. A bucket in which the threshold
-    lets through less than it should is ranked whole.
+    lets through less than it should is ranked whole. ``pools``: the rows per bucket, where they are known.
     """
-    pools = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).where(F.col(by).isNotNull()).collect()}  # one row per bucket
+    pools = _pools(rows, by) if pools is None else pools
     cut = {b: 1.0 if 2 * quota.get(b, 0) + 1000 >= n else (2 * quota.get(b, 0) + 1000) / n for b, n in pools.items()}
     keyed = rows.where(F.col(by).isNotNull()).withColumn("_key", key).withColumn("_unit", unit(F.col("_key")))
+
+    def under() -> DataFrame:
+        return materialise(keyed.where(F.col("_unit") < _by_number(cut, by, 0.0)), "near")
+
+    near = under()
     if min(cut.values(), default=1.0) < 1.0:
-        through = {r[by]: r["n"] for r in keyed.where(F.col("_unit") < _by_number(cut, by, 0.0)).groupBy(by).agg(F.count("*").alias("n")).collect()}
-        cut = {b: 1.0 if through.get(b, 0) < quota.get(b, 0) else c for b, c in cut.items()}
-    near = keyed.where(F.col("_unit") < _by_number(cut, by, 0.0)).withColumn("_unit", F.col("_unit") / _by_number(cut, by, 1.0)).withColumn("_n", _by_number({b: float(pools[b]) * c for b, c in cut.items()}, by, 0.0))
+        through = _pools(near, by)
+        short = [b for b, c in cut.items() if c < 1.0 and through.get(b, 0) < quota.get(b, 0)]
+        if short:
+            cut.update(dict.fromkeys(short, 1.0))
+            near = under()
+    near = near.withColumn("_unit", F.col("_unit") / _by_number(cut, by, 1.0)).withColumn("_n", _by_number({b: float(pools[b]) * c for b, c in cut.items()}, by, 0.0))
     return ranked(near, [by], "_n", "_unit", "_key", "_rank").drop("_key", "_unit", "_n")
 
 
@@ -86,8 +99,8 @@ def stratified(rows: DataFrame, by: str, shares: list[float], size: int, seed: i
     Rows with a NULL bucket are left out. Adds ``copy``, from 0.
     """
     want = dict(enumerate(quotas(shares, size)))
-    pools = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).where(F.col(by).isNotNull()).collect()}
-    ranked = smallest_per_bucket(rows, by, hashed(seed, key), want)
+    pools = _pools(rows, by)
+    ranked = smallest_per_bucket(rows, by, hashed(seed, key), want, pools)
     copies = F.lit(0)
     for b, n in want.items():
         pool = pools.get(b, 0)
@@ -99,7 +112,7 @@ def stratified(rows: DataFrame, by: str, shares: list[float], size: int, seed: i
 
 def summary(rows: DataFrame, by: str, names: list[str], shares: list[float], size: int) -> DataFrame:
     """Per bucket: target, pool, kept and a note of what was repeated."""
-    pool = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).where(F.col(by).isNotNull()).collect()}
+    pool = _pools(rows, by)
     out = []
     for i, (name, n) in enumerate(zip(names, quotas(shares, size))):
         have = pool.get(i, 0)
@@ -131,10 +144,10 @@ def gaussian(rows: DataFrame, size: int, mu: float, sigma: float, seed: int, key
     n = keyed.count()
     if size >= n:
         return keyed
-    # rows far behind the size-th are left out before the rest is put in order, in ranges; all are if too few are left
-    cut = keyed.approxQuantile("order_key", [min(1.0, 1.2 * size / n + 0.01)], 0.005)[0]
-    near = keyed.where(F.col("order_key") <= cut)
-    return positions(near if near.count() >= size else keyed, "order_key", key).where(F.col("pos") < size).drop("pos")
+    # rows far behind the size-th are left out before the rest is put in order, in ranges; the percentile errs by less than the margin
+    share = min(1.0, 1.2 * size / n + 0.01)
+    cut = keyed.agg(F.percentile_approx("order_key", share, 1000)).first()[0]
+    return positions(keyed.where(F.col("order_key") <= cut), "order_key", key).where(F.col("pos") < size).drop("pos")
 
 
 def task_batches(rows: DataFrame, task: str, size: int, seed: int, key: str) -> DataFrame:
