@@ -37,8 +37,8 @@ KAPPA, MU = 8.0, 0.85
 NONE_PRIOR, STRAY, ROUNDS, MIX_ROUNDS = 0.3, 0.1, 9, 4
 #: How much a word that no labelled document has speaks for no subject (in nats).
 UNKNOWN = 0.5
-#: Words that are read at once into arrays, about.
-BATCH_WORDS = 2_000_000
+#: Words that are read, counted and judged at once as arrays, about, and whose rows of the models are held at once.
+BATCH_WORDS, BLOCK_WORDS = 2_000_000, 500_000
 
 _TAGS = re.compile(r"<[^<>]{0,40}>")
 _CJK = "぀-ヿ一-鿿가-힯"
@@ -118,6 +118,14 @@ class Texts:
         cjk = np.bincount(text, vocabulary.cjk[ids], n)
         return np.where((cjk >= 4) & (cjk > 2 * (np.bincount(text, minlength=n) - cjk)), LANGUAGES.index("zh"), out).astype(np.int32)
 
+    def slices(self) -> Iterator[Texts]:
+        """Runs of texts of about BATCH_WORDS words (a longer text by itself)."""
+        at = 0
+        while at < len(self.lang):
+            end = max(at + 1, int(np.searchsorted(self.tokens, self.tokens[at] + BATCH_WORDS, "right")) - 1)
+            yield self if at == 0 and end == len(self.lang) else self.chosen(np.arange(at, end))
+            at = end
+
     def chosen(self, which: np.ndarray) -> Texts:
         """The texts of these numbers, in their order."""
         sent = _ranges(self.first[which], self.sentences[which])
@@ -172,7 +180,11 @@ class SubjectModels:
         """Per sentence and model, how much better it foretells the sentence than the background does (in nats)."""
         token, pair = self.grams.places(texts)
         rows = np.where(pair >= 0, self.grams.tokens + pair, np.where(token >= 0, token, len(self.table) - 1))
-        return np.add.reduceat(self.table[rows], texts.starts, axis=0)
+        out = np.zeros((len(texts.starts), self.table.shape[1]))
+        for lo in range(0, len(rows), BLOCK_WORDS):  # a sentence may go on over several blocks
+            first, last = np.searchsorted(texts.starts, lo, "right") - 1, np.searchsorted(texts.starts, lo + BLOCK_WORDS, "left")
+            out[first:last] += np.add.reduceat(self.table[rows[lo : lo + BLOCK_WORDS]], np.maximum(texts.starts[first:last] - lo, 0), axis=0)
+        return out
 
 
 def _posterior(scores: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -344,11 +356,10 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[J
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = {x: np.zeros(g.size + 1, np.int64) for x, g in known.value.items()}
         for batch in batches:
-            every = _texts(batch)
-            for x, g in known.value.items():
-                some = every.chosen(np.flatnonzero(every.lang == x))
-                token, pair = g.places(some)
-                tally[x] += np.concatenate([np.bincount(token[token >= 0], minlength=g.tokens), np.bincount(pair[pair >= 0], minlength=len(g.pairs)), [len(token)]])
+            for every in _texts(batch).slices():
+                for x, g in known.value.items():
+                    token, pair = g.places(every.chosen(np.flatnonzero(every.lang == x)))
+                    tally[x] += np.concatenate([np.bincount(token[token >= 0], minlength=g.tokens), np.bincount(pair[pair >= 0], minlength=len(g.pairs)), [len(token)]])
         for x, n in tally.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x), pa.int32()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["lang", "at", "n"])
@@ -390,7 +401,8 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = known.value.tallies(_texts(batch))
+            tallied = [known.value.tallies(some) for some in _texts(batch).slices()]
+            n = np.concatenate(tallied) if tallied else np.zeros((0, len(known.value.names)))
             doc, subject = np.nonzero(known.value.accepted(n))
             found = n[doc, subject]
             yield pa.RecordBatch.from_arrays(

@@ -48,3 +48,23 @@ def test_too_many_subjects_are_an_error(spark, monkeypatch):
     labels = spark.createDataFrame([(1, "law")], "doc_id long, subject string")
     with pytest.raises(ValueError, match="subjects"):
         S.fit(docs, labels, spark.createDataFrame([("law",), ("sport",), ("music",)], "subject string"))
+
+
+def test_slices_and_blocks_change_nothing(monkeypatch):
+    rng = random.Random(3)
+    read = [S.parts(document(rng)[0]) for _ in range(60)] + [[], S.parts("court " * 700)]
+    words = S.Vocabulary.of(read[:40])
+    texts = S.Texts.read(read, words)
+    own = S.np.zeros((len(read), 2), bool)
+    own[:, 0] = True
+    english = S.np.flatnonzero((texts.lang == S.LANGUAGES.index("en")) & (texts.sentences > 0))
+    grams = S.Grams(texts.chosen(english), words)
+    model = S._train(texts.chosen(english), own[english], grams, S.np.ones(grams.size), 1000.0)
+    judge = S.Judge({S.LANGUAGES.index("en"): model}, ["law", "sport"])
+    whole = judge.tallies(texts)
+    assert len(list(texts.slices())) == 1
+    monkeypatch.setattr(S, "BATCH_WORDS", 100)
+    monkeypatch.setattr(S, "BLOCK_WORDS", 7)
+    slices = list(texts.slices())
+    assert len(slices) > 5 and sum(len(t.lang) for t in slices) == len(read) and sum(len(t.ids) for t in slices) == len(texts.ids)
+    assert S.np.allclose(S.np.concatenate([judge.tallies(t) for t in slices]), whole, atol=1e-4)
