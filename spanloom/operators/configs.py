@@ -80,8 +80,11 @@ def save_layout(steps: DataFrame, ranks: int) -> DataFrame:
 
 
 def restorable(layout: DataFrame, listing: DataFrame) -> DataFrame:
-    """Per step: files wanted and missing; a step can be restored where none is."""
-    met = layout.join(listing.select(F.col("path"), F.lit(1).alias("_in")).distinct(), "path", "left")
+    """Per step: files wanted and missing; a step can be restored where none is.
+
+    A listing is as long as the layout, and its size is estimated before its paths are exploded, so that it is never broadcast."""
+    there = listing.select("path").distinct().withColumn("_in", F.lit(1))
+    met = layout.join(there.hint("merge"), "path", "left")
     return met.groupBy("step").agg(F.count("*").alias("wanted"), F.sum(F.col("_in").isNull().cast("long")).alias("missing"))
 
 

@@ -134,3 +134,12 @@ def test_joint_targets(spark, tmp_path):
     for bad in ({"0|0": 0}, {"0|0": -1, "1|1": 3}, {"5|0": 1}, [[1] * 6]):
         with pytest.raises(ValueError):
             joint_targets(spark, bad)
+
+
+def test_a_listing_as_long_as_the_layout_is_not_broadcast(spark):
+    """The estimate of a listing that is made by exploding is that of the rows before."""
+    layout = C.save_layout(spark.range(3000).withColumnRenamed("id", "step"), 4)
+    listing = layout.where((F.col("step") % 3 == 0) | ((F.col("step") % 3 == 1) & ~F.col("path").contains("/optim_"))).select("path")
+    got = C.restorable(layout, listing.union(listing))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.step, r.wanted, r.missing) for r in got.collect()} == {(k, 14, (0, 4, 14)[k % 3]) for k in range(3000)}
