@@ -8,10 +8,11 @@ training records are scanned for hits on them, and a pair's containment is the s
 shorter text that hit. Pairs over a low containment, which no edit of a few words of a long text goes under, are then
 checked word by word. Where one text is short, a changed word breaks most of its shingles, and a single shingle of two words is enough.
 
-An entity of more than ``BLOCK`` records is partitioned further, by the two-word shingles of the words that are not
-common in it: each different text is sent once to each of its shingles and meets only those that share one, so a text is sent
-as often as it has words, however many records the entity has. Only where one shingle itself has more than ``BLOCK`` texts are
-both sides cut into blocks, every one of which meets every one of the other side.
+An entity of more than ``BLOCK`` records is partitioned further, in ways that keep every pair that would be looked at in a
+smaller one. Its different texts are cut into blocks on both sides, every one of which meets every one of the other side, as
+long as a text is sent at most ``TIMES`` times for that on average. Beyond, a text is sent once to each of its shingles (of
+``WORDS`` words, and of two words where one text of the pair is short) and meets all that share one, so it is sent as often as
+it has words, however many records the entity has. Only where one shingle itself has more than ``BLOCK`` texts is it cut into blocks.
 """
 
 from __future__ import annotations
@@ -41,11 +42,11 @@ SIMILAR = 0.8
 MISSPELT = 0.3
 #: Words of the shorter text that may be replaced by others, as a share; texts under SHORT words allow none.
 REPLACED, SHORT = 0.135, 16
-#: Rows of one entity that are compared in one task, on average; entities of more rows are partitioned by shingles.
+#: Rows of one entity that are compared in one task, on average; entities of more rows are partitioned by blocks or shingles.
 BLOCK = 6000
-#: Share of the different texts of an entity from which a word is common in it, and the number of other words under which
-#: a text is partitioned by all of its words as well.
-COMMON, FEW = 1 / 12, 6
+#: Times that the different texts of an entity are sent, on average, up to which it is partitioned by blocks: about as often
+#: as shingles would send them.
+TIMES = 24
 #: Different rests of texts that a passage stands beside from which it is an instruction: at least so many, and this share
 #: of all texts. An event stands beside as many as there are instructions.
 BESIDE, BESIDE_SHARE = 20, 0.0005
@@ -407,10 +408,10 @@ def _find(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(list(_block_pairs(pdf)), columns=["evaluation_id", "training_id", "containment", "similarity"])
 
 
-def _shingle_hashes(words: Column) -> Column:
-    """Hashes of the two-word shingles of an array of words within an entity."""
-    rest = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda a, b: F.xxhash64("entity", a, b))
+def _shingle_hashes(words: Column, size: int, kind: str) -> Column:
+    """Hashes of the shingles of an array of words within an entity, apart for each kind."""
+    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64("entity", F.lit(kind), F.slice(words, i, size)))
 
 
 def _different(rows: DataFrame) -> DataFrame:
@@ -419,22 +420,28 @@ def _different(rows: DataFrame) -> DataFrame:
 
 
 def _sent(texts: DataFrame) -> DataFrame:
-    """``key``, ``id``, ``evaluation``, ``text``: a text once for each two neighbouring words of it that are not common."""
-    words = texts.select("entity", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    many = texts.groupBy("entity").agg((F.count("*") * COMMON).alias("_many"))
-    # at most a text's words / COMMON words of an entity, on average; the written table's size decides how it is joined
-    common = materialise(
-        words.groupBy("entity", "word").agg(F.count("*").alias("_n")).join(many, "entity").where("_n > _many").groupBy("entity").agg(F.collect_list("word").alias("_common")), "p2-common")
-    split = F.split("text", " ")
-    rare = F.array_except(split, F.coalesce("_common", F.array().cast("array<string>")))
-    keys = F.concat(_shingle_hashes(rare), F.when(F.size(rare) < FEW, _shingle_hashes(split)).otherwise(F.array().cast("array<long>")))
-    keys = F.when(F.size(split) > 1, F.array_distinct(keys)).otherwise(F.array(F.xxhash64("entity", "text")))
-    keyed = materialise(texts.join(common, "entity", "left").select("id", "evaluation", "text", keys.alias("keys")), "p2-keyed")
+    """``key``, ``id``, ``evaluation``, ``text``: a text once for its entity if that is cut into blocks, else once for each
+    shingle by which a pair of it could be looked at: two long texts share one of ``WORDS`` words, two of which one is
+    short share one of two words, or are the same word."""
+    words, evaluation = F.split("text", " "), F.col("evaluation")
+    short = F.size(words) < SHORT
+    e, t = F.col("_e"), F.col("_t")
+    per = texts.groupBy("entity").agg(
+        F.count_if(evaluation).alias("_e"), F.count_if(~evaluation).alias("_t"), F.bool_or(evaluation & short).alias("_e_short"), F.bool_or(~evaluation & short).alias("_t_short"))
+    # one row per entity; the written table's size decides how it is joined
+    per = materialise(per.select("entity", (e * F.ceil(t / BLOCK) + t * F.ceil(e / BLOCK) > TIMES * (e + t)).alias("_by_shingles"), "_e_short", "_t_short"), "p2-per-entity")
+    none = F.array().cast("array<long>")
+    # a short evaluation text meets all training texts, a long one the short ones
+    with_short = F.when(F.when(evaluation, short).otherwise(F.col("_e_short")), _shingle_hashes(words, 2, "short evaluation")).otherwise(none)
+    short_only = F.when(F.when(evaluation, ~short & F.col("_t_short")).otherwise(short), _shingle_hashes(words, 2, "short training")).otherwise(none)
+    long = F.when(short, none).otherwise(_shingle_hashes(words, WORDS, "long"))
+    keys = F.when(~F.col("_by_shingles"), F.array(F.xxhash64("entity"))).when(F.size(words) == 1, F.array(F.xxhash64("entity", "text"))).otherwise(F.array_distinct(F.concat(with_short, short_only, long)))
+    keyed = materialise(texts.join(per, "entity").select("id", "evaluation", "text", keys.alias("keys")), "p2-keyed")
     return keyed.select("id", "evaluation", "text", F.explode("keys").alias("key"))
 
 
 def _by_shingles(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """The pairs within the entities of ``hot``, found by the shingles that their texts share."""
+    """The pairs within the entities of ``hot``, the same as if each entity were compared at once."""
     own = materialise(rows.join(hot, "entity").select("id", "evaluation", F.xxhash64("entity", "text").alias("same"), "entity", "text"), "p2-of-hot")
     sent = _sent(materialise(_different(own), "p2-texts"))
     counts = sent.groupBy("key").agg(F.sum(F.col("evaluation").cast("int")).alias("_e"), F.count("*").alias("_all"))
@@ -444,10 +451,11 @@ def _by_shingles(rows: DataFrame, hot: DataFrame) -> DataFrame:
     nt, ne = F.coalesce("_nt", F.lit(1)), F.coalesce("_ne", F.lit(1))
     mine = F.when(F.col("evaluation"), F.pmod(F.hash("id"), ne)).otherwise(F.pmod(F.hash("id"), nt))
     meets = F.explode(F.sequence(F.lit(0), F.when(F.col("evaluation"), nt).otherwise(ne) - 1))
-    placed = sent.join(large, "key", "left").select("id", "evaluation", "text", "key", mine.alias("_own"), meets.alias("_other"))
+    placed = sent.join(large, "key", "left").select("id", "evaluation", "text", "key", F.isnotnull("_nt").alias("_large"), mine.alias("_own"), meets.alias("_other"))
     t_block = F.when(F.col("evaluation"), F.col("_other")).otherwise(F.col("_own"))
     e_block = F.when(F.col("evaluation"), F.col("_own")).otherwise(F.col("_other"))
-    block = placed.select(F.pmod(F.xxhash64("key", t_block, e_block), F.lit(buckets)).alias("block"), "id", "evaluation", F.col("key").cast("string").alias("entity"), "text")
+    own_block = F.when(F.col("_large"), F.xxhash64("key", t_block, e_block)).otherwise(F.pmod("key", F.lit(buckets)))
+    block = placed.select(own_block.alias("block"), "id", "evaluation", F.col("key").cast("string").alias("entity"), "text")
     pairs = block.groupBy("block").applyInPandas(_find, _PAIRS).groupBy("evaluation_id", "training_id").agg(F.max("containment").alias("containment"), F.max("similarity").alias("similarity"))
     sides = [own.where(F.col("evaluation") if e else ~F.col("evaluation")).select(F.col("same").alias(key), F.col("id").alias(name)) for e, key, name in ((True, "evaluation_id", "_e"), (False, "training_id", "_t"))]
     return pairs.join(sides[0], "evaluation_id").join(sides[1], "training_id").select(F.col("_e").alias("evaluation_id"), F.col("_t").alias("training_id"), "containment", "similarity")

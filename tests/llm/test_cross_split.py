@@ -175,3 +175,26 @@ def test_recall_against_all_pairs_of_the_records(spark, monkeypatch, block):
     assert len(want) >= 5 and len(want & got) >= 0.95 * len(want)
     every = {r.record_id for r in asked}
     assert {p for p in got if p[0] in every} <= want
+
+
+def made_of_common_words(rng, n):
+    """Texts of 1 to 40 words, most of them very common, with every second other word misspelt in each second text."""
+    rare = ["".join(rng.choice("bdfglmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(400)]
+    between = ["in the", "as a", "of the", "and then", "with one"]
+    bases = [[w for _ in range(k) for w in (rng.choice(rare), *rng.choice(between).split(" "))] for k in (2, 3, 4, 5, 7, 9, 13) for _ in range(n)] + [[rng.choice(rare)] for _ in range(n)]
+    for words in bases:
+        yield words
+        yield [w[:2] + w[1:] if i % 6 == 0 and len(w) == 8 else w for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("times", [24, 0])
+def test_a_hot_entity_gives_the_pairs_of_one_that_is_compared_at_once(spark, monkeypatch, times):
+    rng = random.Random(7)
+    texts = [" ".join(words) for words in made_of_common_words(rng, 12)]
+    rows = [(i, rng.choice(["train", "val"]), t, ["hot"], 0, "x", 1) for i, t in enumerate(texts + rng.sample(texts, 40))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {tuple(r) for r in X.overlaps(df).collect()}
+    monkeypatch.setattr(X, "BLOCK", 25)  # the common shingles are cut into blocks, too
+    monkeypatch.setattr(X, "TIMES", times, raising=False)
+    got = [tuple(r) for r in X.overlaps(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
